@@ -3,17 +3,28 @@
 from __future__ import annotations
 
 from .decontaminate import OP6_SQL, op6_benchmark_decontamination
+from .embedding import op5_embedding_near_dedup
+from .langid import op9_language_id
+from .licenses import op3_license_scan
 from .packing import op10_best_fit_packing
 from .quality import op2_quality_classifier
 from .simhash import op7_simhash_near_dedup
+from .sstable import op8_token_shards
 from .substring import OP4_SQL, op4_substring_dedup
+from .toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_license_scan": op3_license_scan,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_embedding_near_dedup": op5_embedding_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_token_shards": op8_token_shards,
+    "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
+#: The others rest on trained models, XXH64, tokenizers or files; tests hold them against brute force, held-out labels and round trips.
 ORACLES = {"op4_substring_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL}
