@@ -58,7 +58,7 @@ def plant(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: float
         splits = materialize(sides.filter(F.greatest("left", "right") < STUCK * F.col("n")).select("tree", "node", "cut", "left", "right"), "rp-splits")
         done.append(shot.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "rep", "v"))
         side = F.when(F.col("p") > F.col("cut") + spill, F.array(F.lit(1))).when(F.col("p") <= F.col("cut") - spill, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-        at = shot.join(splits, ["tree", "node"]).select("tree", (2 * F.col("node") + F.explode(side)).alias("node"), "rep", "v")
+        at = shot.join(splits, ["tree", "node"]).select("tree", "node", "rep", "v", F.explode(side).alias("side")).select("tree", (2 * F.col("node") + F.col("side")).alias("node"), "rep", "v")
         n = splits.agg(F.max(F.greatest("left", "right")).alias("n")).first()["n"] or 0
         level += 1
     return reduce(DataFrame.unionByName, [*done, at])

@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segments (operator 1).
 
-Terms are lower-cased words and their prefixes. From a bounded sample of labelled documents each term
-gets the log-odds of its rates in toxic and other documents under an informative Dirichlet prior (the
-term's rate in both together), less one standard error; terms that don't tell the classes apart are
-dropped, and every other word scores a small negative drift. A linear-time scan finds all maximal scoring
+Terms are lower-cased words and their prefixes. In a bounded sample of labelled documents, from which
+near copies are dropped by the minima of four hashes over their word triples, each term's documents are counted.
+Its score is the log-odds of its rates in toxic and other documents under an informative Dirichlet prior
+(the rate in both together, as strong as the smaller class), less one standard error. Terms that don't
+tell the classes apart by four standard errors are dropped; every other word scores a small negative drift. A linear-time scan finds all maximal scoring
 segments of a text (each is a passage that no neighbouring words would improve).
 
 For random clean text the score of the best of n places follows an extreme-value law: with lambda the
@@ -22,15 +23,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_sample, fold, table
 from .quality import labelled_documents
 
 THRESHOLD, MOST_TRAINING_ROWS, MOST_TERMS = 0.7, 20_000, 20_000
 PREFIXES = (4, 5, 6)
-DRIFT, PRIOR, K = -0.3, 500.0, 0.1
+DRIFT, K, SURE = -0.3, 0.1, 4
 _WORD = re.compile(r"[^\W_]+")
 _MOST_REMEMBERED = 300_000
 
@@ -47,16 +50,35 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         count = Counter(), Counter()
         for label, text in zip(pdf["label"], pdf["text"]):
-            count[int(label)].update(words(text))
+            count[int(label)].update({term for word in set(words(text)) for term in _terms(word)})
         by_term: dict[str, list[int]] = {}
         for label in (0, 1):
-            for word, n in count[label].items():
-                for term in _terms(word):
-                    by_term.setdefault(term, [0, 0])[label] += n
+            for term, n in count[label].items():
+                by_term.setdefault(term, [0, 0])[label] += n
         totals = [sum(count[label].values()) for label in (0, 1)]
         yield pd.DataFrame([("", *totals), *((t, *n) for t, n in by_term.items())], columns=["term", "n0", "n1"])
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _minima(texts: pd.Series) -> pd.Series:
+    """The least of four multiples of the hashes of three words at a time; null without words."""
+    out = []
+    for text in texts:
+        own = words(text)
+        h = np.array([xxhash.xxh64_intdigest(" ".join(own[i : i + 3])) for i in range(max(len(own) - 2, min(len(own), 1)))], dtype=np.uint64)
+        out.append([int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15)).view(np.int64).min()) for k in range(4)] if len(h) else None)
+    return pd.Series(out, dtype=object)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """rows without those that share one of four minima with another; rows without words stay."""
+    keys = rows.select("doc_id", _minima("text").alias("k")).filter("k IS NOT NULL").select("doc_id", *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
+    kept = keys
+    for i in range(4):
+        kept = kept.groupBy(f"k{i}").agg(F.min(F.struct("doc_id", *(f"k{j}" for j in range(4) if j != i))).alias("s")).select("s.*", f"k{i}")
+    return rows.join(kept.select("doc_id"), "doc_id", "left_semi")
+
+
 @dataclass(frozen=True)
 class Model:
     """Scores of terms, lambda of the extreme-value law, and the logistic curve of the sum of normalised scores."""
@@ -133,15 +155,16 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows
     """A model from at most about `most_rows` labelled rows (chosen by a hash of doc_id), with the `most_terms`
     most telling terms; None if either class has no words. Null labels are left out."""
     rows = bounded_sample(labelled.select("doc_id", F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)"), "doc_id", most_rows)
-    counts = rows.mapInPandas(_count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    counts = _apart(rows).mapInPandas(_count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counts.filter("term = ''").first()
     if total is None or not total["n0"] or not total["n1"]:
         return None
     n0, n1 = float(total["n0"]), float(total["n1"])
-    a = F.expr(f"{PRIOR} * (n0 + n1) / {n0 + n1}")
-    odds = lambda y, n: F.log((y + a) / (n + PRIOR - y - a))
-    told = counts.filter("term != '' AND n0 + n1 >= 3").withColumn("d", odds(F.col("n1"), n1) - odds(F.col("n0"), n0)).withColumn("se", F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
-    best = told.filter("abs(d) > 2.5 * se").orderBy(F.desc(F.abs(F.col("d")) / F.col("se")), "term").select("term", "d", "se", "n0").limit(most_terms).collect()  # `most_terms` rows at most
+    prior = min(n0, n1)  # as strong as the smaller class
+    a = F.expr(f"{prior} * (n0 + n1) / {n0 + n1}")
+    odds = lambda y, n: F.log((y + a) / (n + prior - y - a))
+    told = counts.filter("term != '' AND n0 + n1 >= 5").withColumn("d", odds(F.col("n1"), n1) - odds(F.col("n0"), n0)).withColumn("se", F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
+    best = told.filter(f"abs(d) > {SURE} * se").orderBy(F.desc(F.abs(F.col("d")) / F.col("se")), "term").select("term", "d", "se", "n0").limit(most_terms).collect()  # `most_terms` rows at most
     scores = {r["term"]: (r["d"] - r["se"] if r["d"] > 0 else min(r["d"] + r["se"], DRIFT)) for r in best}
     own = [r for r in best if not r["term"].endswith("*")]
     shares = np.array([(r["n0"] + 0.5) / n0 for r in own])
