@@ -1 +1,5 @@
+"""Operators over the media tables; importing the modules registers their queries."""
 
+from mediasift.operators import catalog, dedup
+
+__all__ = ["catalog", "dedup"]
