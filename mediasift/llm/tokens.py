@@ -2,12 +2,14 @@
 
 The tokenizer splits a text, before it merges anything, at every space that follows a non-space and
 precedes one; what stands on either side is encoded on its own. So the ids of a text are those of its
-space-led words in order, and each distinct word is encoded once and remembered. Texts with runs of
-spaces or with a space at either end are encoded as they are.
+space-led words in order, and each distinct word is encoded once and remembered. It splits likewise
+between letters and one mark after them, so such words are put together from their parts. A run of letters, with or without a space before it, is one unit for the library's
+merges and goes to them directly. Texts with runs of spaces or with a space at either end are encoded as they are.
 """
 
 from __future__ import annotations
 
+import gc
 import os
 import sys
 from array import array
@@ -16,6 +18,16 @@ from functools import lru_cache
 MOST_REMEMBERED = 900_000
 
 
+def _shown() -> dict[int, str]:
+    """Byte-level vocabularies write each byte as a printable character: itself if it is one, else the next from 256 on."""
+    kept = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (b for b in range(256) if b not in kept)
+    return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+_SHOWN = _shown()
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,26 +37,54 @@ class Encoder:
             raise RuntimeError("ids are packed in the machine's own order")
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.marks = dict(zip(".,;:", self._encode([*".,;:"])))
         self.known: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: set[str]) -> None:
+        """Remember the ids of new words; of a word with one mark after it, from those of its parts."""
+        known, merge, marks, odd = self.known, self.merge, self.marks, []
+        for word in words:
+            if word[-1] in marks:
+                body, mark = word[:-1], marks[word[-1]]
+            else:
+                body, mark = word, b""
+            if not (body.isalpha() or body[:1] == " " and body[1:].isalpha()):
+                odd.append(word)
+                continue
+            ids = known.get(body)
+            if ids is None:
+                known[body] = ids = array("I", [t.id for t in merge(body.encode("utf-8").decode("latin-1").translate(_SHOWN))]).tobytes()
+            if mark:
+                known[word] = ids + mark
+        for at in range(0, len(odd), 2_000):
+            part = odd[at : at + 2_000]
+            known.update(zip(part, self._encode(part)))
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none for null."""
+        collecting = gc.isenabled()
+        gc.disable()  # nothing here has cycles, and millions of remembered words make each collection slow
+        try:
+            return self._ids(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _ids(self, texts: list[str | None]) -> list[bytes]:
         split, missing = [], set()
         if len(self.known) > MOST_REMEMBERED:
             self.known.clear()
         known = self.known
         for text in texts:
-            words = (text or "").replace(" ", "\0 ").split("\0") if text and "\0" not in text and "  " not in text and text[0] != " " and text[-1] != " " else None
+            words = text.replace(" ", "\0 ").split("\0") if text and "\0" not in text and "  " not in text and text[0] != " " and text[-1] != " " else None
             split.append(words)
             if words:
                 missing.update(words)
-        order = list(missing - known.keys())
-        for at in range(0, len(order), 10_000):
-            part = order[at : at + 10_000]
-            known.update(zip(part, self._encode(part)))
+        self._learn(missing - known.keys())
         return [b"".join(map(known.__getitem__, words)) if words else self._encode([text])[0] if text else b"" for text, words in zip(texts, split)]
 
 
