@@ -2,8 +2,7 @@ r"""Token ids in sorted-string-table shards (operator 8).
 
 A shard holds a range of documents in the order of their ids:
 
-    data blocks   zlib-compressed entries, about `block_bytes` each before compression; an entry is the
-                  length of the prefix that its key shares with the one before, the length of the rest, the
+    data blocks   entries, about `block_bytes` together; an entry is the length of the prefix that its key shares with the one before, the length of the rest, the
                   rest, the number of token ids and the ids as 16- or 32-bit little-endian integers;
                   the first entry of a block shares nothing
     index         for each block: last key, place, size, documents and ids before it in the shard
@@ -23,7 +22,6 @@ from __future__ import annotations
 import bisect
 import struct
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -108,7 +106,7 @@ class Writer:
 
     def _flush(self) -> None:
         if self.block:
-            data = zlib.compress(bytes(self.block), 1)
+            data = bytes(self.block)
             self.sink.write(data)
             self.index.append(INDEX.pack(self.last, self.at, len(data), *self.before))
             self.at += len(data)
@@ -141,7 +139,7 @@ class Reader:
     def block(self, i: int) -> Iterator[tuple[bytes, int, bytes]]:
         """(key, ids before it in the shard, ids as 32-bit integers) of each entry of a block."""
         _, at, size, _, start = self.index[i]
-        data, key, p = zlib.decompress(self.data[at : at + size]), b"", 0
+        data, key, p = self.data[at : at + size], b"", 0
         while p < len(data):
             shared, p = _read_varint(data, p)
             rest, p = _read_varint(data, p)

@@ -28,6 +28,31 @@ def _shown() -> dict[int, str]:
 _SHOWN = _shown()
 
 
+class _Ids(dict):
+    """Ids of words as bytes; a word that isn't there yet is encoded when it is asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.merge = tokenizer, tokenizer.model.tokenize
+        self.marks = {mark: self.whole(mark) for mark in ".,;:"}
+
+    def whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        mark = self.marks.get(word[-1])
+        body = word if mark is None else word[:-1]
+        if body.isalpha() or body[:1] == " " and body[1:].isalpha():
+            ids = self.get(body)
+            if ids is None:
+                self[body] = ids = array("I", [t.id for t in self.merge(body.encode("utf-8").decode("latin-1").translate(_SHOWN))]).tobytes()
+            if mark is not None:
+                self[word] = ids = ids + mark
+        else:
+            self[word] = ids = self.whole(word)
+        return ids
+
+
 class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -35,57 +60,25 @@ class Encoder:
 
         if sys.byteorder != "little" or array("I").itemsize != 4:
             raise RuntimeError("ids are packed in the machine's own order")
-
         self.tokenizer = Tokenizer.from_file(path)
-        self.merge = self.tokenizer.model.tokenize
-        self.marks = dict(zip(".,;:", self._encode([*".,;:"])))
-        self.known: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, words: set[str]) -> None:
-        """Remember the ids of new words; of a word with one mark after it, from those of its parts."""
-        known, merge, marks, odd = self.known, self.merge, self.marks, []
-        for word in words:
-            if word[-1] in marks:
-                body, mark = word[:-1], marks[word[-1]]
-            else:
-                body, mark = word, b""
-            if not (body.isalpha() or body[:1] == " " and body[1:].isalpha()):
-                odd.append(word)
-                continue
-            ids = known.get(body)
-            if ids is None:
-                known[body] = ids = array("I", [t.id for t in merge(body.encode("utf-8").decode("latin-1").translate(_SHOWN))]).tobytes()
-            if mark:
-                known[word] = ids + mark
-        for at in range(0, len(odd), 2_000):
-            part = odd[at : at + 2_000]
-            known.update(zip(part, self._encode(part)))
+        self.known = _Ids(self.tokenizer)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; none for null."""
+        if len(self.known) > MOST_REMEMBERED:
+            self.known.clear()
         collecting = gc.isenabled()
         gc.disable()  # nothing here has cycles, and millions of remembered words make each collection slow
         try:
-            return self._ids(texts)
+            return [self._ids(text) if text else b"" for text in texts]
         finally:
             if collecting:
                 gc.enable()
 
-    def _ids(self, texts: list[str | None]) -> list[bytes]:
-        split, missing = [], set()
-        if len(self.known) > MOST_REMEMBERED:
-            self.known.clear()
-        known = self.known
-        for text in texts:
-            words = text.replace(" ", "\0 ").split("\0") if text and "\0" not in text and "  " not in text and text[0] != " " and text[-1] != " " else None
-            split.append(words)
-            if words:
-                missing.update(words)
-        self._learn(missing - known.keys())
-        return [b"".join(map(known.__getitem__, words)) if words else self._encode([text])[0] if text else b"" for text, words in zip(texts, split)]
+    def _ids(self, text: str) -> bytes:
+        if "\0" in text or "  " in text or text[0] == " " or text[-1] == " ":
+            return self.known.whole(text)
+        return b"".join(map(self.known.__getitem__, text.replace(" ", "\0 ").split("\0")))
 
 
 @lru_cache(maxsize=4)
