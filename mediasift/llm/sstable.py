@@ -2,9 +2,9 @@ r"""Token ids in sorted-string-table shards (operator 8).
 
 A shard holds a range of documents in the order of their ids:
 
-    data blocks   entries, about `block_bytes` together; an entry is the length of the prefix that its key shares with the one before, the length of the rest, the
-                  rest, the number of token ids and the ids as 16- or 32-bit little-endian integers;
-                  the first entry of a block shares nothing
+    data blocks   entries, about `block_bytes` together: the length of the prefix that the key shares with
+                  the one before, the length of the rest, the rest, the number of token ids and the ids as
+                  16- or 32-bit little-endian integers; the first entry of a block shares nothing
     index         for each block: last key, place, size, documents and ids before it in the shard
     Bloom filter  10 bits a key, 7 probes by double hashing
     footer        places and sizes of index and filter, documents, ids, width of an id, magic
