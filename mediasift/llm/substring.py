@@ -55,7 +55,7 @@ def _words(text: str | None) -> list[bytes]:
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 1_000_000:
+    if len(_hashes) > 150_000:
         _hashes.clear()
     return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
 

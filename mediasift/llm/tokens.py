@@ -15,7 +15,7 @@ import sys
 from array import array
 from functools import lru_cache
 
-MOST_REMEMBERED = 700_000
+MOST_REMEMBERED = 350_000
 
 
 def _shown() -> dict[int, str]:
