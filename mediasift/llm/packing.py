@@ -68,6 +68,12 @@ class Plan:
 
 
 def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The shortest of the plans that fill gaps exactly by up to three, two or one pieces: small pieces that
+    triples use up early are at times worth more to the best fit."""
+    return min((_plan(counts, capacity, most) for most in (3, 2, 1)), key=lambda p: p.sequences)
+
+
+def _plan(counts: dict[int, int], capacity: int, most: int) -> Plan:
     """Patterns for pieces of 1 to `capacity` tokens, of which there are counts[length]."""
     left = {k: v for k, v in counts.items() if v > 0}
     patterns: list[tuple[tuple[int, ...], int]] = []
@@ -93,12 +99,12 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
                 found = (first,)
             elif enough(first, gap):
                 found = (first, gap)
-            else:
+            elif most > 1:
                 have = sorted((x for x in left if x < gap), reverse=True)
                 pair = next((b for b in have if 2 * b >= gap and enough(first, b, gap - b)), None)
                 if pair:
                     found = (first, pair, gap - pair)
-                else:
+                elif most > 2:
                     for b in have:
                         if 3 * b < gap:
                             break

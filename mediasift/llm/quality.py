@@ -114,18 +114,18 @@ def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Co
     return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "label")
 
 
-def score_quality(docs: DataFrame, labelled: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 from the threshold on).
 
     Null and empty texts are scored as texts without words. Columns of these two names are replaced; all
     others stay. An empty table gives no rows.
     """
-    return docs.withColumn("score", scorer(fit(labelled))("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.withColumn("score", scorer(model)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def learned_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labelled = labelled_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
-    return score_quality(docs, labelled)
+    return score_quality(docs, fit(labelled))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
