@@ -19,7 +19,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -79,6 +79,20 @@ def _apart(rows: DataFrame) -> DataFrame:
     return rows.join(kept.select("doc_id"), "doc_id", "left_semi")
 
 
+class _WordScores(dict):
+    """Scores of words, each looked up among the terms when it is first asked for."""
+
+    def __init__(self, scores: dict[str, float]):
+        super().__init__()
+        self.scores = scores
+
+    def __missing__(self, word: str) -> float:
+        scores = self.scores
+        terms = (word, *(word[:k] + "*" for k in reversed(PREFIXES) if len(word) >= k))
+        self[word] = score = next((scores[t] for t in terms if t in scores), DRIFT)
+        return score
+
+
 @dataclass(frozen=True)
 class Model:
     """Scores of terms, lambda of the extreme-value law, and the logistic curve of the sum of normalised scores."""
@@ -87,22 +101,18 @@ class Model:
     rate: float
     slope: float = 1.0
     intercept: float = -3.0
-    memo: dict[str, float] = field(default_factory=dict, compare=False, repr=False)
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": {}}
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "memo", _WordScores(self.scores))
 
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__.update(state)
+    def __reduce__(self):
+        return Model, (self.scores, self.rate, self.slope, self.intercept)
 
     def word_scores(self, own: list[str]) -> np.ndarray:
         """Of each word: its own score, else that of its longest known prefix, else the drift."""
-        memo, scores = self.memo, self.scores
-        if len(memo) > _MOST_REMEMBERED:
-            memo.clear()
-        for w in set(own) - memo.keys():
-            memo[w] = next((scores[t] for t in (w, *(w[:k] + "*" for k in reversed(PREFIXES) if len(w) >= k)) if t in scores), DRIFT)
-        return np.fromiter(map(memo.__getitem__, own), dtype=float, count=len(own))
+        if len(self.memo) > _MOST_REMEMBERED:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, own), dtype=float, count=len(own))
 
     def passages(self, own: list[str]) -> list[tuple[int, int, float]]:
         """Significant segments (first word, word after the last, normalised score)."""
