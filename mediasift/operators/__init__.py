@@ -1,5 +1,5 @@
 """Operators over the media tables; importing the modules registers their queries."""
 
-from mediasift.operators import catalog, dedup
+from mediasift.operators import catalog, dedup, scoring, timeline
 
-__all__ = ["catalog", "dedup"]
+__all__ = ["catalog", "dedup", "scoring", "timeline"]
