@@ -51,12 +51,17 @@ def statistics(text: str | None) -> np.ndarray:
     ])
 
 
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def measure(texts: pd.Series) -> pd.Series:
+    return pd.Series([statistics(t) for t in texts], dtype=object)
+
+
 def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each class that the partition holds: rows, sum and sum of products."""
     d, held = len(NAMES), {}
     for pdf in batches:
-        for label, text in zip(pdf["label"], pdf["text"]):
-            x = statistics(text)
+        for label, x in zip(pdf["label"], pdf["x"]):
+            x = np.asarray(x, dtype=float)
             n, s, p = held.setdefault(int(label), [0, np.zeros(d), np.zeros((d, d))])
             held[int(label)] = [n + 1, s + x, p + np.outer(x, x)]
     if held:
@@ -79,7 +84,12 @@ class Discriminant:
 
 def fit(labelled: DataFrame, text: str = "text", label: str = "label", to_pooled: float = 0.1, to_diagonal: float = 0.05) -> Discriminant | None:
     """The discriminant of all rows with label 0 or 1; None if either class has no row. Null labels are left out."""
-    rows = labelled.select(F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
+    return fit_measured(labelled.select(measure(F.col(text)).alias("x"), F.col(label).alias("label")), to_pooled, to_diagonal)
+
+
+def fit_measured(measured: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05) -> Discriminant | None:
+    """As fit, from the statistics x of the texts."""
+    rows = measured.select("x", F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
     d = len(NAMES)
     sums = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
     for r in rows.mapInPandas(_sums, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect():  # 2 * 273 numbers
@@ -108,10 +118,13 @@ def scorer(model: Discriminant | None):
     return score
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(text, label) of the documents that have one label and pass `learn`; repeated equal labels count once."""
+def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, x, label) of the documents that have one label and pass `learn`; repeated equal labels count once.
+
+    Texts are measured where they are read, so that the join moves 16 numbers of a document and never its text.
+    """
     own = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn).distinct()
-    return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "label")
+    return docs.filter(F.col("doc_id").isNotNull() & learn).select("doc_id", measure("text").alias("x")).join(own, "doc_id").select("doc_id", "x", "label")
 
 
 def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD) -> DataFrame:
@@ -124,8 +137,8 @@ def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float
 
 
 def learned_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = labelled_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
-    return score_quality(docs, fit(labelled))
+    labelled = labelled_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
+    return score_quality(docs, fit_measured(labelled))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
