@@ -118,6 +118,12 @@ def scorer(model: Discriminant | None):
     return score
 
 
+def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, text, label) of the documents that have one label and pass `learn`; repeated equal labels count once."""
+    own = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn).distinct()
+    return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "label")
+
+
 def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
     """(doc_id, x, label) of the documents that have one label and pass `learn`; repeated equal labels count once.
 
