@@ -2,14 +2,17 @@
 
 Words are lower-cased runs of letters and digits. A passage is every run of as many words as a template
 has (a shorter text is one passage); it matches a template if twice their common bigrams over the sum of
-their bigrams, both as multisets, is at least the threshold. Size bounds prune first: a text with fewer
-bigrams than t / (2 - t) of the template's can't reach t. Then only windows in which enough bigrams are
-the template's at all are compared.
+their bigrams, both as multisets, is at least the threshold. A licence has several templates, its wordings.
+
+Size bounds prune first: a text with fewer bigrams than t / (2 - t) of the template's can't reach t. An
+index of the templates' bigrams then gives each template its places in the text, and only windows in
+which enough bigrams are the template's at all are compared.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
@@ -18,19 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .license_templates import WORDINGS
 
 DICE = 0.8
-#: Identifiers of licences and the usual wording of their notices.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "MIT": "Released under the MIT License.",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-}
+#: Wordings a licence has: "MIT", "MIT#1", "MIT#2" and so on; the licence is what comes before the mark.
+TEMPLATES = {f"{name}#{k}" if k else name: text for name, texts in WORDINGS.items() for k, text in enumerate(texts)}
+MOST_TEMPLATES = 10_000
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -49,54 +45,93 @@ def dice(a: Counter, b: Counter) -> float:
 
 class Scanner:
     def __init__(self, templates: dict[str, str], threshold: float):
+        if len(templates) > MOST_TEMPLATES:
+            raise ValueError(f"{len(templates)} templates; each worker holds them, so {MOST_TEMPLATES} at most")
         self.threshold = threshold
         self.templates = []
+        self.index: dict[tuple[str, str], list[int]] = {}
         for name, text in sorted(templates.items()):
-            own = words(text)
-            if len(own) > 1:
-                self.templates.append((name, len(own), Counter(bigrams(own)), set(own)))
-        self.vocabulary = set().union(*(t[3] for t in self.templates)) if self.templates else set()
+            template = Counter(bigrams(words(text)))
+            if template:
+                for p in template:
+                    self.index.setdefault(p, []).append(len(self.templates))
+                self.templates.append((name.partition("#")[0], template.total(), template))
+
+    def _passages(self, pairs: list[tuple[str, str]], hits: list[int], template: Counter, m: int) -> list[tuple[int, int, int, float]]:
+        """(common bigrams, first word, word after the last, Dice) of the best of overlapping passages of one template."""
+        t, width = self.threshold, min(m, len(pairs))
+        need = t * (width + m) / 2
+        if len(hits) < need - 1e-9:
+            return []
+        at = np.array(hits)
+        first = max(0, int(at[0]) - width + 1)  # the windows that touch a hit are between these
+        mask = np.zeros(int(at[-1]) - first + 2, dtype=np.int64)
+        mask[at - first + 1] = 1
+        sums = np.cumsum(mask)
+        starts = np.arange(first, min(int(at[-1]), len(pairs) - width) + 1)
+        inside = sums[np.minimum(starts - first + width, len(sums) - 1)] - sums[starts - first]
+        out, best, before, have, common = [], None, None, Counter(), 0
+        for s in starts[inside >= need - 1e-9].tolist():
+            if before is not None and s == before + 1:  # one bigram goes, one comes
+                gone, new = pairs[before], pairs[s + width - 1]
+                if gone in template:
+                    common -= have[gone] <= template[gone]
+                    have[gone] -= 1
+                if new in template:
+                    have[new] += 1
+                    common += have[new] <= template[new]
+            else:
+                have = Counter(p for p in pairs[s : s + width] if p in template)
+                common = (have & template).total()
+            before, score = s, 2 * common / (width + m)
+            if score < t:
+                continue
+            if best and s < best[2]:  # overlapping passages of one template: the best, the first of equals
+                best = (common, s, s + width + 1, score) if score > best[3] else best
+            else:
+                out += [best] if best else []
+                best = (common, s, s + width + 1, score)
+        return out + [best] if best else out
 
     def matches(self, text: str | None) -> list[tuple[str, int, int, float]]:
-        """(licence, first word, word after the last, Dice) of the best passage at each place, in order."""
-        own, out = words(text), []
-        if len(own) < 2 or self.vocabulary.isdisjoint(own):
-            return out
-        pairs = bigrams(own)
-        at = {}
+        """(licence, first word, word after the last, Dice) of the best passage at each place, in order.
+
+        Wordings hold and resemble each other (GPL-2.0 and GPL-3.0, the clauses of BSD): of overlapping
+        passages the one with the most bigrams in common stands, then the higher Dice, the earlier, the
+        first by name. If a passage inside it has a higher Dice with a wording of the same licence, that
+        one is given.
+        """
+        pairs = bigrams(words(text))
+        hits: dict[int, list[int]] = {}
         for i, p in enumerate(pairs):
-            if p[0] in self.vocabulary and p[1] in self.vocabulary:
-                at.setdefault(p, []).append(i)
-        for name, size, template, _ in self.templates:
-            t, m = self.threshold, size - 1
-            if len(pairs) < t / (2 - t) * m:
-                continue
-            hits = [i for p in template for i in at.get(p, ())]
-            width = min(m, len(pairs))
-            need = t * (width + m) / 2
-            if len(hits) < need:
+            if p in self.index:
+                for k in self.index[p]:
+                    hits.setdefault(k, []).append(i)
+        found = []
+        for k, places in hits.items():
+            name, m, template = self.templates[k]
+            if len(pairs) >= self.threshold / (2 - self.threshold) * m - 1e-9:
+                found += [(-common, -score, i, name, j) for common, i, j, score in self._passages(pairs, places, template, m)]
+        kept: list[tuple[int, int, str]] = []  # apart from each other, in order
+        best: dict[int, tuple[str, int, int, float]] = {}
+        for _, score, i, name, j in sorted(found):
+            at = bisect_left(kept, (i,))
+            if (at == 0 or kept[at - 1][1] <= i) and (at == len(kept) or j <= kept[at][0]):
+                kept.insert(at, (i, j, name))
+                best[i] = (name, i, j, -score)
                 continue
-            mask = np.zeros(len(pairs) + 1, dtype=np.int64)
-            mask[np.array(hits) + 1] = 1
-            sums = np.cumsum(mask)
-            best = None
-            for s in np.nonzero(sums[width:] - sums[:-width] >= need - 1e-9)[0].tolist():
-                score = dice(Counter(pairs[s : s + width]), template)
-                if score < t:
-                    continue
-                if best and s < best[2]:  # overlapping passages of one template: the best, the first of equals
-                    best = (name, s, s + width + 1, score) if score > best[3] else best
-                else:
-                    out += [best] if best else []
-                    best = (name, s, s + width + 1, score)
-            out += [best] if best else []
-        return sorted(out, key=lambda x: (x[1], -x[3], x[0]))
+            at -= at == len(kept) or kept[at][0] > i
+            first, after, own = kept[at] if at >= 0 else (i, i, "")
+            if own == name and first <= i and j <= after and -score > best[first][3]:
+                best[first] = (name, i, j, -score)
+        return [best[i] for i, _, _ in kept]
 
 
 def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: dict[str, str] | None = None, threshold: float = DICE) -> DataFrame:
     """(doc_id, license, score, n_matches, matches) for each row of docs: the licence of the best passage
     (the earliest, then the first by name of equals; null if none), its Dice coefficient (0 if none) and all
-    matching passages.
+    passages that match and don't overlap a better one (see Scanner.matches). `templates` maps a licence to a
+    wording; more wordings of one licence follow as "name#1" and so on.
 
     Null, empty and one-word texts match nothing. Repeated rows are scanned each on its own; other columns
     aren't read. An empty table gives no rows.
