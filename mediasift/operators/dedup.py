@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediasift.operators.nearest import hamming_costs, nearest_others
 from mediasift.operators.registry import query
 from mediasift.sources.views import MEDIA_SQL, media, table
 
@@ -61,6 +62,12 @@ def perceptual_duplicates(hashes: DataFrame, threshold: int, candidates: int = C
     return number.join(F.broadcast(first)).withColumn("m", nearest).filter(F.col("m.distance") <= threshold).select("media_id", F.col("m.other").alias("duplicate_of"), F.col("m.distance").cast("long").alias("distance"))
 
 
+def perceptual_duplicates_all(hashes: DataFrame, threshold: int) -> DataFrame:
+    """(media_id, duplicate_of, distance): nearest of all others within the threshold, the earliest of equals."""
+    number = hashes.select("media_id", F.conv("bits", 2, -10).cast("long").alias("print"))
+    return nearest_others(number, hamming_costs, threshold).select("media_id", "duplicate_of", F.col("cost").cast("long").alias("distance"))
+
+
 def acoustic_similarity(a: Column, b: Column) -> Column:
     """Best 1 - bit error rate of two arrays of 16-bit frames over small shifts; 0 if either is empty."""
     def at(s: Column) -> Column:
@@ -87,10 +94,20 @@ def j1(spark: SparkSession, d: str) -> DataFrame:
     "h AS (SELECT media_id, other, CAST(hamming(x, y) AS BIGINT) AS distance FROM p WHERE k <= 100) SELECT media_id, arg_min(other, (distance, other)) AS duplicate_of, min(distance) AS distance FROM h WHERE distance <= 16 GROUP BY media_id",
 )
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    """Threshold 16, as these hashes have no pair within the usual 10."""
+    """Among the reference's 100 candidates. Threshold 16, as these hashes have no pair within the usual 10."""
     return perceptual_duplicates(perceptual_hashes(spark, d), 16)
 
 
+@query(
+    "j2_perceptual_duplicate_all",
+    f"WITH {PHASH_SQL}, h AS (SELECT a.media_id, c.media_id AS other, CAST(hamming(a.bits, c.bits) AS BIGINT) AS distance FROM ph a JOIN ph c ON a.media_id <> c.media_id) "
+    "SELECT media_id, arg_min(other, (distance, other)) AS duplicate_of, min(distance) AS distance FROM h WHERE distance <= 16 GROUP BY media_id",
+)
+def j2_all(spark: SparkSession, d: str) -> DataFrame:
+    """Among all others."""
+    return perceptual_duplicates_all(perceptual_hashes(spark, d), 16)
+
+
 @query(
     "j4_duplicate_cascade",
     f"WITH {MEDIA_SQL}, {PHASH_SQL}, e AS (SELECT a.media_id, min(b.media_id) AS other FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id), "
