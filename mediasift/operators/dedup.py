@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.operators.nearest import hamming_costs, nearest_others
+from mediasift.operators.nearest import acoustic_costs, hamming_costs, nearest_others
 from mediasift.operators.registry import query
 from mediasift.sources.views import MEDIA_SQL, media, table
 
@@ -80,6 +80,33 @@ def acoustic_similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_max(F.transform(F.sequence(-m, m), at))).otherwise(0.0)
 
 
+def cascade(m: DataFrame, exact: DataFrame, near: DataFrame, heard: DataFrame) -> DataFrame:
+    """For each medium the first of exact (e), near (h, distance) and heard (a, s) that it has."""
+    kind = F.when(F.col("e").isNotNull(), "EXACT").when(F.col("h").isNotNull(), "PERCEPTUAL").when(F.col("a").isNotNull(), "ACOUSTIC").otherwise("NONE")
+    score = F.when(F.col("e").isNotNull(), 1.0).when(F.col("h").isNotNull(), similarity(F.col("distance"))).otherwise(F.coalesce("s", F.lit(0.0)))
+    joined = m.join(exact, "media_id", "left").join(near, "media_id", "left").join(heard, "media_id", "left")
+    return joined.select("media_id", F.coalesce("e", "h", "a").alias("duplicate_of"), kind.alias("match_type"), score.alias("similarity"))
+
+
+def acoustic_prints(spark: SparkSession, d: str) -> DataFrame:
+    """(media_id, print): the perceptual hash of a sound cut into four 16-bit frames."""
+    frames = F.expr("transform(sequence(0, 3), i -> cast(conv(substring(bits, 16 * i + 1, 16), 2, 10) as bigint))")
+    return perceptual_hashes(spark, d).filter("media_id % 4 = 2").select("media_id", frames.alias("print"))
+
+
+ACOUSTIC_SQL = (
+    "au AS (SELECT media_id, bits FROM ph WHERE media_id % 4 = 2), "
+    "sh AS (SELECT a.media_id, c.media_id AS other, max(1 - hamming(substr(a.bits, 16 * greatest(0, s) + 1, 16 * (4 - abs(s))), substr(c.bits, 16 * greatest(0, -s) + 1, 16 * (4 - abs(s)))) / (16.0 * (4 - abs(s)))) AS similarity "
+    "FROM au a JOIN au c ON a.media_id <> c.media_id, unnest(range(-2, 3)) AS t(s) GROUP BY a.media_id, c.media_id), "
+    "ac AS (SELECT media_id, arg_min(other, (-similarity, other)) AS other, max(similarity) AS similarity FROM sh WHERE similarity >= 0.8 GROUP BY media_id)"
+)
+
+
+def acoustic_duplicates(prints: DataFrame, threshold: float = ACOUSTIC) -> DataFrame:
+    """(media_id, duplicate_of, similarity): most similar of all others from the threshold on, the earliest of equals."""
+    return nearest_others(prints, acoustic_costs, -threshold).select("media_id", "duplicate_of", (-F.col("cost")).alias("similarity"))
+
+
 @query(
     "j1_exact_duplicate",
     f"WITH {MEDIA_SQL} SELECT a.media_id, min(b.media_id) AS duplicate_of, 1.0 AS similarity FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id",
@@ -126,6 +153,27 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return m.join(exact, "media_id", "left").join(near, "media_id", "left").select("media_id", F.coalesce("e", "h").alias("duplicate_of"), kind.alias("match_type"), score.alias("similarity"))
 
 
+@query("j3_acoustic_duplicate", f"WITH {PHASH_SQL}, {ACOUSTIC_SQL} SELECT media_id, other AS duplicate_of, similarity FROM ac")
+def j3(spark: SparkSession, d: str) -> DataFrame:
+    return acoustic_duplicates(acoustic_prints(spark, d))
+
+
+@query(
+    "j4_duplicate_cascade_all",
+    f"WITH {MEDIA_SQL}, {PHASH_SQL}, {ACOUSTIC_SQL}, e AS (SELECT a.media_id, min(b.media_id) AS other FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id), "
+    "h AS (SELECT a.media_id, arg_min(c.media_id, (hamming(a.bits, c.bits), c.media_id)) AS other, min(hamming(a.bits, c.bits)) AS distance FROM ph a JOIN ph c ON a.media_id <> c.media_id WHERE hamming(a.bits, c.bits) <= 16 GROUP BY a.media_id) "
+    "SELECT m.media_id, coalesce(e.other, h.other, ac.other) AS duplicate_of, CASE WHEN e.other IS NOT NULL THEN 'EXACT' WHEN h.other IS NOT NULL THEN 'PERCEPTUAL' WHEN ac.other IS NOT NULL THEN 'ACOUSTIC' ELSE 'NONE' END AS match_type, "
+    "CASE WHEN e.other IS NOT NULL THEN 1.0 WHEN h.other IS NOT NULL THEN 1 - h.distance / 64.0 WHEN ac.other IS NOT NULL THEN ac.similarity ELSE 0.0 END AS similarity FROM media m LEFT JOIN e USING (media_id) LEFT JOIN h USING (media_id) LEFT JOIN ac USING (media_id)",
+)
+def j4_all(spark: SparkSession, d: str) -> DataFrame:
+    """Exact before perceptual before acoustic before none, each among all media."""
+    m = media(spark, d).select("media_id", "sha256")
+    exact = exact_duplicates(m, "sha256", [], "media_id").withColumnRenamed("duplicate_of", "e")
+    near = perceptual_duplicates_all(perceptual_hashes(spark, d), 16).withColumnRenamed("duplicate_of", "h")
+    heard = acoustic_duplicates(acoustic_prints(spark, d)).select("media_id", F.col("duplicate_of").alias("a"), F.col("similarity").alias("s"))
+    return cascade(m, exact, near, heard)
+
+
 @query(
     "m1_hamming_distance",
     f"WITH {MEDIA_SQL} SELECT media_id, CAST(bit_count(xor(('0x' || sha256[1:16])::UBIGINT, ('0x' || sha256[17:32])::UBIGINT)) AS BIGINT) AS distance, greatest(0.0, 1 - bit_count(xor(('0x' || sha256[1:16])::UBIGINT, ('0x' || sha256[17:32])::UBIGINT)) / 64.0) AS similarity FROM media",

@@ -1,7 +1,7 @@
 import random
 
-from mediasift.operators.dedup import perceptual_duplicates_all
-from mediasift.operators.nearest import hamming_costs, nearest_others
+from mediasift.operators.dedup import acoustic_duplicates, cascade, perceptual_duplicates_all
+from mediasift.operators.nearest import acoustic_costs, hamming_costs, nearest_others
 
 
 def brute(rows, cost, limit):
@@ -31,3 +31,37 @@ def test_nearest_hashes_equal_brute_force(spark):
     for block in (30, 4096):
         assert sorted(tuple(x) for x in nearest_others(df, hamming_costs, 3, block).collect()) == brute(rows, cost, 3)
     assert nearest_others(df.limit(0), hamming_costs, 3).count() == 0
+
+
+def similar(x, y):
+    best, most = 0.0, min(5, min(len(x), len(y)) // 2)
+    for s in range(-most, most + 1) if x and y else ():
+        i, j = max(0, s), max(0, -s)
+        n = min(len(x) - i, len(y) - j)
+        if n > 0:
+            best = max(best, 1 - sum(((a ^ b) & 65535).bit_count() for a, b in zip(x[i : i + n], y[j : j + n])) / (16.0 * n))
+    return best
+
+
+def test_acoustic_duplicates_equal_brute_force(spark):
+    r = random.Random(3)
+    tracks = [[r.getrandbits(16) for _ in range(r.choice([1, 2, 4, 9, 20]))] for _ in range(15)]
+    rows = [(i, [x ^ (1 << r.randrange(16) if r.random() < 0.7 else 0) for x in r.choice(tracks)][r.randrange(3) :]) for i in range(150)]
+    rows += [(300, tracks[4]), (301, tracks[4]), (302, None), (303, []), (9, tracks[2]), (9, tracks[3])]
+    want = [(a, b, -c) for a, b, c in brute(rows, lambda x, y: -similar(x, y), -0.8)]
+    df = spark.createDataFrame(rows, "media_id long, print array<long>")
+    for heard in (acoustic_duplicates(df), nearest_blocks(df)):
+        assert sorted(tuple(x) for x in heard.collect()) == want
+    assert len(want) > 100
+
+
+def nearest_blocks(df):
+    return nearest_others(df, acoustic_costs, -0.8, 40).selectExpr("media_id", "duplicate_of", "-cost AS similarity")
+
+
+def test_a_sound_is_an_acoustic_duplicate_only_after_the_others(spark):
+    m = spark.createDataFrame([(1,), (2,), (3,), (4,)], "media_id long")
+    exact, near = spark.createDataFrame([(1, 9)], "media_id long, e long"), spark.createDataFrame([(1, 8, 4), (2, 8, 16)], "media_id long, h long, distance long")
+    heard = spark.createDataFrame([(1, 7, 0.9), (2, 7, 0.9), (3, 7, 0.875)], "media_id long, a long, s double")
+    got = sorted(tuple(x) for x in cascade(m, exact, near, heard).collect())
+    assert got == [(1, 9, "EXACT", 1.0), (2, 8, "PERCEPTUAL", 0.75), (3, 7, "ACOUSTIC", 0.875), (4, None, "NONE", 0.0)]
