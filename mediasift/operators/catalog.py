@@ -143,6 +143,28 @@ def f8(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(everything)
 
 
+ROLE_SQL = "u AS (SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'ANALYST' WHEN 'MACHINERY' THEN 'ADMIN' WHEN 'FURNITURE' THEN 'RESEARCHER' ELSE 'USER' END AS role FROM customer)"
+
+
+def access(users: DataFrame, items: DataFrame) -> DataFrame:
+    """(user_id, role, media_id) for all users (user_id, role) and items (media_id, owner): one row for each
+    item that a user owns, and for an elevated user one row with a null media_id, which stands for every item.
+
+    An elevated user's own items are part of everything and aren't listed.
+    """
+    high = F.col("role").isin(*ELEVATED)
+    own = users.filter(~F.coalesce(high, F.lit(False))).join(items, F.col("user_id") == F.col("owner")).select("user_id", "role", "media_id")
+    return own.unionByName(users.filter(high).select("user_id", "role", F.lit(None).cast(items.schema["media_id"].dataType).alias("media_id")))
+
+
+@query("f8_row_access_all", f"WITH {ROLE_SQL} SELECT user_id, role, o_orderkey AS media_id FROM u JOIN orders ON o_custkey = user_id WHERE role NOT IN ('ANALYST', 'MODERATOR', 'ADMIN') UNION ALL SELECT user_id, role, NULL AS media_id FROM u WHERE role IN ('ANALYST', 'MODERATOR', 'ADMIN')")
+def f8_all(spark: SparkSession, d: str) -> DataFrame:
+    """What every user may see; everything is one row."""
+    role = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'ANALYST' WHEN 'MACHINERY' THEN 'ADMIN' WHEN 'FURNITURE' THEN 'RESEARCHER' ELSE 'USER' END")
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), role.alias("role"))
+    return access(users, table(spark, d, "orders").select(F.col("o_orderkey").alias("media_id"), F.col("o_custkey").alias("owner")))
+
+
 @query(
     "f9_redaction",
     f"WITH {MEDIA_SQL} SELECT media_id, CASE WHEN uploader = 'src1' THEN media_id END AS shown_id, CASE WHEN uploader = 'src1' THEN sha256 ELSE 'Verified Reference Item' END AS shown_name FROM media",
