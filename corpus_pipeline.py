@@ -42,7 +42,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("decontaminated", decontaminated), ("packed", packed)]
 
-#: Trained scores, XXH64 fingerprints and token ids can't be written in SQL; tests hold each stage against a brute-force version.
+#: Trained scores, XXH64 fingerprints and token ids can't be written in SQL. Tests hold near_duplicates and decontaminated against a brute-force version; of the others only the operators.
 ORACLE_SQL = None
 
 

@@ -1,0 +1,54 @@
+import random
+import re
+
+import corpus_pipeline
+from mediasift.llm.simhash import fingerprint
+
+STAGES = dict(corpus_pipeline.STAGES)
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def rows(seed=4):
+    r = random.Random(seed)
+    word = lambda: r.choice("abcdefghij") + r.choice("klmnopqrst") + str(r.randrange(40))
+    texts = [" ".join(word() for _ in range(r.choice([5, 30, 90]))) for _ in range(30)]
+    texts += texts[3:9] + [texts[10] + " ", texts[11].upper(), "", "one"]
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    return [(100 + i, texts[k], "en", "s", len(texts[k])) for i, k in enumerate(order)]
+
+
+def test_near_duplicates_keeps_the_smallest_of_each_group(spark):
+    docs = rows()
+    prints = {d[0]: fingerprint(d[1]) for d in docs}
+    group = {i: i for i in prints}
+    find = lambda x: x if group[x] == x else find(group[x])
+    for a in prints:
+        for b in prints:
+            if ((prints[a] ^ prints[b]) & (1 << 64) - 1).bit_count() <= 2:
+                x, y = find(a), find(b)
+                group[max(x, y)] = min(x, y)
+    out = STAGES["near_duplicates"](spark, spark.createDataFrame(docs, SCHEMA), "")
+    assert sorted(tuple(x) for x in out.collect()) == sorted(d for d in docs if find(d[0]) == d[0])
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"] and len({find(i) for i in prints}) < len(docs)
+
+
+def test_decontaminated_drops_a_twentieth(spark, tmp_path):
+    docs = rows()
+    r = random.Random(6)
+    items = [" ".join(f"b{r.randrange(900)}" for _ in range(20)) for _ in range(5)] + ["b1 b2 b3"]
+    docs += [(500 + i, f"{docs[i][1]} {items[i % 6]}", "en", "s", 1) for i in range(12)] + [(600, " ".join([d[1] for d in docs[:30]] + [items[0]]), "en", "s", 1)]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    words = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+
+    def kept(text):
+        w, hit = words(text), set()
+        for b in map(words, items):
+            n = min(13, len(b))
+            windows = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}
+            hit |= {k for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in windows for k in range(i, i + n)}
+        return not hit or 20 * len(hit) < len(w)
+
+    want = sorted(d for d in docs if kept(d[1]))
+    assert sorted(tuple(x) for x in STAGES["decontaminated"](spark, spark.createDataFrame(docs, SCHEMA), str(tmp_path)).collect()) == want
+    assert 600 in {d[0] for d in want} and len(want) < len(docs)
