@@ -43,15 +43,14 @@ def _cut(path: str, capacity: int, end_id: int):
         task, seen, encode = TaskContext.get().partitionId(), defaultdict(int), encoder(path).encode
         for batch in batches:
             ids, texts, rows = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
-            for at in range(0, len(ids), 256):
-                for doc_id, data in zip(ids[at : at + 256], encode(texts[at : at + 256])):
-                    data += end
-                    n, start, piece = len(data) // 4, 0, 0
-                    while start < n:
-                        length = (n % capacity or capacity) if not start else capacity  # only the first may be shorter
-                        rows.append((doc_id, piece, start, length, crc(data[4 * start : 4 * (start + length)]), task, seen[length]))
-                        seen[length] += 1
-                        start, piece = start + length, piece + 1
+            for doc_id, data in zip(ids, encode(texts)):
+                data += end
+                n, start, piece = len(data) // 4, 0, 0
+                while start < n:
+                    length = (n % capacity or capacity) if not start else capacity  # only the first may be shorter
+                    rows.append((doc_id, piece, start, length, crc(data[4 * start : 4 * (start + length)]), task, seen[length]))
+                    seen[length] += 1
+                    start, piece = start + length, piece + 1
             if rows:
                 kinds = (pa.int64(), pa.int32(), *[pa.int64()] * 5)
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])

@@ -183,12 +183,11 @@ def _write(folder: str, tokenizer: str, end_id: int, block_bytes: int):
         sink = writer = first = None
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                for doc_id, data in zip(ids[at : at + 256], own.encode(texts[at : at + 256])):
-                    if writer is None:
-                        sink = fs.open_output_stream(part)
-                        writer, first = Writer(sink, width, block_bytes), doc_id
-                    writer.add(doc_id, data + end)
+            for doc_id, data in zip(ids, own.encode(texts)):
+                if writer is None:
+                    sink = fs.open_output_stream(part)
+                    writer, first = Writer(sink, width, block_bytes), doc_id
+                writer.add(doc_id, data + end)
         if writer is not None:
             size = writer.close()
             sink.close()

@@ -139,10 +139,15 @@ def test_decontamination(spark, docs):
     assert not decontaminate.contamination(df, bench.limit(0)).filter("contaminated").count()
 
 
-def test_encoder():
+def test_encoder(monkeypatch):
     e = tokens.Encoder(tokens.default_path())
     odd = ["a.\nB c", "x.  y", "it's, ok. 'tis", "a\n\nb c", "\n a", "ß, é. 9, a9. b", "a,, b", "<|endoftext|> a. b", "é́. x", "no 3. 5, ½. ²,", "\x00 a", "x 　y. z", " ", ""]
-    assert [e.encode([x]) for x in odd] == [[e.known.whole(x) if x else b""] for x in odd]
+    assert list(e.encode(odd)) == [e.known.whole(x) if x else b"" for x in odd]
+    many = [*odd, None] * 50
+    for most, chunk in ((tokens.MOST_REMEMBERED, tokens.CHUNK_CHARS), (3, 40)):
+        monkeypatch.setattr(tokens, "MOST_REMEMBERED", most)
+        monkeypatch.setattr(tokens, "CHUNK_CHARS", chunk)
+        assert list(e.encode(many)) == [e.known.whole(x) if x else b"" for x in many]
 
 
 def test_packing(spark, docs):
