@@ -43,6 +43,27 @@ def scored_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.join(docs, "doc_id").select(F.col("doc_id").alias("id"), F.col("quality").cast("int").alias("y_true"), F.least(F.lit(1.0), F.col("n_chars") / 2000).alias("y_prob"))
 
 
+_N = "CAST(o_orderkey % 90 + 10 AS STRING)"
+OPENER = (
+    "CASE o_orderkey % 6 WHEN 0 THEN 'Dr. Smith announced 25 percent growth in 1995.' WHEN 1 THEN 'The U.S. economy grew 3.5% and employs millions!' WHEN 2 THEN 'Click here to subscribe now.' "
+    "WHEN 3 THEN 'Is it really true?' WHEN 4 THEN 'I think this is the best result ever.' ELSE 'Personally, nothing changed...' END"
+)
+BODY = (
+    f"CASE o_orderkey % 7 WHEN 0 THEN 'Company X acquired Company Y in 2024 and employs ' || {_N} || ' people.' WHEN 1 THEN 'Microsoft invested $1,' || {_N} || '0 million in OpenAI while analysts doubted it.' "
+    f"WHEN 2 THEN 'Version 2. 5 was released by Acme Labs Inc. in May 12, 2020.' WHEN 3 THEN 'What if prices rise by ' || {_N} || ' euros' WHEN 4 THEN 'Prof. Jane Doe visited Paris on Monday; she stated nothing.' "
+    f"WHEN 5 THEN 'Prices increased e.g. by ' || {_N} || ' euros... then fell.' ELSE 'Look at that!' END"
+)
+TAIL = "CASE o_orderkey % 4 WHEN 0 THEN 'Senator Bob Lee reported 10% of cases as well as loses.' WHEN 1 THEN 'Short one.' WHEN 2 THEN 'The Paris Climate Summit was held in London yesterday' ELSE '' END"
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(media_id, a, b, c): English text in three parts for each order, as the documents hold none."""
+    return table(spark, sf_dir, "orders").selectExpr("o_orderkey AS media_id", f"{OPENER} AS a", f"{BODY} AS b", f"{TAIL} AS c")
+
+
+STATEMENTS_SQL = f"st AS (SELECT o_orderkey AS media_id, {OPENER} AS a, {BODY} AS b, {TAIL} AS c FROM orders), tx AS (SELECT media_id, trim(concat_ws(' ', a, b, c)) AS text FROM st)"
+
+
 #: The same views for the SQL side, to be put before a query.
 MEDIA_SQL = "media AS (SELECT doc_id AS media_id, source AS uploader, (['IMAGE','VIDEO','AUDIO','TEXT'])[CAST(doc_id % 4 + 1 AS INT)] AS media_type, n_chars AS file_size, sha256(text) AS sha256, lang, text FROM documents)"
 FRAMES_SQL = "frames AS (SELECT user_id AS media_id, event_id, epoch_us(ts) / 1e6 AS t, least(1.0, value / 500) AS score, event_type, props FROM events)"
