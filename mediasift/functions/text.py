@@ -58,7 +58,7 @@ BOUNDARY = rf"(?<=[.!?])(?<!(?:^| )[,;:]{{0,20}}(?i:{_SHORT}|[a-z](?:\.[a-z]){{1
 SPLIT = rf"(?is)^(.*?)\s+\b(?:{CONJUNCTION})\s+((?=[a-z]+ed\b|[a-z]+s\b|employs\b|announced\b|plans\b|operates\b).*)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
 

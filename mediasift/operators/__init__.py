@@ -1,5 +1,5 @@
 """Operators over the media tables; importing the modules registers their queries."""
 
-from mediasift.operators import catalog, claims, dedup, scoring, timeline
+from mediasift.operators import catalog, claims, dedup, scoring, signals, timeline
 
-__all__ = ["catalog", "claims", "dedup", "scoring", "timeline"]
+__all__ = ["catalog", "claims", "dedup", "scoring", "signals", "timeline"]
