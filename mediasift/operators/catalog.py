@@ -11,9 +11,24 @@ from mediasift.sources.views import FRAMES_SQL, LINES_SQL, MEDIA_SQL, SEGMENTS_S
 
 ELEVATED = ("ANALYST", "MODERATOR", "ADMIN")
 #: File endings by MIME type; others end in bin.
-ENDINGS = {"image/jpeg": "jpg", "image/png": "png", "video/mp4": "mp4", "audio/mpeg": "mp3", "audio/wav": "wav", "text/plain": "txt"}
+ENDINGS = {
+    "image/jpeg": "jpg", "image/png": "png", "image/webp": "webp", "image/gif": "gif", "image/bmp": "bmp", "image/tiff": "tiff",
+    "video/mp4": "mp4", "video/quicktime": "mov", "video/x-msvideo": "avi", "video/webm": "webm", "video/x-matroska": "mkv",
+    "audio/mpeg": "mp3", "audio/wav": "wav", "audio/x-wav": "wav", "audio/ogg": "ogg", "audio/flac": "flac", "audio/x-m4a": "m4a", "audio/aac": "aac",
+    "text/plain": "txt", "text/csv": "csv", "text/html": "html", "application/json": "json", "application/pdf": "pdf",
+}
 #: What an upload may be.
-CATEGORIES = {"image/jpeg": "IMAGE", "image/png": "IMAGE", "video/mp4": "VIDEO", "audio/mpeg": "AUDIO", "audio/wav": "AUDIO", "text/plain": "TEXT"}
+ACCEPTED = {
+    "IMAGE": "image/jpeg image/png image/webp image/gif image/bmp image/tiff image/x-ms-bmp",
+    "VIDEO": "video/mp4 video/quicktime video/x-msvideo video/webm video/x-matroska video/mpeg",
+    "AUDIO": "audio/mpeg audio/mp3 audio/wav audio/x-wav audio/wave audio/vnd.wave audio/ogg audio/flac audio/x-flac audio/x-m4a audio/mp4 audio/aac audio/x-aiff",
+    "TEXT": "text/plain text/csv text/tab-separated-values application/json application/pdf",
+}
+CATEGORIES = {mime: kind for kind, mimes in ACCEPTED.items() for mime in mimes.split()}
+#: Types that uploads take in turn here: all known ones and two that aren't.
+TYPES = [*dict.fromkeys([*ENDINGS, *CATEGORIES]), "application/x-odd", "text/plain; charset=utf-8"]
+#: Which media an analysis takes.
+ANALYSES = {"image": ["IMAGE"], "video": ["VIDEO"], "audio": ["AUDIO"], "av_sync": ["VIDEO"], "ocr": ["IMAGE", "VIDEO"], "transcript": ["AUDIO", "VIDEO"]}
 MOST_BYTES = 100 * 1024 * 1024
 
 
@@ -27,6 +42,17 @@ def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
+def mime_of(id: str) -> Column:
+    return F.element_at(F.array(*map(F.lit, TYPES)), (F.col(id) % len(TYPES) + 1).cast("int"))
+
+
+TYPES_SQL = f"([{', '.join(repr(t) for t in TYPES)}])[CAST(media_id % {len(TYPES)} + 1 AS INT)]"
+
+
+def case_sql(values: dict[str, str], on: str, other: str = "NULL") -> str:
+    return f"CASE {on} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in values.items()) + f" ELSE {other} END"
+
+
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     """Rows that break a CHECK, once for each; as in SQL a check that is null passes."""
     broken = F.filter(F.array(*(F.when(~F.coalesce(ok, F.lit(True)), F.lit(name)) for name, ok in checks.items())), lambda x: x.isNotNull())
@@ -54,12 +80,10 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "s3_storage_key",
-    f"WITH {MEDIA_SQL}, m AS (SELECT *, (['image/jpeg','video/mp4','audio/wav','application/x-odd'])[CAST(media_id % 4 + 1 AS INT)] AS mime FROM media) "
-    "SELECT media_id, 'quarantine/' || lower(media_type) || '/2024-01-01/' || sha256[1:32] || '.' || CASE mime WHEN 'image/jpeg' THEN 'jpg' WHEN 'video/mp4' THEN 'mp4' WHEN 'audio/wav' THEN 'wav' ELSE 'bin' END AS storage_key FROM m",
+    f"WITH {MEDIA_SQL}, m AS (SELECT *, {TYPES_SQL} AS mime FROM media) SELECT media_id, 'quarantine/' || lower(media_type) || '/2024-01-01/' || sha256[1:32] || '.' || {case_sql(ENDINGS, 'mime', repr('bin'))} AS storage_key FROM m",
 )
 def s3(spark: SparkSession, d: str) -> DataFrame:
-    mime = F.element_at(F.array(*map(F.lit, ("image/jpeg", "video/mp4", "audio/wav", "application/x-odd"))), (F.col("media_id") % 4 + 1).cast("int"))
-    return media(spark, d).select("media_id", storage_key(F.lower("media_type"), F.lit("2024-01-01"), F.substring("sha256", 1, 32), mime).alias("storage_key"))
+    return media(spark, d).select("media_id", storage_key(F.lower("media_type"), F.lit("2024-01-01"), F.substring("sha256", 1, 32), mime_of("media_id")).alias("storage_key"))
 
 
 def storage_key(kind: Column, day: Column, name: Column, mime: Column) -> Column:
@@ -103,10 +127,10 @@ def flagged(df: DataFrame, score: str, threshold: float, also: list[Column] = []
     return df.filter(keep)
 
 
-@query("f1_flagged_images", f"WITH {FRAMES_SQL} SELECT event_id, score FROM frames WHERE score >= 0.5 OR event_type = 'purchase' OR event_type = 'signup'")
+@query("f1_flagged_images", f"WITH {FRAMES_SQL} SELECT event_id, score FROM frames WHERE score >= 0.5 OR event_type = 'purchase' OR event_type = 'signup' ORDER BY score DESC, event_id")
 def f1(spark: SparkSession, d: str) -> DataFrame:
     """Flagged by probability or by either finding; here event types stand for the findings."""
-    return flagged(frames(spark, d), "score", 0.5, [F.col("event_type") == "purchase", F.col("event_type") == "signup"]).select("event_id", "score")
+    return flagged(frames(spark, d), "score", 0.5, [F.col("event_type") == "purchase", F.col("event_type") == "signup"]).select("event_id", "score").orderBy(F.desc("score"), "event_id")
 
 
 @query("f2_flagged_video", f"WITH {FRAMES_SQL} SELECT event_id, score FROM frames WHERE score >= 0.5 ORDER BY score DESC, event_id LIMIT 20 OFFSET 20")
@@ -115,6 +139,104 @@ def f2(spark: SparkSession, d: str) -> DataFrame:
     return flagged(frames(spark, d), "score", 0.5).orderBy(F.desc("score"), "event_id").offset(20).limit(20).select("event_id", "score")
 
 
+def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
+    """A page of df in order, each row with `total`, the number of rows on all pages."""
+    total = F.broadcast(df.agg(F.count(F.lit(1)).alias("total")))  # one row
+    return df.orderBy(*order).offset(offset).limit(size).join(total)
+
+
+@query("t2_page_with_total", f"WITH {FRAMES_SQL} SELECT event_id, score, count(*) OVER () AS total FROM frames WHERE score >= 0.2 ORDER BY score DESC, event_id LIMIT 25 OFFSET 50")
+def t2(spark: SparkSession, d: str) -> DataFrame:
+    return page(flagged(frames(spark, d), "score", 0.2).select("event_id", "score"), [F.desc("score"), F.col("event_id")], 50, 25)
+
+
+@query("f3_flagged_audio", f"WITH {FRAMES_SQL} SELECT media_id, max(score) AS score FROM frames WHERE event_type <> 'error' GROUP BY media_id HAVING max(score) >= 0.5 ORDER BY score DESC, media_id")
+def f3(spark: SparkSession, d: str) -> DataFrame:
+    """Media whose highest score reaches a half, highest first."""
+    return flagged(frames(spark, d).filter("event_type <> 'error'").groupBy("media_id").agg(F.max("score").alias("score")), "score", 0.5).orderBy(F.desc("score"), "media_id")
+
+
+@query("f13_report_search", "SELECT o_orderkey FROM orders WHERE (contains(lower(o_orderpriority), 'low') OR contains(lower(CAST(o_orderkey AS VARCHAR)), 'low') OR contains(lower(CAST(o_custkey AS VARCHAR)), 'low')) AND o_orderstatus = 'F'")
+def f13(spark: SparkSession, d: str) -> DataFrame:
+    """Reports by a text in title, number or case, whatever its case and the spaces around it, and by status."""
+    reports = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.col("o_orderpriority").alias("title"), F.col("o_orderkey").cast("string").alias("number"), F.col("o_custkey").cast("string").alias("case"))
+    return search(reports.filter("o_orderstatus = 'F'"), " LOW ".strip(), ["title", "number", "case"]).select("o_orderkey")
+
+
+#: First bytes of pictures.
+MAGIC = {"png": "89504E470D0A1A0A", "jpeg": "FFD8FF", "gif87": "474946383761", "gif89": "474946383961", "bmp": "424D"}
+
+
+def is_picture(content: Column) -> Column:
+    """Whether bytes begin as a PNG, JPEG, GIF, BMP or WebP does; eight bytes at least."""
+    hit = (F.substring(content, 1, 4) == F.unhex(F.lit("52494646"))) & (F.length(content) >= 12) & (F.substring(content, 9, 4) == F.unhex(F.lit("57454250")))
+    for bytes_ in MAGIC.values():
+        hit = hit | (F.substring(content, 1, len(bytes_) // 2) == F.unhex(F.lit(bytes_)))
+    return F.coalesce((F.length(content) >= 8) & hit, F.lit(False))
+
+
+_HEAD = "CASE doc_id % 8 WHEN 0 THEN '89504E470D0A1A0A' WHEN 1 THEN 'FFD8FF' WHEN 2 THEN '474946383761' WHEN 3 THEN '474946383961' WHEN 4 THEN '424D' WHEN 5 THEN '524946460000000057454250' WHEN 6 THEN '5249464600000000' ELSE '' END"
+
+
+@query("f16_picture_bytes", f"WITH h AS (SELECT doc_id, n_chars, {_HEAD} || CASE WHEN doc_id % 3 > 0 THEN hex(encode(text)) ELSE '' END AS h FROM documents) SELECT doc_id, length(h) >= 16 AND (starts_with(h, '89504E470D0A1A0A') OR starts_with(h, 'FFD8FF') OR starts_with(h, '474946383761') OR starts_with(h, '474946383961') OR starts_with(h, '424D') OR starts_with(h, '52494646') AND h[17:24] = '57454250') AS picture FROM h")
+def f16(spark: SparkSession, d: str) -> DataFrame:
+    content = F.expr(f"unhex({_HEAD} || CASE WHEN doc_id % 3 > 0 THEN hex(encode(text, 'UTF-8')) ELSE '' END)")
+    return table(spark, d, "documents").select("doc_id", is_picture(content).alias("picture"))
+
+
+def bounded_json(tree: Column, most_bytes: int = 512 * 1024, most_chars: int = 150) -> Column:
+    """A map of directories to maps of tags as JSON; one that is too large holds its first directories, long values cut,
+    up to the one that passes the bound less two kilobytes. {} for null and empty."""
+    cut = F.transform_values(tree, lambda _, tags: F.transform_values(tags, lambda _, v: F.when(F.length(v) > most_chars, F.concat(F.substring(v, 1, most_chars), F.lit("... [truncated]"))).otherwise(v)))
+    entries = F.map_entries(cut)
+    start = F.struct(F.slice(entries, 1, 0).alias("kept"), F.lit(2).cast("long").alias("bytes"))
+
+    def add(s: Column, e: Column) -> Column:
+        size = s["bytes"] + F.octet_length(F.to_json(F.map_from_entries(F.array(e)))) - 2 + F.when(F.size(s["kept"]) > 0, 1).otherwise(0)
+        return F.when(s["bytes"] > most_bytes - 2048, s).otherwise(F.struct(F.array_append(s["kept"], e).alias("kept"), size.alias("bytes")))
+
+    kept = F.map_from_entries(F.aggregate(entries, start, add, lambda s: s["kept"]))
+    whole = F.to_json(tree)
+    note = F.lit(f'{{"_metadata_status":"TRUNCATED","_max_bytes":{most_bytes},"_warning":"Raw metadata exceeded maximum allowed payload size of 512 KB and was safely bounded.","directories":')
+    return F.when(tree.isNull() | (F.size(tree) == 0), "{}").when(F.octet_length(whole) <= most_bytes, whole).otherwise(F.concat(note, F.to_json(kept), F.lit("}")))
+
+
+@query("s10_bounded_json", "SELECT doc_id, CASE WHEN octet_length(encode(j)) <= 700 THEN j ELSE NULL END AS json FROM (SELECT doc_id, '{\"A\":{\"lang\":\"' || lang || '\"},\"B\":{\"text\":' || CAST(to_json(text) AS VARCHAR) || '}}' AS j FROM documents)")
+def s10(spark: SparkSession, d: str) -> DataFrame:
+    """Whole trees of 700 bytes at most; the others are cut, which a test shows, and null here."""
+    tree = F.create_map(F.lit("A"), F.create_map(F.lit("lang"), F.col("lang")), F.lit("B"), F.create_map(F.lit("text"), F.col("text")))
+    made = table(spark, d, "documents").select("doc_id", bounded_json(tree, 700).alias("json"))
+    return made.select("doc_id", F.when(~F.contains("json", F.lit('"_metadata_status":"TRUNCATED"')), F.col("json")).alias("json"))
+
+
+def delete_then_insert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
+    """stored without the keys that fresh holds, and fresh: a recomputation replaces all rows of its keys."""
+    return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+@query("s13_recomputed", f"WITH {SEGMENTS_SQL} SELECT media_id, seg, text FROM segments WHERE media_id % 3 <> 0 UNION ALL SELECT media_id, seg, text || '!' FROM segments WHERE media_id % 3 = 0 AND seg % 2 = 0")
+def s13_recomputed(spark: SparkSession, d: str) -> DataFrame:
+    """Every third medium recomputed: its old rows go, half as many come."""
+    stored = segments(spark, d).select("media_id", "seg", "text")
+    fresh = stored.filter("media_id % 3 = 0 AND seg % 2 = 0").withColumn("text", F.concat("text", F.lit("!")))
+    return delete_then_insert(stored, fresh, "media_id")
+
+
+def upsert(stored: DataFrame, fresh: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """stored with fresh's rows in place of its own of the same key, or beside them; of several the latest by `order`."""
+    both = stored.withColumn("__new", F.lit(0)).unionByName(fresh.withColumn("__new", F.lit(1)))
+    return latest(both, keys, [F.col("__new"), *order]).drop("__new")
+
+
+@query("s12_upserted", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 1 - quality ELSE quality END AS quality, doc_id % 2 = 0 AS renewed FROM labels UNION ALL SELECT doc_id, 1 AS quality, true FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def s12_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """Labels of even documents renewed, and made where there were none."""
+    stored = table(spark, d, "labels").select("doc_id", F.col("quality").cast("long").alias("quality"), F.lit(False).alias("renewed"))
+    docs = table(spark, d, "documents").filter("doc_id % 2 = 0").select("doc_id")
+    fresh = docs.join(stored, "doc_id", "left").select("doc_id", F.coalesce(1 - F.col("quality"), F.lit(1).cast("long")).alias("quality"), F.lit(True).alias("renewed"))
+    return upsert(stored, fresh, ["doc_id"], [F.col("quality")])
+
+
 @query("f5_is_duplicate", f"WITH {MEDIA_SQL} SELECT media_id FROM media WHERE sha256 IN (SELECT sha256 FROM media GROUP BY sha256 HAVING count(*) > 1)")
 def f5(spark: SparkSession, d: str) -> DataFrame:
     m = media(spark, d).select("media_id", "sha256")
@@ -129,18 +251,15 @@ def f7(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "f8_row_access",
     "WITH u AS (SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'ANALYST' WHEN 'MACHINERY' THEN 'ADMIN' WHEN 'FURNITURE' THEN 'RESEARCHER' ELSE 'USER' END AS role FROM customer) "
-    "SELECT o_orderkey AS media_id, user_id, role FROM orders, (SELECT * FROM u WHERE user_id <= 3) v WHERE o_custkey = user_id OR role IN ('ANALYST', 'MODERATOR', 'ADMIN')",
+    "SELECT o_orderkey AS media_id, user_id, role, o_custkey = user_id OR role IN ('ANALYST', 'MODERATOR', 'ADMIN') AS allowed FROM orders JOIN u ON user_id = CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE CAST(o_totalprice AS BIGINT) % 1000 END",
 )
 def f8(spark: SparkSession, d: str) -> DataFrame:
-    """What three users may see: an owner by an equi-join, an elevated user everything."""
+    """Whether the user who asks for a medium may see it: the owner, or an elevated user. Every order is a request, half of
+    them by the owner and half by some customer."""
     role = F.expr("CASE c_mktsegment WHEN 'BUILDING' THEN 'ANALYST' WHEN 'MACHINERY' THEN 'ADMIN' WHEN 'FURNITURE' THEN 'RESEARCHER' ELSE 'USER' END")
-    users = table(spark, d, "customer").filter("c_custkey <= 3").select(F.col("c_custkey").alias("user_id"), role.alias("role"))
-    items = table(spark, d, "orders").select(F.col("o_orderkey").alias("media_id"), F.col("o_custkey").alias("owner"))
-    high = users.filter(F.col("role").isin(*ELEVATED))
-    own = items.join(users.filter(~F.col("role").isin(*ELEVATED)), F.col("owner") == F.col("user_id")).select("media_id", "user_id", "role")
-    seen = F.broadcast(high.agg(F.collect_list(F.struct("user_id", "role")).alias("high")))  # the users asked about: three rows at most
-    everything = items.join(seen).select("media_id", F.explode("high").alias("h")).select("media_id", "h.user_id", "h.role")
-    return own.unionByName(everything)
+    users = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), role.alias("role"))
+    asked = table(spark, d, "orders").select(F.col("o_orderkey").alias("media_id"), F.col("o_custkey").alias("owner"), F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_custkey ELSE CAST(bround(o_totalprice) AS BIGINT) % 1000 END").alias("user_id"))
+    return asked.join(users, "user_id").select("media_id", "user_id", "role", visible(F.col("owner"), F.col("user_id"), F.col("role")).alias("allowed"))
 
 
 ROLE_SQL = "u AS (SELECT c_custkey AS user_id, CASE c_mktsegment WHEN 'BUILDING' THEN 'ANALYST' WHEN 'MACHINERY' THEN 'ADMIN' WHEN 'FURNITURE' THEN 'RESEARCHER' ELSE 'USER' END AS role FROM customer)"
@@ -174,9 +293,11 @@ def f9(spark: SparkSession, d: str) -> DataFrame:
     return media(spark, d).select("media_id", F.when(see, F.col("media_id")).alias("shown_id"), F.when(see, F.col("sha256")).otherwise("Verified Reference Item").alias("shown_name"))
 
 
-@query("f10_type_guard", f"WITH {MEDIA_SQL} SELECT media_id, media_type FROM media WHERE media_type IN ('IMAGE', 'VIDEO')")
+@query("f10_type_guard", f"WITH {MEDIA_SQL}, g AS (SELECT unnest({[[k, t] for k, ts in ANALYSES.items() for t in ts]}) AS g) SELECT media_id, g[1] AS analysis FROM media JOIN g ON g[2] = media_type")
 def f10(spark: SparkSession, d: str) -> DataFrame:
-    return media(spark, d).filter(F.col("media_type").isin("IMAGE", "VIDEO")).select("media_id", "media_type")
+    """The analyses that take a medium."""
+    takes = F.filter(F.array(*(F.when(F.col("media_type").isin(*kinds), F.lit(name)) for name, kinds in ANALYSES.items())), lambda x: x.isNotNull())
+    return media(spark, d).select("media_id", F.explode(takes).alias("analysis"))
 
 
 @query("f11_token_validity", "SELECT o_orderkey AS token_id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
@@ -185,9 +306,10 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select(F.col("o_orderkey").alias("token_id")).join(revoked, "token_id", "left_anti")
 
 
-@query("f12_claim_search", f"WITH {SEGMENTS_SQL} SELECT media_id, seg FROM segments WHERE role = 'user' AND (contains(lower(text), 'the') OR contains(lower(role), 'the'))")
+@query("f12_claim_search", f"WITH {SEGMENTS_SQL} SELECT media_id, seg FROM segments WHERE role = 'user' AND seg % 4 < 3 AND (contains(lower(text), 'the') OR contains(lower(role), 'the'))")
 def f12(spark: SparkSession, d: str) -> DataFrame:
-    return search(segments(spark, d).filter("role = 'user'"), "the", ["text", "role"]).select("media_id", "seg")
+    """By kind (role), by entity (every fourth turn has another) and by text."""
+    return search(segments(spark, d).filter("role = 'user' AND seg % 4 < 3"), "the", ["text", "role"]).select("media_id", "seg")
 
 
 def search(df: DataFrame, text: str, columns: list[str]) -> DataFrame:
@@ -206,13 +328,11 @@ def f14(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "f15_upload_validation",
-    f"WITH {MEDIA_SQL}, m AS (SELECT *, (['image/jpeg','video/mp4','audio/wav','application/x-odd'])[CAST(media_id % 4 + 1 AS INT)] AS mime, '../a/' || uploader || ':' || media_id || '?.bin' AS name FROM media) "
-    "SELECT media_id, CASE mime WHEN 'image/jpeg' THEN 'IMAGE' WHEN 'video/mp4' THEN 'VIDEO' WHEN 'audio/wav' THEN 'AUDIO' END AS category, regexp_replace(regexp_replace(name, '^.*[/\\\\]', ''), '[:*?\"<>|]', '_', 'g') AS file_name, "
-    "file_size > 0 AND file_size <= 104857600 AND mime IN ('image/jpeg', 'video/mp4', 'audio/wav') AS accepted FROM m",
+    f"WITH {MEDIA_SQL}, m AS (SELECT *, {TYPES_SQL} AS mime, '../a/' || uploader || ':' || media_id || '?.bin' AS name FROM media), c AS (SELECT *, {case_sql(CATEGORIES, 'mime')} AS category FROM (SELECT * REPLACE (trim(string_split(mime, ';')[1]) AS mime) FROM m)) "
+    "SELECT media_id, category, regexp_replace(regexp_replace(name, '^.*[/\\\\]', ''), '[:*?\"<>|]', '_', 'g') AS file_name, file_size > 0 AND file_size <= 104857600 AND category IS NOT NULL AS accepted FROM c",
 )
 def f15(spark: SparkSession, d: str) -> DataFrame:
-    mime = F.element_at(F.array(*map(F.lit, ("image/jpeg", "video/mp4", "audio/wav", "application/x-odd"))), (F.col("media_id") % 4 + 1).cast("int"))
-    m = media(spark, d).withColumn("mime", mime).withColumn("name", F.concat(F.lit("../a/"), "uploader", F.lit(":"), F.col("media_id").cast("string"), F.lit("?.bin")))
+    m = media(spark, d).withColumn("mime", F.trim(F.substring_index(mime_of("media_id"), ";", 1))).withColumn("name", F.concat(F.lit("../a/"), "uploader", F.lit(":"), F.col("media_id").cast("string"), F.lit("?.bin")))
     category = F.try_element_at(literal_map(CATEGORIES), F.col("mime"))
     return m.select("media_id", category.alias("category"), safe_name(F.col("name")).alias("file_name"), (F.col("file_size").between(1, MOST_BYTES) & category.isNotNull()).alias("accepted"))
 
@@ -267,10 +387,53 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).groupBy("media_id").agg(F.sum(F.length("text")).alias("text_length"), F.count(F.lit(1)).alias("sentences"), F.count(F.lit(1)).alias("claims"))
 
 
-@query("d1_check_violations", f"WITH {MEDIA_SQL} SELECT media_id, 'file_size' AS violation FROM media WHERE NOT (file_size > 50) UNION ALL SELECT media_id, 'media_type' FROM media WHERE NOT (media_type IN ('IMAGE', 'VIDEO', 'AUDIO'))")
+#: The CHECK constraints of the catalogue's tables, over rows that hold the columns of all of them.
+_SHARE = "{c} >= 0.0 AND {c} <= 1.0"
+CHECKS = {
+    "user_status": "user_status IN ('ACTIVE', 'SUSPENDED', 'PENDING_VERIFICATION')", "media_type": "media_type IN ('IMAGE', 'VIDEO', 'AUDIO', 'TEXT')", "upload_status": "upload_status IN ('UPLOADED', 'PROCESSING', 'COMPLETED', 'FAILED')", "file_size": "file_size > 0",
+    "match_type": "match_type IN ('NONE', 'EXACT_SHA256', 'NEAR_MATCH_PHASH', 'ACOUSTIC_MATCH')", "analysis_status": "analysis_status IN ('PENDING', 'PROCESSING', 'COMPLETED', 'FAILED')",
+    **{c: _SHARE.format(c=c) for c in "forensic_score ai_prob manipulation_prob deepfake_prob synthetic_voice_prob sync_score confidence_score".split()},
+}
+#: Rows with all checked columns, from events, some of them wrong or null.
+_CHECKED = {
+    "user_status": "CASE event_id % 5 WHEN 0 THEN 'ACTIVE' WHEN 1 THEN 'SUSPENDED' WHEN 2 THEN 'GONE' WHEN 3 THEN 'PENDING_VERIFICATION' END", "media_type": "CASE WHEN event_id % 7 = 0 THEN 'OTHER' ELSE 'IMAGE' END", "upload_status": "CASE WHEN event_id % 11 = 0 THEN 'LOST' ELSE 'UPLOADED' END",
+    "file_size": "event_id % 13", "match_type": "CASE event_id % 6 WHEN 0 THEN 'NONE' WHEN 1 THEN 'EXACT_SHA256' WHEN 2 THEN 'NEAR' ELSE NULL END", "analysis_status": "CASE WHEN event_id % 17 = 0 THEN '' ELSE 'FAILED' END",
+    **{c: f"CASE WHEN event_id % {19 + 2 * i} > 0 THEN CAST(event_id % {23 + i} AS DOUBLE) / {20 + i} END" for i, c in enumerate("forensic_score ai_prob manipulation_prob deepfake_prob synthetic_voice_prob sync_score confidence_score".split())},
+}
+CHECKED_SQL = "ck AS (SELECT event_id, " + ", ".join(f"{e} AS {c}" for c, e in _CHECKED.items()) + " FROM events)"
+
+
+@query("d1_check_violations", f"WITH {CHECKED_SQL} " + " UNION ALL ".join(f"SELECT event_id, '{c}' AS violation FROM ck WHERE NOT ({e})" for c, e in CHECKS.items()))
 def d1(spark: SparkSession, d: str) -> DataFrame:
-    checks = {"file_size": F.col("file_size") > 50, "media_type": F.col("media_type").isin("IMAGE", "VIDEO", "AUDIO")}
-    return violations(media(spark, d), checks).select("media_id", "violation")
+    rows = table(spark, d, "events").selectExpr("event_id", *(f"{e} AS {c}" for c, e in _CHECKED.items()))
+    return violations(rows, {c: F.expr(e) for c, e in CHECKS.items()}).select("event_id", "violation")
+
+
+def cascaded(parents_gone: DataFrame, levels: list[tuple[DataFrame, str, str]]) -> list[DataFrame]:
+    """What ON DELETE CASCADE takes at each level: rows (key) of a table whose parent key is gone at the level above."""
+    gone, out = parents_gone, []
+    for df, key, parent in levels:
+        gone = df.join(gone.toDF(parent).distinct(), parent, "left_semi").select(key).distinct()
+        out.append(gone)
+    return out
+
+
+@query(
+    "d3_cascade_closure",
+    "WITH c AS (SELECT c_custkey FROM customer WHERE c_acctbal <= 0), o AS (SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM c)), l AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM o)) SELECT 'orders' AS level, o_orderkey AS key FROM o UNION ALL SELECT 'lineitem', l_orderkey FROM l",
+)
+def d3_cascade(spark: SparkSession, d: str) -> DataFrame:
+    """Orders and their lines that go with the customers in debt."""
+    gone = table(spark, d, "customer").filter("c_acctbal <= 0").select("c_custkey")
+    orders, lines_ = cascaded(gone, [(table(spark, d, "orders"), "o_orderkey", "o_custkey"), (table(spark, d, "lineitem").withColumn("o_orderkey", F.col("l_orderkey")), "l_orderkey", "o_orderkey")])
+    return orders.select(F.lit("orders").alias("level"), F.col("o_orderkey").alias("key")).unionByName(lines_.select(F.lit("lineitem").alias("level"), F.col("l_orderkey").alias("key")))
+
+
+@query("d3_set_null", "SELECT o_orderkey, CASE WHEN o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) THEN o_custkey END AS o_custkey FROM orders")
+def d3_set_null(spark: SparkSession, d: str) -> DataFrame:
+    """Orders after ON DELETE SET NULL of the customers in debt."""
+    kept = table(spark, d, "customer").filter("c_acctbal > 0").select("c_custkey").distinct()
+    return table(spark, d, "orders").join(kept, F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", F.col("c_custkey").alias("o_custkey"))
 
 
 @query("d2_unique_violations", f"WITH {LINES_SQL} SELECT media_id, lower(trim(text)) AS text, count(*) AS n FROM lines GROUP BY 1, 2 HAVING count(*) > 1")

@@ -117,12 +117,13 @@ def j1(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j2_perceptual_duplicate",
-    f"WITH {PHASH_SQL}, c AS (SELECT * FROM ph ORDER BY media_id LIMIT 101), p AS (SELECT a.media_id, c.media_id AS other, a.bits AS x, c.bits AS y, row_number() OVER (PARTITION BY a.media_id ORDER BY c.media_id) AS k FROM ph a JOIN c ON a.media_id <> c.media_id), "
-    "h AS (SELECT media_id, other, CAST(hamming(x, y) AS BIGINT) AS distance FROM p WHERE k <= 100) SELECT media_id, arg_min(other, (distance, other)) AS duplicate_of, min(distance) AS distance FROM h WHERE distance <= 16 GROUP BY media_id",
+    f"WITH {PHASH_SQL}, h AS (SELECT a.media_id, c.media_id AS other, CAST(hamming(a.bits, c.bits) AS BIGINT) AS distance FROM ph a JOIN ph c ON a.media_id <> c.media_id WHERE a.media_id % 4 = 0 AND c.media_id % 4 = 0) "
+    "SELECT media_id, arg_min(other, (distance, other)) AS duplicate_of, min(distance) AS distance FROM h WHERE distance <= 20 GROUP BY media_id",
 )
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    """Among the reference's 100 candidates. Threshold 16, as these hashes have no pair within the usual 10."""
-    return perceptual_duplicates(perceptual_hashes(spark, d), 16)
+    """Among all other images. Threshold 20, as these hashes have no pair within the usual 10. `perceptual_duplicates` keeps
+    the reference's bound of 100 candidates for who needs its very results."""
+    return perceptual_duplicates_all(perceptual_hashes(spark, d).filter("media_id % 4 = 0"), 20)
 
 
 @query(
@@ -137,20 +138,18 @@ def j2_all(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "j4_duplicate_cascade",
-    f"WITH {MEDIA_SQL}, {PHASH_SQL}, e AS (SELECT a.media_id, min(b.media_id) AS other FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id), "
-    "c AS (SELECT * FROM ph ORDER BY media_id LIMIT 101), p AS (SELECT a.media_id, c.media_id AS other, a.bits AS x, c.bits AS y, row_number() OVER (PARTITION BY a.media_id ORDER BY c.media_id) AS k FROM ph a JOIN c ON a.media_id <> c.media_id), "
-    "h AS (SELECT media_id, arg_min(other, (hamming(x, y), other)) AS other, min(hamming(x, y)) AS distance FROM p WHERE k <= 100 AND hamming(x, y) <= 16 GROUP BY media_id) "
-    "SELECT m.media_id, coalesce(e.other, h.other) AS duplicate_of, CASE WHEN e.other IS NOT NULL THEN 'EXACT' WHEN h.other IS NOT NULL THEN 'PERCEPTUAL' ELSE 'NONE' END AS match_type, "
-    "CASE WHEN e.other IS NOT NULL THEN 1.0 WHEN h.other IS NOT NULL THEN 1 - h.distance / 64.0 ELSE 0.0 END AS similarity FROM media m LEFT JOIN e USING (media_id) LEFT JOIN h USING (media_id)",
+    f"WITH {MEDIA_SQL}, {PHASH_SQL}, {ACOUSTIC_SQL}, e AS (SELECT a.media_id, min(b.media_id) AS other FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id), "
+    "h AS (SELECT a.media_id, arg_min(c.media_id, (hamming(a.bits, c.bits), c.media_id)) AS other, min(hamming(a.bits, c.bits)) AS distance FROM ph a JOIN ph c ON a.media_id <> c.media_id WHERE a.media_id % 4 = 0 AND c.media_id % 4 = 0 AND hamming(a.bits, c.bits) <= 20 GROUP BY a.media_id) "
+    "SELECT m.media_id, coalesce(e.other, h.other, ac.other) AS duplicate_of, CASE WHEN e.other IS NOT NULL THEN 'EXACT' WHEN h.other IS NOT NULL THEN 'PERCEPTUAL' WHEN ac.other IS NOT NULL THEN 'ACOUSTIC' ELSE 'NONE' END AS match_type, "
+    "CASE WHEN e.other IS NOT NULL THEN 1.0 WHEN h.other IS NOT NULL THEN 1 - h.distance / 64.0 WHEN ac.other IS NOT NULL THEN ac.similarity ELSE 0.0 END AS similarity FROM media m LEFT JOIN e USING (media_id) LEFT JOIN h USING (media_id) LEFT JOIN ac USING (media_id)",
 )
 def j4(spark: SparkSession, d: str) -> DataFrame:
-    """Exact before perceptual before none."""
+    """Exact before perceptual (images alone) before acoustic (sounds alone) before none."""
     m = media(spark, d).select("media_id", "sha256")
     exact = exact_duplicates(m, "sha256", [], "media_id").withColumnRenamed("duplicate_of", "e")
-    near = perceptual_duplicates(perceptual_hashes(spark, d), 16).withColumnRenamed("duplicate_of", "h")
-    kind = F.when(F.col("e").isNotNull(), "EXACT").when(F.col("h").isNotNull(), "PERCEPTUAL").otherwise("NONE")
-    score = F.when(F.col("e").isNotNull(), 1.0).when(F.col("h").isNotNull(), similarity(F.col("distance"))).otherwise(0.0)
-    return m.join(exact, "media_id", "left").join(near, "media_id", "left").select("media_id", F.coalesce("e", "h").alias("duplicate_of"), kind.alias("match_type"), score.alias("similarity"))
+    near = perceptual_duplicates_all(perceptual_hashes(spark, d).filter("media_id % 4 = 0"), 20).withColumnRenamed("duplicate_of", "h")
+    heard = acoustic_duplicates(acoustic_prints(spark, d)).select("media_id", F.col("duplicate_of").alias("a"), F.col("similarity").alias("s"))
+    return cascade(m, exact, near, heard)
 
 
 @query("j3_acoustic_duplicate", f"WITH {PHASH_SQL}, {ACOUSTIC_SQL} SELECT media_id, other AS duplicate_of, similarity FROM ac")

@@ -196,7 +196,7 @@ def equal_error_rate(scored: DataFrame, steps: int = 1000) -> DataFrame:
 
 def holdout_split(df: DataFrame, key: str, share: float = 0.2) -> DataFrame:
     """Adds `validation`: the max(1, floor(n * share)) rows first by a hash of the key; the same rows in every run."""
-    hashed = df.withColumn("h", F.pmod(F.xxhash64(key), F.lit(1 << 40))).withColumn("bucket", F.expr("shiftright(h, 28)"))
+    hashed = df.withColumn("h", F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 10), 16, 10).cast("long")).withColumn("bucket", F.expr("shiftright(h, 28)"))
     total = df.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * share)).alias("most"))
     return ordinal_ranks(hashed, ["bucket"], ["h", key]).crossJoin(F.broadcast(total)).withColumn("validation", F.col("place") <= F.col("most")).drop("h", "bucket", "place", "most")
 
@@ -215,7 +215,7 @@ METADATA = {
     "longitude": "CASE o_orderkey % 11 WHEN 0 THEN 0.00001 WHEN 3 THEN -181.0 ELSE l_quantity END", "container": "CASE WHEN o_orderkey % 2 = 0 THEN 'mp4' END", "codec": "CASE WHEN o_orderkey % 8 > 4 THEN 'h264' END",
     "duration": "CASE WHEN o_orderkey % 6 = 0 THEN l_quantity END", "exif_present": "o_orderkey % 4 = 0",
 }
-METADATA_SQL = "meta AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in METADATA.items()) + " FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_linenumber = 1)"
+METADATA_SQL = "meta AS (SELECT " + ", ".join(f"{v} AS {k}" for k, v in METADATA.items()) + " FROM orders JOIN (SELECT l_orderkey, max(l_shipdate) AS l_shipdate, max(l_quantity) AS l_quantity FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey)"
 
 
 def probes(spark: SparkSession, d: str) -> DataFrame:
@@ -223,7 +223,7 @@ def probes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata(spark: SparkSession, d: str) -> DataFrame:
-    first = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_shipdate", "l_quantity")
+    first = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.max("l_shipdate").alias("l_shipdate"), F.max("l_quantity").alias("l_quantity"))
     return table(spark, d, "orders").select("o_orderkey", "o_orderdate").join(first, "o_orderkey").selectExpr(*(f"{v} AS {k}" for k, v in METADATA.items()))
 
 
@@ -335,11 +335,11 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return probes(spark, d).select("event_id", first.alias("x")).select("event_id", "x.score", F.coalesce("x.label", F.lit("AI / Manipulation Likelihood")).alias("label"))
 
 
-@query("a3_top_fraction_mean", f"WITH {FRAMES_SQL}, o AS (SELECT media_id, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC) AS k, count(*) OVER (PARTITION BY media_id) AS n FROM frames) SELECT media_id, round(avg(score), 8) AS top_mean FROM o WHERE k <= greatest(1, ceil(0.35 * n)) GROUP BY media_id")
+@query("a3_top_fraction_mean", f"WITH {FRAMES_SQL}, o AS (SELECT media_id, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC) AS k, count(*) OVER (PARTITION BY media_id) AS n FROM frames) SELECT media_id, round(greatest(0.0, least(1.0, avg(score))), 4) AS top_mean FROM o WHERE k <= greatest(1, ceil(0.35 * n)) GROUP BY media_id")
 def a3(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("media_id")
     ranked = frames(spark, d).select("media_id", "score", F.row_number().over(w.orderBy(F.desc("score"))).alias("k"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.filter(F.col("k") <= F.greatest(F.lit(1), F.ceil(0.35 * F.col("n")))).groupBy("media_id").agg(F.round(F.avg("score"), 8).alias("top_mean"))
+    return ranked.filter(F.col("k") <= F.greatest(F.lit(1), F.ceil(0.35 * F.col("n")))).groupBy("media_id").agg(F.round(clip(F.avg("score")), 4).alias("top_mean"))
 
 
 @query(
@@ -353,11 +353,11 @@ def a4(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).groupBy("media_id").agg(F.round(F.when(F.count(F.lit(1)) == 1, F.max("score")).otherwise(0.7 * high + 0.3 * F.avg("score")), 8).alias("blend"), F.round(app, 8).alias("blend_app"))
 
 
-@query("a8_region_rollup", f"WITH {LINES_SQL} SELECT media_id, round(coalesce(avg(0.5 + (y % 50) / 100), 1.0), 8) AS confidence, md5(coalesce(string_agg(CASE WHEN text <> '' THEN text END, chr(10) ORDER BY y), '')) AS text_md5, count(DISTINCT lang) AS languages FROM lines GROUP BY media_id")
+@query("a8_region_rollup", f"WITH {LINES_SQL} SELECT media_id, round(coalesce(avg(0.5 + (y % 50) / 100), 1.0), 8) AS confidence, md5(coalesce(string_agg(CASE WHEN trim(text) <> '' THEN trim(text) END, chr(10) ORDER BY y), '')) AS text_md5, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM lines GROUP BY media_id")
 def a8(spark: SparkSession, d: str) -> DataFrame:
-    """Mean confidence, the non-empty texts by line (as their digest) and the number of languages."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("y", "text")))), lambda x: x["text"]), "\n")
-    return lines(spark, d).groupBy("media_id").agg(F.round(F.coalesce(F.avg(0.5 + (F.col("y") % 50) / 100), F.lit(1.0)), 8).alias("confidence"), F.md5(text.cast("binary")).alias("text_md5"), F.count_distinct("lang").alias("languages"))
+    """Mean confidence, the trimmed texts that aren't empty by line (as their digest) and the languages."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.trim("text") != "", F.struct("y", F.trim("text").alias("text"))))), lambda x: x["text"]), "\n")
+    return lines(spark, d).groupBy("media_id").agg(F.round(F.coalesce(F.avg(0.5 + (F.col("y") % 50) / 100), F.lit(1.0)), 8).alias("confidence"), F.md5(text.cast("binary")).alias("text_md5"), F.array_join(F.array_sort(F.collect_set("lang")), ",").alias("languages"))
 
 
 @query(
@@ -400,17 +400,18 @@ def a12(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "a13_primary_speaker",
-    f"WITH {FRAMES_SQL}, t AS (SELECT media_id, event_type AS track, count(*) AS n, avg(score * 50000) AS area, var_pop(score) AS mar FROM frames GROUP BY media_id, event_type), s AS (SELECT *, round(0.4 * n / sum(n) OVER (PARTITION BY media_id) + 0.3 * least(1.0, area / 40000) + 0.3 * least(1.0, 50 * mar), 11) AS score FROM t) "
-    "SELECT media_id, arg_max(track, (score, track)) AS track, max(score) AS score FROM s GROUP BY media_id",
+    f"WITH {FRAMES_SQL}, t AS (SELECT media_id, event_type AS track, count(*) AS n, min(event_id) AS first, avg(score * 50000) AS area, CASE WHEN count(*) > 1 THEN var_pop(score) ELSE 0.0 END AS mar FROM frames GROUP BY media_id, event_type), s AS (SELECT *, round(0.4 * n / (SELECT max(k) FROM (SELECT count(DISTINCT t) AS k FROM frames f WHERE f.media_id = t.media_id)) + 0.3 * least(1.0, area / 40000) + 0.3 * least(1.0, 50 * mar), 11) AS score FROM t) "
+    "SELECT media_id, arg_max(track, (score, -first)) AS track, max(score) AS score FROM s GROUP BY media_id",
 )
 def a13(spark: SparkSession, d: str) -> DataFrame:
-    """The track with the highest blend of persistence, area and movement; event types stand for tracks."""
-    t = frames(spark, d).groupBy("media_id", F.col("event_type").alias("track")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("score") * 50000).alias("area"), F.var_pop("score").alias("mar"))
-    score = 0.4 * F.col("n") / F.sum("n").over(W.partitionBy("media_id")) + 0.3 * F.least(F.lit(1.0), F.col("area") / 40000) + 0.3 * F.least(F.lit(1.0), 50 * F.col("mar"))
-    return t.withColumn("score", F.round(score, 11)).groupBy("media_id").agg(F.max_by("track", F.struct("score", "track")).alias("track"), F.max("score").alias("score"))
+    """The track with the highest blend of persistence (share of the medium's frames), area and movement, the first of equals; event types stand for tracks."""
+    t = frames(spark, d).groupBy("media_id", F.col("event_type").alias("track")).agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first"), F.avg(F.col("score") * 50000).alias("area"), F.var_pop("score").alias("mar"))
+    t = t.join(frames(spark, d).groupBy("media_id").agg(F.count_distinct("t").alias("frames")), "media_id")
+    score = 0.4 * F.col("n") / F.col("frames") + 0.3 * F.least(F.lit(1.0), F.col("area") / 40000) + 0.3 * F.least(F.lit(1.0), 50 * F.col("mar"))
+    return t.withColumn("score", F.round(score, 11)).groupBy("media_id").agg(F.max_by("track", F.struct("score", -F.col("first"))).alias("track"), F.max("score").alias("score"))
 
 
-@query("a14_holdout_split")
+@query("a14_holdout_split", "WITH r AS (SELECT doc_id, quality, row_number() OVER (ORDER BY md5(CAST(doc_id AS VARCHAR))[1:10], doc_id) AS place, count(*) OVER () AS n FROM labels) SELECT doc_id, quality, place <= greatest(1, floor(n * 0.2)) AS validation FROM r")
 def a14(spark: SparkSession, d: str) -> DataFrame:
     """A fifth of the labelled documents for validation, by a hash of the id."""
     return holdout_split(table(spark, d, "labels").select("doc_id", "quality"), "doc_id")
