@@ -70,7 +70,7 @@ def cross_correlation(df: DataFrame, fps: float, most_ms: float, app: bool = Fal
     """
     everything, frame_ms = W.partitionBy("media_id"), 1000 / fps
     most = -int(-most_ms / 1000 * fps // 1) if app else round(most_ms / frame_ms)
-    zed = lambda c: (F.col(c) - F.avg(c).over(everything)) / F.stddev_pop(c).over(everything)
+    zed = lambda c: F.try_divide(F.col(c) - F.avg(c).over(everything), F.stddev_pop(c).over(everything))
     flat = (F.col("n") < 5) | (F.stddev_pop("a").over(everything) < (1e-6 if app else 1e-4)) | (F.stddev_pop("v").over(everything) < (1e-6 if app else 1e-4))
     ready = df.select("media_id", "i", "n", flat.alias("flat"), F.greatest(F.max("a").over(everything), F.max("v").over(everything)).alias("top"), zed("v").alias("v"), zed("a").alias("a"))
     w = W.partitionBy("media_id").orderBy("i")
