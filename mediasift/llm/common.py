@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -15,7 +16,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset a temporary folder
+    serves a local master (tests); on a cluster that is an error."""
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir")
     if given:
@@ -23,10 +25,21 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(given)
         return given.rstrip("/")
     if sc.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def small_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """df, with its session set to at most `rows` rows in a batch for Python: batches hold whole texts on both sides, and
+    ten thousand long ones, the usual bound, are hundreds of megabytes in each worker and as much in its executor."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(name)) <= rows:
+        df.sparkSession.conf.set(name, str(rows))
+    return df
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
@@ -54,12 +67,31 @@ def fold(col: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % modulus if isinstance(col, str) else F.crc32(col.cast("string").cast("binary")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
-    """About `most` rows at most, chosen by a hash of `key`; all rows if there are no more than that."""
-    n = df.count()
-    if n <= most:
-        return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1_000_000)) < int(1_000_000 * most / n))
+def sampled(key: str, share: Column | float) -> Column:
+    """Whether a row belongs to a share of all rows, by a 63-bit hash of `key`; a share as small as 1e-15 still holds."""
+    return F.shiftrightunsigned(F.xxhash64(F.lit("sample"), F.col(key)), 1) < F.lit(float(1 << 63)) * share
+
+
+def bounded_sample(df: DataFrame, key: str, by: str, most: int, most_classes: int = 1000) -> DataFrame:
+    """At most about `most` rows, chosen by a hash of `key`, an equal part of them from each value of `by`: a class with
+    fewer rows gives them all. `weight` is how many rows of its class a row stands for. Of more than `most_classes`
+    values the most frequent are learned."""
+    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), by).limit(most_classes).collect()
+    if not counts:
+        return df.limit(0).withColumn("weight", F.lit(1.0))
+    shares = shares_of({r[by]: r["n"] for r in counts}, most)
+    wanted = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in shares.items() for x in pair)), F.col(by)), F.lit(0.0))
+    return df.filter((wanted >= 1.0) | sampled(key, wanted)).withColumn("weight", 1 / wanted)
+
+
+def shares_of(counts: dict, most: int) -> dict:
+    """Of each class the share of its rows that a sample of `most` rows takes; what small classes leave goes to the larger."""
+    left, shares = most, {}
+    for k, (name, n) in enumerate(sorted(counts.items(), key=lambda x: x[1])):
+        took = min(n, left / (len(counts) - k))
+        shares[name] = 1.0 if took == n else took / n
+        left -= took
+    return shares
 
 
 def crc(data: bytes) -> int:

@@ -27,46 +27,44 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import shuffle_partitions, table
+from .common import shuffle_partitions, small_batches, table
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 GRAM = WINDOW - PERIOD + 1
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS, BUCKET_CHARS = 3_000_000, 16_000_000
 _RANDOM = np.random.default_rng(20240229)
 _ANCHOR, _WIN_A, _WIN_B = (_RANDOM.integers(1, 1 << 63, size=WINDOW, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(3))
-_NO_ID = np.iinfo(np.int64).max
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_hashes = _WordHashes()
+_NO_ID = (1 << 63) - 1
 
 
 def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").split()  # bytes.split: space and \t to \r
+    return (text or "").encode("utf-8").split()  # bytes.split: space and \t to \r
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > 150_000:
-        _hashes.clear()
-    return np.fromiter(map(_hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+def _word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, one after the other, and how many each text has."""
+    cut = pc.ascii_split_whitespace(pa.array([t or "" for t in texts], type=pa.large_string()))
+    coded = cut.values.dictionary_encode()
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False)
+    code, ends = coded.indices.to_numpy(), cut.offsets.to_numpy() - cut.offsets[0].as_py()
+    known = np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), dtype=np.uint64, count=len(distinct))
+    real = np.fromiter((w != "" for w in distinct), dtype=bool, count=len(distinct))[code]  # white space at either end leaves an empty word
+    before = np.concatenate(([0], np.cumsum(real)))
+    return known[code[real]], np.diff(before[ends])
 
 
-def _gram_hashes(words: np.ndarray, size: int, factors: np.ndarray) -> np.ndarray:
-    n = len(words) - size + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.zeros(n, dtype=np.uint64)
+def _gram_hashes(words: np.ndarray, at: np.ndarray, size: int, factors: np.ndarray) -> np.ndarray:
+    """Hashes of the `size` words from each place on."""
+    h = np.zeros(len(at), dtype=np.uint64)
     for j in range(size):
-        h += words[j : n + j] * factors[j]
+        h += words[at + j] * factors[j]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0x9E3779B97F4A7C15)
     h ^= h >> np.uint64(29)
@@ -74,49 +72,37 @@ def _gram_hashes(words: np.ndarray, size: int, factors: np.ndarray) -> np.ndarra
 
 
 class _Block:
-    """The documents of one block in the order of their ids, with their distinct anchors and windows."""
+    """The documents of one block in the order of their ids, with their distinct anchors and windows.
+
+    Words are numbered through the block; `begin` and `end` are those of the document that a word is in.
+    """
 
     def __init__(self, pdf: pd.DataFrame, buckets: int):
-        ids = pdf["__id"]
-        self.ids = np.where(ids.isna(), _NO_ID, ids.fillna(0)).astype(np.int64)
-        self.order = np.argsort(self.ids, kind="stable")
-        self.buckets = np.uint64(buckets)
-        self.texts = pdf["__text"].tolist()
+        ids = pdf["__id"].to_numpy(np.int64)
         # rows that repeat an id are one document for "smaller id": what counts is the id
-        self.hashed = [_word_hashes(_words(self.texts[i])) for i in self.order]
-        self.doc_ids = self.ids[self.order]
+        self.order = np.argsort(ids, kind="stable")
+        self.buckets = np.uint64(buckets)
+        self.words, self.count = _word_hashes(pdf["__text"].iloc[self.order].tolist())
+        self.first = np.cumsum(self.count) - self.count
+        self.row = np.repeat(np.arange(len(self.count)), self.count)
+        self.doc_ids = ids[self.order]
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Sorted distinct (bucket, 32 bits), whether two ids have it; and where each anchor is found in them."""
-        keys, ids, self.spots = [], [], []
-        for doc_id, words in zip(self.doc_ids, self.hashed):
-            at = np.arange(max(0, len(words) - GRAM + 1))
-            at = at[np.isin(at % PERIOD, COVER)]
-            h = _gram_hashes(words, GRAM, _ANCHOR)[at]
-            keys.append(((h % self.buckets) << np.uint64(32)) | (h >> np.uint64(32)))
-            ids.append(np.full(len(at), doc_id))
-            self.spots.append(at)
-        return _distinct(keys, ids)
+        place = np.arange(len(self.words)) - self.first[self.row]
+        self.spots = np.nonzero(np.isin(place % PERIOD, COVER) & (place + GRAM <= self.count[self.row]))[0]
+        h = _gram_hashes(self.words, self.spots, GRAM, _ANCHOR)
+        return _distinct(((h % self.buckets) << np.uint64(32)) | (h >> np.uint64(32)), self.doc_ids[self.row[self.spots]])
 
     def windows(self, shared: np.ndarray, inverse: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows around shared anchors: bucket, hash, smallest id; and the inverse of each window start."""
-        buckets, keys, ids, self.starts, seen = [], [], [], [], 0
-        for doc_id, words, at in zip(self.doc_ids, self.hashed, self.spots):
-            hit = at[shared[inverse[seen : seen + len(at)]]]
-            seen += len(at)
-            n = len(words) - WINDOW + 1
-            if not len(hit) or n <= 0:
-                self.starts.append(np.empty(0, dtype=np.int64))
-                continue
-            edge = np.zeros(len(words) + 1, dtype=np.int32)
-            np.add.at(edge, np.maximum(hit - PERIOD + 1, 0), 1)
-            np.add.at(edge, hit + 1, -1)
-            starts = np.nonzero(np.cumsum(edge)[:n] > 0)[0]
-            self.starts.append(starts)
-            keys.append(_gram_hashes(words, WINDOW, _WIN_A)[starts])
-            buckets.append(_gram_hashes(words, WINDOW, _WIN_B)[starts] % self.buckets)
-            ids.append(np.full(len(starts), doc_id))
-        key, bucket, doc = (np.concatenate([*x, np.empty(0, dtype=t)]) for x, t in ((keys, np.uint64), (buckets, np.uint64), (ids, np.int64)))
+        """Distinct windows around shared anchors: bucket, hash, smallest id; and of each window start its window and its id."""
+        hit = self.spots[shared[inverse]]
+        row = self.row[hit]
+        low, high = np.maximum(hit - PERIOD + 1, self.first[row]), np.minimum(hit, self.first[row] + self.count[row] - WINDOW)
+        low, high = low[low <= high], high[low <= high]
+        self.starts = np.nonzero(_covered(len(self.words), low, high + 1))[0]
+        key, bucket = _gram_hashes(self.words, self.starts, WINDOW, _WIN_A), _gram_hashes(self.words, self.starts, WINDOW, _WIN_B) % self.buckets
+        doc = self.doc_ids[self.row[self.starts]]
         order = np.lexsort((doc, key, bucket))
         k, b, d = key[order], bucket[order], doc[order]
         first = np.ones(len(k), dtype=bool)
@@ -126,8 +112,13 @@ class _Block:
         return b[first], k[first], d[first], inverse, doc
 
 
-def _distinct(keys: list[np.ndarray], ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    key, doc = np.concatenate([*keys, np.empty(0, dtype=np.uint64)]), np.concatenate([*ids, np.empty(0, dtype=np.int64)])
+def _covered(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Of each of n places whether it is in one of the ranges."""
+    edge = np.bincount(begin, minlength=n + 1) - np.bincount(end, minlength=n + 1)
+    return np.cumsum(edge)[:n] > 0
+
+
+def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.argsort(key, kind="stable")  # ids ascend within a key
     k, d = key[order], doc[order]
     first = np.ones(len(k), dtype=bool)
@@ -207,56 +198,60 @@ def _answer_windows(pdf: pd.DataFrame) -> pd.DataFrame:
     return _answers(pdf, smaller)
 
 
-def _remove(buckets: int, columns: list[str]):
-    def run(key, docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(docs, buckets)
+def _remove(buckets: int, names: list[str]):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        block = _Block(docs.select(["__id", "__text"]).to_pandas(), buckets)
         keys, _, inverse = block.anchors()
-        bucket, _, first, seen_at, doc = block.windows(_bits(answers, "anchor", len(keys)), inverse)
-        gone = _bits(answers, "window", len(bucket))[seen_at] | (first[seen_at] < doc)
-        kept, n_words, n_removed, at = [None] * len(docs), np.zeros(len(docs), np.int64), np.zeros(len(docs), np.int64), 0
-        for i, starts in zip(block.order, block.starts):
-            words = _words(block.texts[i])
-            hit = starts[gone[at : at + len(starts)]]
-            at += len(starts)
-            n_words[i] = len(words)
-            if len(hit):
-                edge = np.zeros(len(words) + 1, dtype=np.int32)
-                edge[hit] += 1
-                edge[hit + WINDOW] -= 1
-                covered = np.cumsum(edge)[:-1] > 0
-                n_removed[i] = covered.sum()
-                words = [w for w, c in zip(words, covered.tolist()) if not c]
-            kept[i] = b" ".join(words)
-        out = docs[columns].copy()
-        out["n_words"], out["n_removed"] = n_words, n_removed
-        out["kept_sha256"] = [hashlib.sha256(k).hexdigest() for k in kept]
-        out["kept_text"] = [k.decode("utf-8", "surrogatepass") for k in kept]
-        return out
+        bits = answers.to_pandas()
+        bucket, _, first, seen_at, doc = block.windows(_bits(bits, "anchor", len(keys)), inverse)
+        gone = block.starts[_bits(bits, "window", len(bucket))[seen_at] | (first[seen_at] < doc)]
+        covered = _covered(len(block.words), gone, gone + WINDOW)
+        removed = np.bincount(block.row[covered], minlength=docs.num_rows)
+        kept, texts = [""] * docs.num_rows, docs["__text"]
+        digest = kept.copy()
+        for i, at, n, hit in zip(block.order.tolist(), block.first.tolist(), block.count.tolist(), removed.tolist()):
+            words = _words(texts[i].as_py())
+            if hit:
+                words = [w for w, c in zip(words, covered[at : at + n].tolist()) if not c]
+            joined = b" ".join(words)
+            kept[i], digest[i] = joined.decode("utf-8"), hashlib.sha256(joined).hexdigest()
+        counts = [pa.array(_unsorted(x, block.order)) for x in (block.count, removed)]
+        own = docs.drop_columns(["__block", "__id", "__text"])
+        return pa.Table.from_arrays([*own.columns, *counts, pa.array(digest, pa.string()), pa.array(kept, pa.string())], names=[*names, "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _unsorted(values: np.ndarray, order: np.ndarray) -> np.ndarray:
+    out = np.empty(len(values), dtype=np.int64)
+    out[order] = values
+    return out
+
+
+def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), block_chars: int = BLOCK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """(doc_id, *keep, n_words, n_removed, kept_sha256, kept_text) for each row of docs.
 
     A word goes if a 13-word window covers it whose sequence also starts in a document with a smaller
     doc_id. Null and empty texts have no words and keep ''. Rows that repeat a doc_id are parts of one
     document: none is smaller than the other. A null doc_id is larger than every other. Columns other than
-    `keep` aren't read; those named like a result must not be in `keep`. An empty table gives no rows.
+    `keep` aren't read; those of `keep` may have any names but those of the results. An empty table gives no rows.
     """
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text)).alias("n")).first()["n"] or 0
-    blocks = max(shuffle_partitions(spark), -(-chars // block_chars))
-    fields = [f.name for f in docs.schema if f.name in keep]
-    own = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))), F.lit(blocks)).alias("block"), F.col(doc_id).cast("long").alias("__id"), F.col(text).alias("__text"), F.col(doc_id).alias("doc_id"), *fields)
-    dealt = own.repartition("block")
-    asked = dealt.groupBy("block").applyInPandas(_ask_anchors(blocks), MESSAGE)
+    blocks, buckets = (max(shuffle_partitions(spark), -(-chars // size)) for size in (block_chars, bucket_chars))
+    names = ["doc_id", *keep]
+    own = small_batches(docs).select(
+        F.pmod(F.xxhash64(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1))), F.lit(blocks)).alias("__block"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID)).alias("__id"), F.col(text).alias("__text"),
+        F.col(doc_id).alias("__keep"), *(F.col(c).alias(f"__keep{i}") for i, c in enumerate(keep)),
+    )
+    dealt = own.repartition(blocks, "__block")
+    asked = dealt.groupBy("__block").applyInPandas(_ask_anchors(buckets), MESSAGE)
     anchors = asked.groupBy("bucket").applyInPandas(_answer_anchors, MESSAGE)
-    windows = dealt.groupBy("block").cogroup(anchors.groupBy("block")).applyInPandas(_ask_windows(blocks), MESSAGE).groupBy("bucket").applyInPandas(_answer_windows, MESSAGE)
+    windows = dealt.groupBy("__block").cogroup(anchors.groupBy("block")).applyInPandas(_ask_windows(buckets), MESSAGE).groupBy("bucket").applyInPandas(_answer_windows, MESSAGE)
     answers = anchors.unionByName(windows)
-    columns = ["doc_id", *fields]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.select(*columns).schema) + ", n_words long, n_removed long, kept_sha256 string, kept_text string"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(_remove(blocks, columns), schema)
+    kinds = T.StructType([T.StructField(n, f.dataType) for n, f in zip(names, own.schema[3:])])
+    result = kinds.add("n_words", "long").add("n_removed", "long").add("kept_sha256", "string").add("kept_text", "string")
+    return dealt.groupBy("__block").cogroup(answers.groupBy("block")).applyInArrow(_remove(buckets, names), result)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
