@@ -23,7 +23,7 @@ WINDOW, GRAM = 13, 5
 SPAN = WINDOW - GRAM + 1
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -52,13 +52,29 @@ def _fingerprints(texts: DataFrame, short: list[int]) -> DataFrame:
     return marked
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """df to be broadcast if it has no more rows than are allowed for that, else to be shuffled."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame, size: int) -> DataFrame:
+    """df to be broadcast if its `size` in bytes is allowed for that, else to be shuffled."""
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+
+
+def _near(met: DataFrame, prints: DataFrame, gram: int, window: int) -> DataFrame:
+    """(doc_id, h, s, len, win): windows of `window` words of the texts in met (doc_id, h, __w, lw) that hold a gram of `prints`.
+
+    Each place of a gram carries the words within a window of it and no more, so a long text costs no more than its length.
+    """
+    reach = window - gram
+    # the number of places is checked inside the explode: a filter on grams would be pushed below the arrays, which would be computed anew for each place
+    places = met.withColumn("__g", _grams("__w", gram)).select("doc_id", "h", F.explode(F.expr(
+        f"CASE WHEN size(lw) >= {window} THEN transform(__g, (fp, i) -> struct(i + 1 AS p, fp, size(lw) AS n, slice(lw, greatest(1, i + 1 - {reach}), i + 1 + {window} - greatest(1, i + 1 - {reach})) AS near)) END"
+    )).alias("x")).select("doc_id", "h", "x.*")
+    first, last = f"greatest(1, p - {reach})", f"least(p, n - {window - 1})"
+    starts = F.expr(f"transform(sequence({first}, {last}), s -> struct(s AS s, {window} AS len, array_join(slice(near, s - {first} + 1, {window}), ' ') AS win))")
+    held = places.join(prints, "fp", "left_semi").filter(f"{first} <= {last}")
+    return held.select("doc_id", "h", F.explode(starts).alias("x")).select("doc_id", "h", "x.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids) for each row of docs.
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, text_hash) for each row of docs.
 
     A document word inside an occurrence of a window is hit; contaminated if a twentieth of the words or
     more are. Null and empty texts have no words and aren't contaminated; items without words or without
@@ -67,55 +83,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     no rows, or no hits.
     """
     items = benchmark.select(F.col(item_id).cast("string").alias("item"), words(F.upper(item_text)).alias("__w"), words(lowered(F.col(item_text))).alias("lw")).filter("item IS NOT NULL AND size(lw) > 0")
-    short = [r["n"] for r in items.select(F.size("lw").alias("n")).filter(F.col("n") < WINDOW).distinct().collect()]  # 12 numbers at most
-    short.sort()
-    windows = (
-        items.select("item", F.expr(f"CASE WHEN size(lw) >= {WINDOW} THEN transform(sequence(1, size(lw) - {WINDOW - 1}), i -> array_join(slice(lw, i, {WINDOW}), ' ')) ELSE array(array_join(lw, ' ')) END").alias("ws"))
-        .select("item", F.explode_outer("ws").alias("win"))
-        .groupBy("win")
-        .agg(F.collect_set("item").alias("items"))
-    )
+    short = sorted(r["n"] for r in items.select(F.size("lw").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # 12 numbers at most
+    windows = items.select("item", F.explode_outer(F.expr(f"CASE WHEN size(lw) >= {WINDOW} THEN transform(sequence(1, size(lw) - {WINDOW - 1}), i -> array_join(slice(lw, i, {WINDOW}), ' ')) ELSE array(array_join(lw, ' ')) END")).alias("win")).distinct()
     item_prints = _fingerprints(items.filter(F.size("lw") >= WINDOW), []).select(F.explode_outer("__f").alias("fp"))
     for size in short:
         item_prints = item_prints.unionByName(items.filter(F.size("lw") == size).select(F.explode_outer(_grams("__w", size)).alias("fp")))
     item_prints = item_prints.filter("fp IS NOT NULL").distinct()
-    n_prints, n_windows = item_prints.count(), windows.count()
+    known = _small(item_prints, 64 * item_prints.count())
+    width = windows.agg(F.sum(F.octet_length("win") + F.octet_length("item") + 64).alias("n")).first()["n"] or 0
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
     prints = _fingerprints(own.select("doc_id", "h", words(F.upper("text")).alias("__w")), short).select("doc_id", "h", F.explode_outer("__f").alias("fp")).filter("fp IS NOT NULL")
-    hits = prints.join(_small(item_prints, n_prints), "fp", "left_semi").groupBy("doc_id", "h").agg(F.collect_set("fp").alias("met"))
+    hits = prints.join(known, "fp", "left_semi").select("doc_id", "h").distinct()
 
-    met = own.alias("d").join(hits.alias("m"), F.expr("d.h = m.h AND d.doc_id <=> m.doc_id")).select("d.doc_id", "d.h", "met", words(F.upper("d.text")).alias("__w"), words(lowered(F.col("d.text"))).alias("lw"))
-    met = met.withColumn("g", _grams("__w", GRAM))
-    spots = F.expr(f"filter(sequence(1, size(lw)), i -> i <= size(g) AND array_contains(met, g[i - 1]))")
-    met = met.withColumn("spots", spots).withColumn("starts", F.expr(f"array_distinct(flatten(transform(spots, p -> CASE WHEN size(lw) >= {WINDOW} AND p >= 1 THEN sequence(greatest(1, least(p - {SPAN - 1}, size(lw) - {WINDOW - 1})), least(p, size(lw) - {WINDOW - 1})) ELSE CAST(array() AS array<int>) END)))"))
-    near = met.select("doc_id", "h", F.explode_outer(F.expr(f"transform(starts, s -> struct(s AS s, {WINDOW} AS len, array_join(slice(lw, s, {WINDOW}), ' ') AS win))")).alias("x"))
+    met = own.alias("d").join(hits.alias("m"), F.expr("d.h = m.h AND d.doc_id <=> m.doc_id"), "left_semi").select("d.doc_id", "d.h", words(F.upper("d.text")).alias("__w"), words(lowered(F.col("d.text"))).alias("lw"))
+    near = _near(met, known, GRAM, WINDOW)
     for size in short:
-        near = near.unionByName(
-            met.withColumn("g", _grams("__w", size)).select("doc_id", "h", F.explode_outer(F.expr(f"transform(filter(sequence(1, size(lw)), i -> i <= size(g) AND array_contains(met, g[i - 1])), s -> struct(s AS s, {size} AS len, array_join(slice(lw, s, {size}), ' ') AS win))")).alias("x"))
-        )
-    near = near.filter("x IS NOT NULL").select("doc_id", "h", "x.*")
-    found = (
-        near.join(_small(windows, n_windows), "win")
-        .groupBy("doc_id", "h")
-        .agg(F.collect_set(F.struct("s", "len")).alias("at"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("item_ids"))
-        .select("doc_id", "h", F.expr("size(array_distinct(flatten(transform(at, x -> sequence(x.s, x.s + x.len - 1)))))").cast("long").alias("n_hit"), "item_ids")
-    )
+        near = near.unionByName(_near(met, known, size, size))
+    # a window that many items hold stays one row here; its items are joined to documents once for each document that has it
+    found = near.join(_small(windows.select("win").distinct(), width), "win", "left_semi").groupBy("doc_id", "h", "win").agg(F.collect_set(F.struct("s", "len")).alias("at"))
+    covered = found.groupBy("doc_id", "h").agg(F.expr("size(array_distinct(flatten(transform(flatten(collect_list(at)), x -> sequence(x.s, x.s + x.len - 1)))))").cast("long").alias("n_hit"))
+    held = found.select("doc_id", "h", "win").join(_small(windows, width), "win").select("doc_id", "h", "item").distinct().groupBy("doc_id", "h").agg(F.array_sort(F.collect_list("item")).alias("item_ids"))
+    result = covered.alias("a").join(held.alias("b"), F.expr("a.h = b.h AND a.doc_id <=> b.doc_id")).select("a.doc_id", "a.h", "n_hit", "item_ids")
     counted = own.select("doc_id", "h", F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    out = counted.alias("c").join(found.alias("f"), F.expr("c.h = f.h AND c.doc_id <=> f.doc_id"), "left")
+    out = counted.alias("c").join(result.alias("f"), F.expr("c.h = f.h AND c.doc_id <=> f.doc_id"), "left")
     none = F.expr("CAST(array() AS array<string>)")
     return (
-        out.select("c.doc_id", "c.n_words", F.coalesce("f.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("f.item_ids", none).alias("item_ids"))
+        out.select("c.doc_id", F.col("c.h").alias("text_hash"), "c.n_words", F.coalesce("f.n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("f.item_ids", none).alias("item_ids"))
         .withColumn("n_items", F.size("item_ids").cast("long"))
         .withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256))
         .withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows whose doc_id has a contaminated text; rows without an id stay."""
-    gone = contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without the contaminated rows, each judged by its own text, with or without an id; clean rows keep all
+    their columns, whatever their names."""
+    gone = contamination(docs, benchmark, doc_id, text).filter("contaminated").select(F.col("doc_id").alias("__gone"), "text_hash").distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text]) == gone["text_hash"]), "left_anti")
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
