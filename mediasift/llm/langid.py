@@ -3,8 +3,8 @@
 A text is lower-cased, every run of non-letters becomes one space, and its character trigrams are hashed
 into 8,192 counts. Counts are damped by a logarithm, weighted by inverse document frequency and scaled to
 length one. Each language of the training sample is clustered into several centroids (spherical k-means);
-a text gets the language of the nearest centroid by cosine. A text whose best cosine is under `reject` is
-rejected by distance.
+a text gets the language of the nearest centroid by cosine. It is rejected by distance if it is less near than
+`FAR` of the cosine that all but a hundredth of the centroid's own training texts reach.
 
 The model is fitted on a bounded sample: at most about `most_rows` labelled documents, chosen by a hash of
 the id, whose sparse vectors the driver clusters.
@@ -20,9 +20,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, table
+from .common import bounded_sample, fold, small_batches, table
 
-BUCKETS, CLUSTERS, ROUNDS, MOST_TRAINING_ROWS = 8192, 3, 12, 3000
+BUCKETS, CLUSTERS, ROUNDS, MOST_TRAINING_ROWS, FAR = 8192, 3, 12, 3000, 0.6
 _LETTER = None
 
 
@@ -62,15 +62,16 @@ class Centroids:
     languages: list[str]  # of each centroid
     weighted: np.ndarray  # buckets x centroids: centroid times inverse document frequency
     idf: np.ndarray
+    bars: np.ndarray  # of each centroid: the cosine under which a text is rejected
 
-    def nearest(self, text: str | None) -> tuple[str, float] | None:
-        """Language and cosine of the nearest centroid; None for a text without letters."""
+    def nearest(self, text: str | None) -> tuple[str, float, bool] | None:
+        """Language and cosine of the nearest centroid, and whether that is too far; None for a text without letters."""
         if (found := term_weights(text)) is None:
             return None
         at, tf = found
         cosines = tf @ self.weighted[at] / np.linalg.norm(tf * self.idf[at])
         best = int(np.argmax(cosines))
-        return self.languages[best], float(min(1.0, max(0.0, cosines[best])))
+        return self.languages[best], float(min(1.0, max(0.0, cosines[best]))), bool(cosines[best] < self.bars[best])
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -81,7 +82,7 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most_rows: int = MOST_TRAINING_ROWS, clusters: int = CLUSTERS) -> Centroids | None:
     """Centroids of every language in a sample of at most about `most_rows` rows; None without any text that has letters."""
-    rows = bounded_sample(labelled.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL"), "doc_id", most_rows)
+    rows = bounded_sample(small_batches(labelled).select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang IS NOT NULL"), "doc_id", "lang", most_rows)
     sample = rows.mapInPandas(_vectors, "lang string, at binary, tf binary").orderBy("lang", "at", "tf").collect()  # the bounded sample
     if not sample:
         return None
@@ -92,7 +93,7 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most_rows:
     x *= idf.astype(np.float32)
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     langs = np.array([r["lang"] for r in sample])
-    names, centres = [], []
+    names, centres, bars = [], [], []
     for name in sorted(set(langs)):
         own = x[langs == name]
         c = own[np.linspace(0, len(own) - 1, min(clusters, len(own))).astype(int)]
@@ -102,26 +103,29 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", most_rows:
             c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
         names += [name] * len(c)
         centres.append(c)
-    return Centroids(names, np.ascontiguousarray((np.concatenate(centres) * idf).T), idf)
+        cosines = own @ c.T
+        near = np.argmax(cosines, axis=1)
+        bars += [FAR * float(np.quantile(cosines[near == k, k], 0.01)) if (near == k).any() else 0.0 for k in range(len(c))]
+    return Centroids(names, np.ascontiguousarray((np.concatenate(centres) * idf).T), idf, np.array(bars))
 
 
-def identify(docs: DataFrame, model: Centroids | None, reject: float = 0.0) -> DataFrame:
+def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
     """docs with `lang_pred`, `score` (cosine with the nearest centroid, 0 to 1) and `rejected`.
 
-    `und` with score 0 where the text is null or has no letter, and everywhere without a model. Texts with
-    a cosine under `reject` keep the nearest language and are marked rejected. Columns of these names are
-    replaced; all others stay. An empty table gives no rows.
+    `und` with score 0, rejected, where the text is null or has no letter, and everywhere without a model. Texts too far
+    from their centroid keep its language and are marked rejected; of equally near centroids the first counts. Columns of
+    these names are replaced; all others stay. Equal texts have equal results. An empty table gives no rows.
     """
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, far boolean")
     def nearest(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(model.nearest(t) if model else None) or ("und", 0.0) for t in texts], columns=["lang", "score"])
+        return pd.DataFrame([(model.nearest(t) if model else None) or ("und", 0.0, True) for t in texts], columns=["lang", "score", "far"])
 
-    out = docs.withColumn("__near", nearest("text"))
-    return out.withColumns({"lang_pred": F.col("__near.lang"), "score": F.col("__near.score")}).drop("__near").withColumn("rejected", (F.col("lang_pred") == "und") | (F.col("score") < reject))
+    out = small_batches(docs).withColumn("__near", nearest("text"))
+    return out.withColumns({"lang_pred": F.col("__near.lang"), "score": F.col("__near.score"), "rejected": F.col("__near.far")}).drop("__near")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.filter((fold("doc_id", 5) != 0) & F.col("lang").isNotNull()))
-    return identify(docs.select("doc_id", "text"), model, reject=0.05).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+    return identify(docs.select("doc_id", "text"), model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "rejected")

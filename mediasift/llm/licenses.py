@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .license_templates import WORDINGS
 
 DICE = 0.8
@@ -142,7 +142,7 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     def scan(texts: pd.Series) -> pd.Series:
         return pd.Series([[{"license": n, "first": i, "after": j, "score": s} for n, i, j, s in scanner.matches(t)] for t in texts], dtype=object)
 
-    out = docs.select(F.col(doc_id).alias("doc_id"), scan(F.col(text)).alias("matches"))
+    out = small_batches(docs).select(F.col(doc_id).alias("doc_id"), scan(F.col(text)).alias("matches"))
     best = F.expr("element_at(array_sort(matches, (a, b) -> CASE WHEN a.score != b.score THEN IF(a.score > b.score, -1, 1) WHEN a.first != b.first THEN a.first - b.first WHEN a.license < b.license THEN -1 WHEN a.license > b.license THEN 1 ELSE 0 END), 1)")
     out = out.withColumn("best", F.when(F.size("matches") > 0, best))
     return out.select("doc_id", F.col("best.license").alias("license"), F.coalesce("best.score", F.lit(0.0)).alias("score"), F.size("matches").alias("n_matches"), "matches")

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc, materialize, table
+from .common import crc, materialize, small_batches, table
 from .tokens import default_path, encoder
 
 CAPACITY, END_ID = 1024, 2
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizer:
     Null and empty texts are the end id alone; rows that repeat a doc_id, or have none, are packed like
     any other. Other columns aren't read. An empty table gives no rows.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    own = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = materialize(own.mapInArrow(_cut(tokenizer or default_path(), capacity, end_id), PIECES), "pieces")
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r["length"]: r["n"] for r in by_task.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # `capacity` rows at most

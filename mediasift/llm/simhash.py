@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table
+from .common import materialize, small_batches, table
 from .components import components
 
 SHINGLE, SEED, BITS = 3, 42, 2
@@ -126,27 +126,30 @@ def fingerprint_links(fps: DataFrame, bits: int = BITS, most_verified: int = 256
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs; component_id is the smallest doc_id reachable over
-    fingerprints within two bits, itself included.
+    """(doc_id, fp, component_id, text_hash) for each row of docs; component_id is the smallest doc_id reachable over
+    fingerprints within two bits, itself included; text_hash tells apart rows that repeat a doc_id.
 
     Null and empty texts have fingerprint zero and link with whatever is near zero. Rows that repeat a
     doc_id stay apart as rows. A null doc_id is never the smallest; a group without any id has a null
     component_id. Other columns aren't read, whatever their names; an empty table gives no rows.
     """
-    ids = docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp"))
+    ids = small_batches(docs).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), _fingerprints(F.col(text)).alias("fp"))
     marked = materialize(ids, "simhash-docs")
     reps = marked.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     found = components(fingerprint_links(reps.select("fp")))
     root = reps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("root"))
     least = root.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = root.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id", "text_hash")
 
 
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that reach a smaller doc_id; rows without an id stay."""
-    gone = near_duplicates(docs, doc_id, text).filter("component_id < doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    return docs.join(gone, doc_id, "left_anti")
+    """docs without the rows that reach a smaller doc_id; a null doc_id is larger than every other. Of a group without
+    any id all rows stay, as nothing says which is first; rows that repeat the smallest id of their group stay too.
+    """
+    found = near_duplicates(docs, doc_id, text).filter("component_id < doc_id OR doc_id IS NULL AND component_id IS NOT NULL")
+    gone = found.select(F.col("doc_id").alias("__gone"), "text_hash").distinct()
+    return docs.join(gone, docs[doc_id].eqNullSafe(gone["__gone"]) & (F.xxhash64(docs[text]) == gone["text_hash"]), "left_anti")
 
 
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from __future__ import annotations
 import bisect
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import crc, materialize, scratch_path, shuffle_partitions, table
+from .common import crc, materialize, scratch_path, shuffle_partitions, small_batches, table
 from .tokens import default_path, encoder
 
 END_ID, BLOCK_BYTES, SHARD_CHARS = 0, 64 << 10, 16_000_000
@@ -127,19 +127,33 @@ class Writer:
 
 
 class Reader:
-    """One shard from its bytes (or a memory map of them)."""
+    """One shard, given its bytes or a function (place, size) -> bytes and its size; only footer, index and filter are
+    read at first, and of the blocks those that are asked for."""
 
-    def __init__(self, data: bytes):
-        index_at, index_size, bloom_at, bloom_size, self.docs, self.tokens, self.width, magic = FOOTER.unpack(data[-FOOTER.size :])
+    def __init__(self, data: bytes | Callable[[int, int], bytes], size: int | None = None):
+        self.read = data if callable(data) else lambda at, n: data[at : at + n]
+        size = len(data) if size is None else size
+        index_at, index_size, bloom_at, bloom_size, self.docs, self.tokens, self.width, magic = FOOTER.unpack(self.read(size - FOOTER.size, FOOTER.size))
         if magic != MAGIC:
             raise ValueError("not a token shard")
-        self.data, self.bloom = data, data[bloom_at : bloom_at + bloom_size]
-        self.index = [INDEX.unpack_from(data, index_at + i) for i in range(0, index_size, INDEX.size)]
+        tail = self.read(index_at, bloom_at + bloom_size - index_at)
+        self.bloom = tail[bloom_at - index_at :]
+        self.index = [INDEX.unpack_from(tail, i) for i in range(0, index_size, INDEX.size)]
+        self.last_keys = [x[0] for x in self.index]
+
+    @classmethod
+    def open(cls, uri: str) -> Reader:
+        """A shard in a folder that pyarrow.fs knows, by ranged reads."""
+        from pyarrow.fs import FileSystem
+
+        fs, path = FileSystem.from_uri(uri)
+        file = fs.open_input_file(path)
+        return cls(lambda at, n: file.read_at(n, at), file.size())
 
     def block(self, i: int) -> Iterator[tuple[bytes, int, bytes]]:
         """(key, ids before it in the shard, ids as 32-bit integers) of each entry of a block."""
         _, at, size, _, start = self.index[i]
-        data, key, p = self.data[at : at + size], b"", 0
+        data, key, p = self.read(at, size), b"", 0
         while p < len(data):
             shared, p = _read_varint(data, p)
             rest, p = _read_varint(data, p)
@@ -160,10 +174,10 @@ class Reader:
         key = _key(doc_id)
         if not all(self.bloom[p >> 3] >> (p & 7) & 1 for p in _probes(key, len(self.bloom) * 8)):
             return None
-        i = bisect.bisect_left([x[0] for x in self.index], key)
+        i = bisect.bisect_left(self.last_keys, key)
         if i == len(self.index):
             return None
-        return next((ids for k, _, ids in self.block(i) if k == key), None)
+        return next((ids for k, _, ids in self.block(i) if k == key), None)  # an id that repeats: its first entry
 
 
 def _widen(ids: bytes) -> bytes:
@@ -212,12 +226,21 @@ def write_shards(docs: DataFrame, folder: str, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     fs, base = FileSystem.from_uri(folder)
     fs.create_dir(base, recursive=True)
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
+    own = small_batches(docs).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
     chars = own.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     shards = max(shuffle_partitions(spark), -(-chars // shard_chars))
-    ordered = own.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
+    # a second key, so that the rows of one id need not be one shard
+    ordered = own.repartitionByRange(shards, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
     manifest = materialize(ordered.mapInArrow(_write(folder, tokenizer or default_path(), end_id, block_bytes), MANIFEST), "manifest")
-    return manifest.withColumn("start", F.coalesce(F.sum("n_tokens").over(W.orderBy("first_id", "shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    return _started(manifest)
+
+
+def _started(manifest: DataFrame) -> DataFrame:
+    """manifest with `start`: sums over groups of 1,024 shards first, so that no task orders more than a 1,024th of it or a group."""
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    grouped = manifest.withColumn("__group", F.floor(F.col("shard") / 1024))
+    bases = grouped.groupBy("__group").agg(F.sum("n_tokens").alias("n_tokens")).select("__group", before(W.orderBy("__group")).alias("__base"))
+    return grouped.join(bases, "__group").withColumn("start", F.col("__base") + before(W.partitionBy("__group").orderBy("shard"))).drop("__group", "__base")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
