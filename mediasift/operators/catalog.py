@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediasift.operators.registry import query
+from mediasift.sources.blobs import clean_key
 from mediasift.sources.views import FRAMES_SQL, LINES_SQL, MEDIA_SQL, SEGMENTS_SQL, frames, lines, media, segments, table
 
 ELEVATED = ("ANALYST", "MODERATOR", "ADMIN")
@@ -78,6 +79,15 @@ def s1(spark: SparkSession, d: str) -> DataFrame:
     return media(spark, d).filter("media_id = 42").select("media_id", "uploader", "media_type", "file_size")
 
 
+_KEY = "CASE doc_id % 7 WHEN 0 THEN '/a/' || source WHEN 1 THEN '../' || source WHEN 2 THEN 'a/../b/./' || source WHEN 3 THEN 'a/../../' || source WHEN 4 THEN ' ' WHEN 5 THEN 'a//b/..' ELSE source || '/x.txt' END"
+
+
+@query("s2_blob_keys", "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN 'a/' || source WHEN 2 THEN 'b/' || source WHEN 5 THEN 'a' WHEN 6 THEN source || '/x.txt' END AS key FROM documents")
+def s2(spark: SparkSession, d: str) -> DataFrame:
+    """Keys that stay inside the folder; files themselves are written and read in a test."""
+    return table(spark, d, "documents").select("doc_id", clean_key(F.expr(_KEY)).alias("key"))
+
+
 @query(
     "s3_storage_key",
     f"WITH {MEDIA_SQL}, m AS (SELECT *, {TYPES_SQL} AS mime FROM media) SELECT media_id, 'quarantine/' || lower(media_type) || '/2024-01-01/' || sha256[1:32] || '.' || {case_sql(ENDINGS, 'mime', repr('bin'))} AS storage_key FROM m",

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediasift.functions import signals as S
+from mediasift.functions.spectra import acceleration_of, pitch_of, print_of
 from mediasift.functions.text import without_overlaps
 from mediasift.operators.registry import query
 from mediasift.operators.timeline import islands, merge_intervals
@@ -556,3 +557,26 @@ def j14(spark: SparkSession, d: str) -> DataFrame:
     """Three events of a user are a frame; a test holds the tracks against a loop."""
     boxes = numbered(frames(spark, d)).select("media_id", F.floor(F.col("i") / 3).alias("frame"), F.col("event_id").alias("box_id"), *((F.col("event_id") % m * k).cast("double").alias(n) for n, m, k in (("x", 53, 4), ("y", 41, 4))), (20 + F.col("event_id") % 30).cast("double").alias("width"), (20 + F.col("event_id") % 23).cast("double").alias("height"))
     return track(boxes)
+
+
+def waves(spark: SparkSession, d: str) -> DataFrame:
+    """(media_id, wave): the 64 vectors of a medium end to end, 4,096 samples."""
+    media = F.floor(F.col("vec_id") / 64).alias("media_id")
+    parts = table(spark, d, "embeddings").groupBy(media).agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("p"))
+    return parts.select("media_id", F.flatten("p.e").alias("wave"))
+
+
+@query("m4_spectral_print")
+def m4(spark: SparkSession, d: str) -> DataFrame:
+    """Fourier transforms aren't SQL; tests hold these three against plain sums."""
+    return waves(spark, d).select("media_id", print_of("wave").alias("print"))
+
+
+@query("m11_pitch_contour")
+def m11(spark: SparkSession, d: str) -> DataFrame:
+    return waves(spark, d).select("media_id", F.posexplode(pitch_of(F.col("wave"), 16000)).alias("frame", "f0"))
+
+
+@query("m29_phase_acceleration")
+def m29(spark: SparkSession, d: str) -> DataFrame:
+    return waves(spark, d).select("media_id", acceleration_of("wave").alias("score"))
