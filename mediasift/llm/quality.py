@@ -10,7 +10,6 @@ log-odds is the score's logit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, table
+from .common import fold, materialize, small_batches, table
 
 NAMES = ("chars", "words", "word_length", "long_words", "upper", "digits", "marks", "symbols", "other_bytes", "capital_words", "distinct", "repeated_lines", "pairs", "separators", "line_length", "marked_words")
 THRESHOLD = 0.3
@@ -56,18 +55,6 @@ def measure(texts: pd.Series) -> pd.Series:
     return pd.Series([statistics(t) for t in texts], dtype=object)
 
 
-def _sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each class that the partition holds: rows, sum and sum of products."""
-    d, held = len(NAMES), {}
-    for pdf in batches:
-        for label, x in zip(pdf["label"], pdf["x"]):
-            x = np.asarray(x, dtype=float)
-            n, s, p = held.setdefault(int(label), [0, np.zeros(d), np.zeros((d, d))])
-            held[int(label)] = [n + 1, s + x, p + np.outer(x, x)]
-    if held:
-        yield pd.DataFrame([(k, i, v) for k, (n, s, p) in held.items() for i, v in enumerate([float(n), *s, *p.ravel()])], columns=["label", "i", "v"])
-
-
 @dataclass(frozen=True)
 class Discriminant:
     """Means, lower Cholesky factors and log-determinants of both classes, and the prior log-odds of label 1."""
@@ -89,11 +76,15 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", to_pooled
 
 def fit_measured(measured: DataFrame, to_pooled: float = 0.1, to_diagonal: float = 0.05) -> Discriminant | None:
     """As fit, from the statistics x of the texts."""
-    rows = measured.select("x", F.col("label").cast("int").alias("label")).filter("label IN (0, 1)")
-    d = len(NAMES)
-    sums = {0: np.zeros(1 + d + d * d), 1: np.zeros(1 + d + d * d)}
-    for r in rows.mapInPandas(_sums, "label int, i int, v double").groupBy("label", "i").agg(F.sum("v").alias("v")).collect():  # 2 * 273 numbers
-        sums[r["label"]][r["i"]] = r["v"]
+    rows, d = measured.select("x", F.col("label").cast("int").alias("label")).filter("label IN (0, 1)"), len(NAMES)
+    places = [(i, j) for i in range(d) for j in range(i, d)]
+    of = [F.sum(F.col("x")[i]) for i in range(d)] + [F.sum(F.col("x")[i] * F.col("x")[j]) for i, j in places]
+    sums = {c: np.zeros(1 + d + d * d) for c in (0, 1)}
+    for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.array(*of).alias("s")).collect():  # two rows
+        products = np.zeros((d, d))
+        for (i, j), v in zip(places, r["s"][d:]):
+            products[i, j] = products[j, i] = v
+        sums[r["label"]] = np.array([float(r["n"]), *r["s"][:d], *products.ravel()])
     n = np.array([sums[c][0] for c in (0, 1)])
     if not n.all():
         return None
@@ -105,48 +96,55 @@ def fit_measured(measured: DataFrame, to_pooled: float = 0.1, to_diagonal: float
     return Discriminant(means, np.array(factors), np.array([2 * np.log(np.diag(f)).sum() for f in factors]), float(np.log(n[1] / n[0])))
 
 
-def scorer(model: Discriminant | None):
-    """Column function text -> score; 0.5 for every text without a model."""
+def scorer(model: Discriminant | None, measured: bool = False):
+    """Column function text (or its statistics) -> score; 0.5 for every text without a model."""
 
     @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        if model is None or not len(texts):
-            return pd.Series([0.5] * len(texts), dtype=float)
-        z = model.logit(np.array([statistics(t) for t in texts]))
+    def score(values: pd.Series) -> pd.Series:
+        if model is None or not len(values):
+            return pd.Series([0.5] * len(values), dtype=float)
+        z = model.logit(np.array([v if measured else statistics(v) for v in values]))
         return pd.Series(1 / (1 + np.exp(-np.clip(z, -50, 50))))
 
     return score
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(doc_id, text, label) of the documents that have one label and pass `learn`; repeated equal labels count once."""
-    own = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn).distinct()
-    return docs.select("doc_id", "text").join(own, "doc_id").select("doc_id", "text", "label")
+def learned_labels(labels: DataFrame, label: str, learn: Column) -> DataFrame:
+    """(doc_id, label) of the rows that have both and pass `learn`; repeated equal labels count once."""
+    return labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn).distinct()
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, label: str, learn: Column) -> DataFrame:
-    """(doc_id, x, label) of the documents that have one label and pass `learn`; repeated equal labels count once.
+    """(doc_id, x, label) of the documents that have one label and pass `learn`.
 
     Texts are measured where they are read, so that the join moves 16 numbers of a document and never its text.
     """
-    own = labels.select("doc_id", F.col(label).alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & learn).distinct()
-    return docs.filter(F.col("doc_id").isNotNull() & learn).select("doc_id", measure("text").alias("x")).join(own, "doc_id").select("doc_id", "x", "label")
+    return small_batches(docs).filter(F.col("doc_id").isNotNull() & learn).select("doc_id", measure("text").alias("x")).join(learned_labels(labels, label, learn), "doc_id").select("doc_id", "x", "label")
 
 
 def score_quality(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD) -> DataFrame:
     """docs with `score` (0 to 1, higher: label 1 likelier) and `predicted` (1 from the threshold on).
 
     Null and empty texts are scored as texts without words. Columns of these two names are replaced; all
-    others stay. An empty table gives no rows.
+    others stay. Equal texts have equal scores. An empty table gives no rows.
     """
-    return docs.withColumn("score", scorer(model)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return small_batches(docs).withColumn("score", scorer(model)("text")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def keep_good(docs: DataFrame, model: Discriminant | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score_quality would predict as 1, with all their columns as they are."""
+    return small_batches(docs).filter(scorer(model)("text") >= threshold)
 
 
-def learned_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labelled = labelled_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
-    return score_quality(docs, fit_measured(labelled))
+def learn_quality(spark: SparkSession, sf_dir: str) -> Discriminant | None:
+    """The model of the labels of the documents table, without the fold that is held out."""
+    return fit_measured(labelled_statistics(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return learned_quality(spark, docs, sf_dir).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+    """Each text is measured once: model and scores both read the 16 numbers written for it."""
+    measured = materialize(small_batches(table(spark, sf_dir, "documents")).select("doc_id", measure("text").alias("x")), "quality-measured")
+    learn = fold("doc_id", 5) != 0
+    model = fit_measured(measured.filter(F.col("doc_id").isNotNull() & learn).join(learned_labels(table(spark, sf_dir, "labels"), "quality", learn), "doc_id"))
+    scored = measured.select("doc_id", (~learn).alias("held_out"), scorer(model, measured=True)("x").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
