@@ -106,6 +106,25 @@ def s11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint").getField("k").alias("k"))
 
 
+@query(
+    "s11_json_arrays",
+    "WITH j AS (SELECT user_id AS media_id, CAST(to_json(list({'event_id': event_id, 'k': event_id % 17} ORDER BY event_id)) AS VARCHAR) AS json, count(*) AS n, CAST(sum(event_id % 17) AS BIGINT) AS total FROM events GROUP BY user_id) SELECT media_id, md5(json) AS json_md5, CASE WHEN media_id % 5 = 0 THEN 0 ELSE n END AS n, CASE WHEN media_id % 5 = 0 THEN 0 ELSE total END AS total FROM j",
+)
+def s11_arrays(spark: SparkSession, d: str) -> DataFrame:
+    """Nested arrays stored as JSON and read again; what can't be read (every fifth is cut short) is an empty array."""
+    made = table(spark, d, "events").groupBy(F.col("user_id").alias("media_id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("event_id", (F.col("event_id") % 17).alias("k"))))).alias("json"))
+    stored = F.when(F.col("media_id") % 5 == 0, F.col("json").substr(F.lit(2), F.length("json"))).otherwise(F.col("json"))
+    read = made.withColumn("a", json_array(stored, "event_id bigint, k bigint"))
+    return read.select("media_id", F.md5("json").alias("json_md5"), F.size("a").cast("long").alias("n"), F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x["k"]).alias("total"))
+
+
+def json_array(text: Column, fields: str) -> Column:
+    """An array of structs from JSON text; empty for null and for what isn't a whole array of them."""
+    kind = f"array<struct<{', '.join(f.strip().replace(' ', ': ', 1) for f in fields.split(','))}>>"
+    whole = F.trim(text).startswith("[") & F.trim(text).endswith("]")
+    return F.coalesce(F.when(whole, F.from_json(text, kind)), F.expr(f"CAST(array() AS {kind})"))
+
+
 @query(
     "s12_upsert_latest",
     f"WITH {FRAMES_SQL} SELECT media_id, event_type, arg_max(event_id, (t, event_id)) AS event_id, arg_max(score, (t, event_id)) AS score FROM frames GROUP BY media_id, event_type",

@@ -115,6 +115,15 @@ def j1(spark: SparkSession, d: str) -> DataFrame:
     return exact_duplicates(media(spark, d), "sha256", [], "media_id").withColumn("similarity", F.lit(1.0))
 
 
+@query(
+    "t1_tie_break",
+    f"WITH {MEDIA_SQL}, m AS (SELECT media_id, sha256, (media_id * 7919) % 101 AS created FROM media) SELECT a.media_id, arg_min(b.media_id, (b.created, b.media_id)) AS duplicate_of FROM m a JOIN m b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id",
+)
+def t1(spark: SparkSession, d: str) -> DataFrame:
+    """Exact duplicates by time of creation (here a number that isn't in the order of ids), then id."""
+    return exact_duplicates(media(spark, d).select("media_id", "sha256", (F.col("media_id") * 7919 % 101).alias("created")), "sha256", ["created"], "media_id")
+
+
 @query(
     "j2_perceptual_duplicate",
     f"WITH {PHASH_SQL}, h AS (SELECT a.media_id, c.media_id AS other, CAST(hamming(a.bits, c.bits) AS BIGINT) AS distance FROM ph a JOIN ph c ON a.media_id <> c.media_id WHERE a.media_id % 4 = 0 AND c.media_id % 4 = 0) "

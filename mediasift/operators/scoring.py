@@ -335,6 +335,11 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
     return probes(spark, d).select("event_id", first.alias("x")).select("event_id", "x.score", F.coalesce("x.label", F.lit("AI / Manipulation Likelihood")).alias("label"))
 
 
+@query("x15_confidence_percent", f"WITH {FRAMES_SQL} SELECT event_id, CAST(floor(score * 100 + 0.5) AS BIGINT) AS percent FROM frames")
+def x15(spark: SparkSession, d: str) -> DataFrame:
+    return frames(spark, d).select("event_id", F.floor(F.col("score") * 100 + 0.5).alias("percent"))
+
+
 @query("a3_top_fraction_mean", f"WITH {FRAMES_SQL}, o AS (SELECT media_id, score, row_number() OVER (PARTITION BY media_id ORDER BY score DESC) AS k, count(*) OVER (PARTITION BY media_id) AS n FROM frames) SELECT media_id, round(greatest(0.0, least(1.0, avg(score))), 4) AS top_mean FROM o WHERE k <= greatest(1, ceil(0.35 * n)) GROUP BY media_id")
 def a3(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("media_id")

@@ -30,8 +30,12 @@ def gap_clusters(df: DataFrame, gap: float) -> DataFrame:
     peak = F.max_by(F.struct("event_id", "t", "score", "inconsistency"), F.struct("score", -F.col("t"), -F.col("event_id")))
     out = marked.groupBy("media_id", "island").agg(F.min("t").alias("start"), F.max("t").alias("end"), F.count(F.lit(1)).alias("n"), peak.alias("p"))
     jitter = F.col("p.inconsistency") >= 0.4
-    reason = F.when(jitter & (F.col("p.score") >= 0.6), "SYNTHESIS_AND_DISCONTINUITY").when(jitter, "TEMPORAL_JITTER").otherwise("FACIAL_ARTIFACT")
-    return out.select("media_id", "island", "start", "end", "n", F.col("p.event_id").alias("event_id"), F.round("p.score", 4).alias("score"), reason.alias("reason"))
+    said = lambda text, value: F.format_string(text, F.floor(F.col(value) * 100 + 0.5) / 100)  # noqa: E731  half up
+    reason = (
+        F.when(jitter & (F.col("p.score") >= 0.6), said("Facial synthesis anomaly & boundary discontinuity (score: %.2f)", "p.score")).when(jitter, said("Abrupt temporal facial jitter (inconsistency: %.2f)", "p.inconsistency"))
+        .otherwise(said("High facial artifact anomaly (score: %.2f)", "p.score"))
+    )
+    return out.select("media_id", "island", "start", "end", "n", F.col("p.event_id").alias("event_id"), F.round("p.t", 2).alias("peak"), F.round("p.score", 4).alias("score"), reason.alias("reason"))
 
 
 def frame_scores(df: DataFrame, scale: float) -> DataFrame:
@@ -123,8 +127,8 @@ def w2(spark: SparkSession, d: str) -> DataFrame:
     "w1_gap_clusters",
     f"WITH {SUSPICIOUS_SQL}, s AS (SELECT * FROM fs WHERE frame_score >= 0.5 OR inconsistency >= 0.45), g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY media_id ORDER BY t, event_id) > 86400, true) AS fresh FROM s), "
     "k AS (SELECT *, CAST(sum(CAST(fresh AS INT)) OVER (PARTITION BY media_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM g), "
-    "c AS (SELECT media_id, island, min(t) AS start, max(t) AS \"end\", count(*) AS n, arg_max(event_id, (frame_score, -t, -event_id)) AS event_id, max(frame_score) AS top, arg_max(inconsistency, (frame_score, -t, -event_id)) AS inc FROM k GROUP BY media_id, island) "
-    "SELECT media_id, island, start, \"end\", n, event_id, round(top, 4) AS score, CASE WHEN inc >= 0.4 AND top >= 0.6 THEN 'SYNTHESIS_AND_DISCONTINUITY' WHEN inc >= 0.4 THEN 'TEMPORAL_JITTER' ELSE 'FACIAL_ARTIFACT' END AS reason FROM c",
+    "c AS (SELECT media_id, island, min(t) AS start, max(t) AS \"end\", count(*) AS n, arg_max(event_id, (frame_score, -t, -event_id)) AS event_id, max(frame_score) AS top, arg_max(inconsistency, (frame_score, -t, -event_id)) AS inc, arg_max(t, (frame_score, -t, -event_id)) AS pt FROM k GROUP BY media_id, island) "
+    "SELECT media_id, island, start, \"end\", n, event_id, round(pt, 2) AS peak, round(top, 4) AS score, CASE WHEN inc >= 0.4 AND top >= 0.6 THEN printf('Facial synthesis anomaly & boundary discontinuity (score: %.2f)', floor(top * 100 + 0.5) / 100) WHEN inc >= 0.4 THEN printf('Abrupt temporal facial jitter (inconsistency: %.2f)', floor(inc * 100 + 0.5) / 100) ELSE printf('High facial artifact anomaly (score: %.2f)', floor(top * 100 + 0.5) / 100) END AS reason FROM c",
 )
 def w1(spark: SparkSession, d: str) -> DataFrame:
     """A gap of a day, as events are days apart."""
@@ -220,6 +224,26 @@ def w14(spark: SparkSession, d: str) -> DataFrame:
     return seg.filter(3 * F.col("seg") < F.col("dur")).select("media_id", "seg", (3 * F.col("seg")).cast("double").alias("start"), F.least("dur", 3.0 * (F.col("seg") + 1)).alias("end"))
 
 
+def word_offsets(segments_: DataFrame, digits: int = 3) -> DataFrame:
+    """(media_id, seg, word, start, end, probability): two to five words evenly placed in each segment (media_id, seg, start,
+    end, confidence), one for each half second; a word lasts 0.85 of its share and each is a little less sure."""
+    length = F.col("end") - F.col("start")
+    words = F.greatest(F.lit(2), F.least(F.lit(5), F.floor(length / 0.5))).cast("int")
+    each = segments_.select("media_id", "seg", "start", "confidence", length.alias("length"), words.alias("words"), F.explode(F.sequence(F.lit(0), words - 1)).alias("word"))
+    at = lambda shift: F.round(F.col("start") + (F.col("word") + shift) * F.col("length") / F.col("words"), digits)
+    return each.select("media_id", "seg", "word", at(0.0).alias("start"), at(0.85).alias("end"), F.round(F.least(F.lit(0.99), F.greatest(F.lit(0.5), F.col("confidence") - F.col("word") * 0.02)), 4).alias("probability"))
+
+
+@query(
+    "w14_word_offsets",
+    "WITH s AS (SELECT doc_id, CAST(n_chars AS DOUBLE) / 10 AS dur, unnest(range(0, CAST(ceil(n_chars / 30.0) AS BIGINT))) AS seg FROM documents), g AS (SELECT doc_id AS media_id, seg, CAST(3 * seg AS DOUBLE) AS start, least(dur, 3.0 * (seg + 1)) - 3 * seg AS len FROM s WHERE 3 * seg < dur), "
+    "w AS (SELECT *, greatest(2, least(5, CAST(floor(len / 0.5) AS INT))) AS k FROM g) SELECT media_id, seg, CAST(i AS INT) AS word, round(start + CAST(i AS DOUBLE) * len / k, 6) AS start, round(start + (i + CAST(0.85 AS DOUBLE)) * len / k, 6) AS \"end\", round(least(0.99, greatest(0.5, CAST(media_id % 50 AS DOUBLE) / 100 + 0.5 - i * 0.02)), 4) AS probability FROM w, unnest(range(0, k)) u(i)",
+)
+def w14_words(spark: SparkSession, d: str) -> DataFrame:
+    found = w14(spark, d).withColumn("confidence", (F.col("media_id") % 50).cast("double") / 100 + 0.5)
+    return word_offsets(found, 6)
+
+
 @query(
     "j13_timeline_alignment",
     f"WITH {FRAMES_SQL}, s AS (SELECT media_id, t, max(score) AS v FROM frames WHERE event_type = 'click' GROUP BY media_id, t), g AS (SELECT media_id, event_id, t FROM frames WHERE event_type = 'view'), "

@@ -10,7 +10,7 @@ def test_gap_clusters_take_the_first_peak(spark):
     rows = [(1, 0, 1.0, 0.6, 0.1), (1, 1, 1.5, 0.9, 0.5), (1, 2, 2.0, 0.9, 0.1), (1, 3, 3.0, 0.55, 0.1), (1, 4, 10.0, 0.75, 0.0), (2, 5, None, 0.9, 0.0)]
     df = spark.createDataFrame(rows, "media_id int, event_id long, t double, score double, inconsistency double")
     got = [(r.start, r.end, r.event_id, r.score, r.reason) for r in gap_clusters(df, 1.5).orderBy("start").collect()]
-    assert got == [(1.0, 3.0, 1, 0.9, "SYNTHESIS_AND_DISCONTINUITY"), (10.0, 10.0, 4, 0.75, "FACIAL_ARTIFACT")]
+    assert got == [(1.0, 3.0, 1, 0.9, "Facial synthesis anomaly & boundary discontinuity (score: 0.90)"), (10.0, 10.0, 4, 0.75, "High facial artifact anomaly (score: 0.75)")]
 
 
 def test_intervals_merge_within_a_kind(spark):
