@@ -24,14 +24,14 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_sample, fold, table
-from .quality import labelled_documents
+from .common import bounded_sample, fold, materialize, small_batches, table
+from .quality import learned_labels
 
-THRESHOLD, MOST_TRAINING_ROWS, MOST_TERMS = 0.7, 20_000, 20_000
+THRESHOLD, MOST_TRAINING_ROWS = 0.7, 20_000
 PREFIXES = (4, 5, 6)
 DRIFT, K, SURE = -0.3, 0.1, 4
 _WORD = re.compile(r"[^\W_]+")
@@ -71,7 +71,7 @@ def _minima(texts: pd.Series) -> pd.Series:
 
 
 def _apart(rows: DataFrame) -> DataFrame:
-    """rows without those that share one of four minima with another; rows without words stay."""
+    """rows without those that share one of four minima with another, and without those that have no words."""
     keys = rows.select("doc_id", _minima("text").alias("k")).filter("k IS NOT NULL").select("doc_id", *(F.col("k")[i].alias(f"k{i}") for i in range(4)))
     kept = keys
     for i in range(4):
@@ -161,10 +161,16 @@ def _rate(scores: np.ndarray, shares: np.ndarray) -> float:
     return max(high, 1e-3)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows: int = MOST_TRAINING_ROWS, most_terms: int = MOST_TERMS) -> Model | None:
-    """A model from at most about `most_rows` labelled rows (chosen by a hash of doc_id), with the `most_terms`
-    most telling terms; None if either class has no words. Null labels are left out."""
-    rows = bounded_sample(labelled.select("doc_id", F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)"), "doc_id", most_rows)
+def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows: int = MOST_TRAINING_ROWS) -> Model | None:
+    """A model from at most about `most_rows` labelled rows (chosen by a hash of doc_id, half of them from either class
+    if it has as many); None if either class has no words. Null labels are left out."""
+    rows = labelled.select("doc_id", F.col(text).alias("text"), F.col(label).cast("int").alias("label")).filter("label IN (0, 1)")
+    return fit_sample(bounded_sample(rows, "doc_id", "label", most_rows))
+
+
+def fit_sample(rows: DataFrame) -> Model | None:
+    """As fit, from all of a bounded sample of rows (doc_id, text, label, weight)."""
+    rows = small_batches(materialize(rows, "toxicity-sample"))
     counts = _apart(rows).mapInPandas(_count, "term string, n0 long, n1 long").groupBy("term").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     total = counts.filter("term = ''").first()
     if total is None or not total["n0"] or not total["n1"]:
@@ -174,7 +180,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows
     a = F.expr(f"{prior} * (n0 + n1) / {n0 + n1}")
     odds = lambda y, n: F.log((y + a) / (n + prior - y - a))
     told = counts.filter("term != '' AND n0 + n1 >= 5").withColumn("d", odds(F.col("n1"), n1) - odds(F.col("n0"), n0)).withColumn("se", F.sqrt(1 / (F.col("n1") + a) + 1 / (F.col("n0") + a)))
-    best = told.filter(f"abs(d) > {SURE} * se").orderBy(F.desc(F.abs(F.col("d")) / F.col("se")), "term").select("term", "d", "se", "n0").limit(most_terms).collect()  # `most_terms` rows at most
+    best = told.filter(f"abs(d) > {SURE} * se").orderBy(F.desc(F.abs(F.col("d")) / F.col("se")), "term").select("term", "d", "se", "n0").collect()  # terms of the bounded sample
     scores = {r["term"]: (r["d"] - r["se"] if r["d"] > 0 else min(r["d"] + r["se"], DRIFT)) for r in best}
     own = [r for r in best if not r["term"].endswith("*")]
     shares = np.array([(r["n0"] + 0.5) / n0 for r in own])
@@ -183,10 +189,11 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "label", most_rows
 
     def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"bin": [min(1000, round(100 * math.log1p(model.evidence(t)))) for t in pdf["text"]], "label": pdf["label"]})
+            yield pd.DataFrame({"bin": [round(100 * math.log1p(model.evidence(t))) for t in pdf["text"]], "label": pdf["label"], "weight": pdf["weight"]})
 
-    bins = rows.mapInPandas(binned, "bin int, label int").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("y")).collect()  # 1,001 rows at most
-    return Model(scores, rate, *_logistic(np.array([r["bin"] / 100 for r in bins]), np.array([float(r["n"]) for r in bins]), np.array([float(r["y"]) for r in bins])))
+    bins = rows.mapInPandas(binned, "bin int, label int, weight double").groupBy("bin").agg(F.sum("weight").alias("n"), F.sum(F.col("weight") * F.col("label")).alias("y"), F.count(F.lit(1)).alias("rows")).collect()  # 100 times the logarithm of the evidence: a few thousand at most
+    each = sum(r["rows"] for r in bins) / sum(r["n"] for r in bins)  # weights that sum to the rows of the sample
+    return Model(scores, rate, *_logistic(np.array([r["bin"] / 100 for r in bins]), np.array([r["n"] * each for r in bins]), np.array([r["y"] * each for r in bins])))
 
 
 def _logistic(x: np.ndarray, n: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -214,11 +221,18 @@ def score_toxicity(docs: DataFrame, model: Model | None, threshold: float = THRE
         found = [model.passages(words(t)) if model else [] for t in texts]
         return pd.DataFrame({"score": [model.probability(sum(z for *_, z in p)) if model else 0.0 for p in found], "passages": [[{"first": i, "after": j, "score": z} for i, j, z in p] for p in found]})
 
-    out = docs.withColumn("__scored", scored("text"))
+    out = small_batches(docs).withColumn("__scored", scored("text"))
     return out.withColumns({"score": F.col("__scored.score"), "passages": F.col("__scored.passages")}).drop("__scored").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most_rows: int = MOST_TRAINING_ROWS) -> DataFrame:
+    """(doc_id, text, label) of a bounded sample of labels. The sample is drawn from the labels, so its size is known
+    before any text is read and it is broadcast: no text moves."""
+    picked = bounded_sample(learned_labels(labels, label, learn).withColumn("label", F.col("label").cast("int")).filter("label IN (0, 1)"), "doc_id", "label", most_rows)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "label", "weight")
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(labelled_documents(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 3) != 1))
+    model = fit_sample(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", fold("doc_id", 3) != 1))
     return score_toxicity(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
