@@ -5,14 +5,15 @@ the median of a random projection; vectors nearer to it than `spill` go to both
 leaf are compared by cosine in double precision, and what all trees find together is linked; a pair that
 meets in several leaves counts in the first leaf (by number) that its two vectors share.
 
-Splits are fitted level by level from the vectors themselves, by a job per level for all trees and nodes
-together. A node that a split can't part (most of it would go to both sides) stays whole: its vectors are
+Each vector is projected once, on the directions of all trees and levels. Splits are fitted level by level from
+these numbers, by a job per level for all trees and nodes together. A node that a split can't part (most of it would go to both sides) stays whole: its vectors are
 nearly the same in every direction, and it is compared in blocks, every pair of blocks being a task of
 bounded size. A leaf's rows therefore never have to fit in one task, and none is dropped.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -24,6 +25,8 @@ from .common import materialize, table
 from .components import components
 
 COSINE, TREES, LEAF, SPILL, STUCK = 0.95, 8, 512, 0.025, 0.9
+#: Vectors of a leaf that no split can part are compared in blocks of BLOCK, STRIPE rows at a time.
+BLOCK, STRIPE = 8192, 256
 
 
 def _direction(tree: int, level: int, d: int) -> np.ndarray:
@@ -31,44 +34,73 @@ def _direction(tree: int, level: int, d: int) -> np.ndarray:
     return r / np.linalg.norm(r)
 
 
-def _projector(level: int):
-    @F.pandas_udf("double")
-    def project(trees: pd.Series, vectors: pd.Series) -> pd.Series:
+def _projector(trees: int, levels: int, d: int):
+    """Column function vector -> its projections, for each tree those of all levels."""
+    directions = np.stack([_direction(t, k, d) for t in range(trees) for k in range(levels)], axis=1)
+
+    @F.pandas_udf("array<double>")
+    def project(vectors: pd.Series) -> pd.Series:
         if not len(vectors):
-            return pd.Series([], dtype=float)
+            return pd.Series([], dtype=object)
         x = np.stack(vectors.to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        out = np.zeros(len(x))
-        t = trees.to_numpy()
-        for tree in np.unique(t):
-            out[t == tree] = x[t == tree] @ _direction(int(tree), level, x.shape[1])
-        return pd.Series(out)
+        return pd.Series(list((x / np.linalg.norm(x, axis=1, keepdims=True)) @ directions), dtype=object)
 
     return project
 
 
-def plant(classes: DataFrame, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
-    """(tree, node, rep, v) for every leaf that a vector is in; classes: (rep, v), vectors that have a direction."""
-    at = classes.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("node"), "rep", "v")
-    done, level, n = [], 0, classes.count()
-    while n > leaf and level < 48:
-        shot = materialize(at.withColumn("p", _projector(level)("tree", "v")), "rp-level")
+def plant(classes: DataFrame, d: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
+    """(tree, node, rep) for every leaf that a vector is in; classes: (rep, v), vectors of length d that have a direction.
+
+    A vector is projected once, on the directions of all levels; what the levels pass on are these numbers and never
+    the vector. A node that is still large after the last level is a leaf like any other.
+    """
+    n = classes.count()
+    levels = min(48, max(1, math.ceil(1.5 * math.log2(max(2.0, n / leaf))) + 4))
+    shot = materialize(classes.select("rep", _projector(trees, levels, d)("v").alias("ps")), "rp-projections")
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
+    at = shot.select("rep", "ps", tree.alias("tree")).select("tree", F.lit(1).cast("long").alias("node"), "rep", F.slice("ps", F.col("tree") * levels + 1, levels).alias("ps"))
+    done, level = [], 0
+    while n > leaf and level < levels:
+        shot = materialize(at, "rp-level").withColumn("p", F.col("ps")[level])
         cuts = shot.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("p", 0.5, 1000).alias("cut")).filter(F.col("n") > leaf)
         sides = shot.join(cuts, ["tree", "node"]).groupBy("tree", "node", "n", "cut").agg(F.sum((F.col("p") <= F.col("cut") + spill).cast("long")).alias("left"), F.sum((F.col("p") > F.col("cut") - spill).cast("long")).alias("right"))
         splits = materialize(sides.filter(F.greatest("left", "right") < STUCK * F.col("n")).select("tree", "node", "cut", "left", "right"), "rp-splits")
-        done.append(shot.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "rep", "v"))
+        done.append(shot.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "rep"))
         side = F.when(F.col("p") > F.col("cut") + spill, F.array(F.lit(1))).when(F.col("p") <= F.col("cut") - spill, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-        at = shot.join(splits, ["tree", "node"]).select("tree", "node", "rep", "v", F.explode(side).alias("side")).select("tree", (2 * F.col("node") + F.col("side")).alias("node"), "rep", "v")
+        at = shot.join(splits, ["tree", "node"]).select("tree", "node", "rep", "ps", F.explode(side).alias("side")).select("tree", (2 * F.col("node") + F.col("side")).alias("node"), "rep", "ps")
         n = splits.agg(F.max(F.greatest("left", "right")).alias("n")).first()["n"] or 0
         level += 1
-    return reduce(DataFrame.unionByName, [*done, at])
+    return reduce(DataFrame.unionByName, [*done, at.select("tree", "node", "rep")])
+
+
+class _Classes:
+    """Disjoint sets of places, each named by its smallest."""
+
+    def __init__(self, n: int):
+        self.name = np.arange(n)
+
+    def find(self, at: np.ndarray) -> np.ndarray:
+        while (self.name[at] != at).any():
+            at = self.name[at]
+        return at
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Unite each a with its b; the pairs may be millions, the sets that they join are few."""
+        while True:
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            if not apart.any():
+                return
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.name, np.maximum(a, b), np.minimum(a, b))
 
 
 def _compare(cosine: float):
     """Links of a leaf, or of two of its blocks: how many each vector has that no earlier leaf shows, and an
-    edge from each vector to the smallest one that it reaches here."""
+    edge from each vector to the smallest one that it reaches here. Pairs are held for one stripe of rows at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("rep", ignore_index=True)  # so that the smallest place is the smallest vector
         x = np.stack(pdf["v"].to_numpy()).astype(float)
         x /= np.linalg.norm(x, axis=1, keepdims=True)
         rep, weight, part, one = pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), pdf["part"].to_numpy(), pdf["i"].iloc[0] == pdf["j"].iloc[0]
@@ -78,44 +110,36 @@ def _compare(cosine: float):
         shared = np.full((len(x), width), -1, dtype=np.int64)
         for k, c in enumerate(codes):
             shared[k, : len(c)] = c
-        links = np.zeros(len(x), np.int64)
-        a_all, b_all = [], []
-        for at in range(0, len(x), 512):
-            i, j = np.nonzero(x[at : at + 512] @ x.T >= cosine)
-            i += at
+        links, classes = np.zeros(len(x), np.int64), _Classes(len(x))
+        for at in range(0, len(x), STRIPE):
+            i, j = np.nonzero(x[at : at + STRIPE] @ x[at:].T >= cosine)
+            i, j = i + at, j + at
             keep = (i < j) & (rep[i] != rep[j]) & (one | (part[i] != part[j]))
-            a_all.append(i[keep])
-            b_all.append(j[keep])
-        a, b = np.concatenate(a_all), np.concatenate(b_all)
-        for at in range(0, len(a), 200_000):
-            i, j = a[at : at + 200_000], b[at : at + 200_000]
-            new = np.ones(len(i), dtype=bool)
-            for k in range(width):
-                c = shared[i, k]
-                early = np.nonzero((c >= 0) & (c < leaf) & new)[0]
-                if len(early):
-                    new[early] &= ~(shared[j[early]] == c[early, None]).any(axis=1)
-            np.add.at(links, i[new], weight[j[new]])
-            np.add.at(links, j[new], weight[i[new]])
-        low = rep.copy()
-        while len(a):
-            before = low.copy()
-            np.minimum.at(low, a, before[b])
-            np.minimum.at(low, b, before[a])
-            if (low == before).all():
-                break
+            i, j = i[keep], j[keep]
+            classes.join(i, j)
+            for start in range(0, len(i), 200_000):
+                a, b = i[start : start + 200_000], j[start : start + 200_000]
+                new = np.ones(len(a), dtype=bool)
+                for k in range(width):
+                    c = shared[a, k]
+                    early = np.nonzero((c >= 0) & (c < leaf) & new)[0]
+                    if len(early):
+                        new[early] &= ~(shared[b[early]] == c[early, None]).any(axis=1)
+                np.add.at(links, a[new], weight[b[new]])
+                np.add.at(links, b[new], weight[a[new]])
+        low = rep[classes.find(np.arange(len(x)))]
         touched = (links > 0) | (low != rep)
         return pd.DataFrame({"rep": rep[touched], "links": links[touched], "low": low[touched]})
 
     return run
 
 
-def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
+def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding", cosine: float = COSINE, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of vectors.
 
     Null, empty and zero vectors and those with null or non-finite components link with nothing. Rows with
     equal vectors link with each other and have the same other links. Rows that repeat a vec_id count as
-    vectors of their own. Other columns aren't read. Vectors of different lengths link only among
+    vectors of their own, and link each by its own vector. Other columns aren't read. Vectors of different lengths link only among
     their own length. An empty table gives no rows.
     """
     own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
@@ -124,23 +148,26 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     top = F.expr("pow(2D, floor(log2(array_max(transform(v, x -> abs(x))))))")
     own = own.withColumn("ok", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
     usable = own.filter("ok").withColumn("m", top).select("vec_id", F.expr("transform(v, x -> x / m)").alias("v"))
-    classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("weight")), "rp-classes")
+    # a class is numbered when it is written; its number is unique even where vec_ids repeat
+    classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "rp-classes")
     planted = None
     for (d,) in classes.select(F.size("v").alias("d")).distinct().collect():
-        same = plant(classes.filter(F.size("v") == d).select("rep", "v"), trees, leaf, spill).withColumn("leaf", F.expr(f"abs(xxhash64({d}, tree, node))"))
+        same = plant(classes.filter(F.size("v") == d).select("rep", "v"), d, trees, leaf, spill).withColumn("leaf", F.expr(f"abs(xxhash64({d}, tree, node))"))
         planted = same if planted is None else planted.unionByName(same)
     rest = own.select("vec_id").withColumn("n_links", F.lit(0).cast("long"))
     if planted is None:
         return rest.select("vec_id", "n_links", F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     planted = materialize(planted.select("leaf", "rep").distinct(), "rp-leaves")
-    sizes = planted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", F.expr(f"ceil(n / {2.0 * leaf})").cast("int").alias("blocks"))
+    sizes = planted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", F.expr(f"ceil(n / {float(max(2 * leaf, block))})").cast("int").alias("blocks"))
     of = planted.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     rows = planted.join(sizes, "leaf").join(of, "rep").join(classes.select("rep", "v", "weight"), "rep")
     rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).select("leaf", "rep", "v", "weight", "leaves", "part", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(part, k) AS i, greatest(part, k) AS j))")).alias("x")).select("leaf", "rep", "v", "weight", "leaves", "part", "x.i", "x.j")
     found = materialize(rows.groupBy("leaf", "i", "j").applyInPandas(_compare(cosine), "rep long, links long, low long"), "rp-found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
-    named = classes.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), F.coalesce("component", "rep").alias("component_id"))
+    whole = classes.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = whole.join(least, "component").select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component_id")
     linked = usable.join(named, "v").select("vec_id", F.col("n").alias("n_links"), "component_id")
     alone = own.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))

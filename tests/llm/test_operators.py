@@ -209,6 +209,26 @@ def test_embedding(spark):
     links = (x @ x.T >= 0.95).sum(axis=1) - 1
     assert got.n_links[: len(v)].sum() >= 0.9 * links.sum() and (got.loc[range(len(v))].n_links.to_numpy() <= links).all()
     assert (got.loc[[2000, 2001, 2002, 2003, 2004]].n_links == 0).all() and len(got) == len(rows)
+    up = list(range(len(v)))
+    find = lambda k: k if up[k] == k else find(up[k])
+    for a, b in zip(*np.nonzero(np.triu(x @ x.T >= 0.95, 1))):
+        a, b = find(a), find(b)
+        up[max(a, b)] = min(a, b)
+    assert np.mean([got.component_id[k] == find(k) for k in range(len(v))]) > 0.99 and (got.kept == (got.index == got.component_id)).all()
+
+
+def test_embedding_blocks_repeats_and_none(spark):
+    """A crowd that no split parts, in blocks of 64: every link counts once. An id of two vectors joins nothing."""
+    r = np.random.default_rng(3)
+    crowd = np.ones(16) + 0.05 * r.normal(size=(300, 16))
+    rows = [(i, x.tolist(), "a") for i, x in enumerate(crowd)] + [(900, [1.0, *[0.0] * 15], "b"), (900, [*[0.0] * 15, 1.0], "c"), (901, [1.0, 0.001, *[0.0] * 14], "d"), (None, [1.0, *[0.0] * 15], "e")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links string")
+    got = embedding.near_duplicates(df, leaf=32, block=64).toPandas()
+    x = crowd / np.linalg.norm(crowd, axis=1, keepdims=True)
+    own = got[got.vec_id < 300].sort_values("vec_id")
+    assert own.n_links.tolist() == ((x @ x.T >= 0.95).sum(axis=1) - 1).tolist() and (own.component_id == 0).all()
+    assert sorted(got[got.vec_id == 900].n_links) == [0, 1] and (got[got.vec_id == 901].component_id == 900).all() and len(got) == len(rows)
+    assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
 def test_segments():
