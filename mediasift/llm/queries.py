@@ -9,6 +9,7 @@ from .licenses import op3_license_scan
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .packing import op10_best_fit_packing
 from .quality import op2_quality_classifier
+from .secrets import OP11_SQL, op11_secret_scan
 from .simhash import op7_simhash_near_dedup
 from .sstable import op8_token_shards
 from .substring import OP4_SQL, op4_substring_dedup
@@ -25,8 +26,9 @@ QUERIES = {
     "op8_token_shards": op8_token_shards,
     "op9_language_id": op9_language_id,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_secret_scan": op11_secret_scan,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 #: The others rest on trained models, XXH64, tokenizers or files; tests hold them against brute force, held-out labels and round trips.
-ORACLES = {"op4_substring_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op13_merkle_manifest": OP13_SQL}
+ORACLES = {"op4_substring_dedup": OP4_SQL, "op6_benchmark_decontamination": OP6_SQL, "op11_secret_scan": OP11_SQL, "op13_merkle_manifest": OP13_SQL}
