@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediasift.functions import signals as S
-from mediasift.functions.spectra import acceleration_of, pitch_of, print_of
+from mediasift.functions.spectra import acceleration_of, cosine_weights, decibels, forensics_of, log_mel_of, mel_weights, pitch_of, print_of, weighted, yin_of
 from mediasift.functions.text import without_overlaps
 from mediasift.operators.registry import query
 from mediasift.operators.timeline import islands, merge_intervals
@@ -580,3 +580,56 @@ def m11(spark: SparkSession, d: str) -> DataFrame:
 @query("m29_phase_acceleration")
 def m29(spark: SparkSession, d: str) -> DataFrame:
     return waves(spark, d).select("media_id", acceleration_of("wave").alias("score"))
+
+
+#: Vectors as power spectra of 64 bins of a sound of 16,000 samples a second, twelve bands, six coefficients.
+_BINS, _BANDS, _COEFFICIENTS = 64, 12, 6
+_EDGES = f"list_transform(range(0, {_BANDS + 2}), lambda j: least({_BINS - 1}, floor({2 * _BINS - 1} * 700 * (pow(10, 2595 * log10(1 + 8000 / 700.0) * j / {_BANDS + 1} / 2595) - 1) / 16000)))"
+
+
+@query(
+    "m9_mel_cepstrum",
+    f"WITH ed AS (SELECT {_EDGES} AS b), fb AS (SELECT m, k, CAST(CASE WHEN k >= b[m] AND k < b[m + 1] THEN (k - b[m]) / (b[m + 1] - b[m]) WHEN k >= b[m + 1] AND k < b[m + 2] THEN (b[m + 2] - k) / (b[m + 2] - b[m + 1]) ELSE 0 END AS FLOAT) AS w FROM ed, range(1, {_BANDS + 1}) u(m), range(0, {_BINS}) v(k)), "
+    "sp AS (SELECT vec_id, k, pow(CAST(embedding[k + 1] AS DOUBLE), 2) AS x FROM embeddings, range(0, 64) u(k)), ml AS (SELECT vec_id, m - 1 AS band, 10 * log10(greatest(sum(x * CAST(w AS DOUBLE)), 1e-10)) AS db FROM sp JOIN fb USING (k) GROUP BY vec_id, m) "
+    f"SELECT vec_id, c AS coefficient, round(sum(db * cos(pi() * c * (2 * band + 1) / {2 * _BANDS}) * CASE WHEN c = 0 THEN sqrt(1.0 / {_BANDS}) ELSE sqrt(2.0 / {_BANDS}) END), 6) AS value FROM ml, range(0, {_COEFFICIENTS}) u(c) GROUP BY vec_id, c",
+)
+def m9_cepstrum(spark: SparkSession, d: str) -> DataFrame:
+    """Bands and cosines as weighted sums of an array; nothing leaves the JVM."""
+    power = F.transform(F.col("embedding").cast("array<double>"), lambda x: x * x)
+    bands = table(spark, d, "embeddings").select("vec_id", decibels(weighted(power, mel_weights(16000, 2 * (_BINS - 1), _BANDS))).alias("db"))
+    return bands.select("vec_id", F.posexplode(weighted(F.col("db"), cosine_weights(_BANDS, _COEFFICIENTS))).alias("c", "v")).select("vec_id", F.col("c").cast("long").alias("coefficient"), F.round("v", 6).alias("value"))
+
+
+@query("m9_log_mel")
+def m9(spark: SparkSession, d: str) -> DataFrame:
+    """Log-mel levels of whole waves in 80 bands, and 20 coefficients from them; a test holds both against plain sums."""
+    frames_ = waves(spark, d).select("media_id", F.posexplode(log_mel_of(F.col("wave"))).alias("frame", "levels"))
+    return frames_.select("media_id", "frame", "levels", weighted(F.col("levels"), cosine_weights(80, 20)).alias("coefficients"))
+
+
+#: Spectra by plain sums: wave, padding, window and the tables of 1,024 angles as lists.
+SPECTRA_SQL = (
+    "wv AS (SELECT vec_id // 64 AS media_id, flatten(list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id)) AS x FROM embeddings GROUP BY vec_id // 64), "
+    "wp AS (SELECT media_id, list_concat(list_concat(list_transform(range(0, 512), lambda i: 0.0), x), list_transform(range(0, 512 + greatest(0, 1024 - len(x))), lambda i: 0.0)) AS x FROM wv), wq AS (SELECT media_id, list_concat(x, list_transform(range(0, (256 - len(x) % 256) % 256), lambda i: 0.0)) AS x FROM wp), "
+    "tb AS (SELECT list_transform(range(0, 1024), lambda i: cos(2 * pi() * i / 1024)) AS cs, list_transform(range(0, 1024), lambda i: sin(2 * pi() * i / 1024)) AS sn), "
+    "wf AS (SELECT media_id, f, list_transform(range(0, 1024), lambda i: x[f * 256 + i + 1] * (0.5 - 0.5 * cs[i + 1]) / 512) AS y FROM wq, tb, unnest(range(0, (len(x) - 1024) // 256 + 1)) u(f)), "
+    "sc AS (SELECT media_id, f, k, list_sum(list_transform(range(0, 1024), lambda i: y[i + 1] * cs[(k * i) % 1024 + 1])) AS re, -list_sum(list_transform(range(0, 1024), lambda i: y[i + 1] * sn[(k * i) % 1024 + 1])) AS im FROM wf, tb, range(0, 513) u(k)), "
+    "ss AS (SELECT *, sqrt(re * re + im * im) AS size, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY media_id, k ORDER BY f) - 2 * pi() * k / 4 AS turn FROM sc)"
+)
+
+
+@query(
+    "m12_phase_deviation",
+    f"WITH {SPECTRA_SQL}, ps AS (SELECT media_id, least(1.0, coalesce(sum(abs(atan2(sin(turn), cos(turn))) * size) FILTER (WHERE f > 0), 0) / (pi() * (coalesce(sum(size) FILTER (WHERE f > 0), 0) + 1e-10))) AS phase, sum(CASE WHEN k * 15.625 >= 7000 THEN size ELSE 0 END) / greatest(sum(CASE WHEN k * 15.625 BETWEEN 1000 AND 4000 THEN size ELSE 0 END), 1e-9) AS high FROM ss GROUP BY media_id) "
+    "SELECT media_id, round(phase, 6) AS phase, round(high, 6) AS high_share, round(least(1.0, 0.6 * phase + 0.4 * CASE WHEN high < 0.005 THEN 0.4 WHEN high > 0.8 THEN 0.5 ELSE 0.1 END), 6) AS anomaly FROM ps",
+)
+def m12_phase(spark: SparkSession, d: str) -> DataFrame:
+    """Phases of whole waves, in frames of 1,024 samples every 256."""
+    found = waves(spark, d).select("media_id", forensics_of("wave").alias("x"))
+    return found.select("media_id", *(F.round(F.col("x")[c], 6).alias(c) for c in ("phase", "high_share", "anomaly")))
+
+
+@query("m29_yin_pitch")
+def m29_yin(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and variance of the pitch by normalised differences; a test holds it against plain sums."""
+    return waves(spark, d).select("media_id", yin_of(F.col("wave"), 16000).alias("x")).select("media_id", F.col("x.mean").alias("pitch_mean"), F.col("x.variance").alias("pitch_variance"))
