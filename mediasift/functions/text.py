@@ -1,11 +1,13 @@
 """Column functions on claim text: normal form, sentences, entities, classes, triples and clauses.
 
-All are built-in expressions but `nfkc`, for which Spark has none. Arrays are folded from their own elements and
-never indexed from a lambda: an expression that a lambda names would be computed anew for each element.
+What walks through a text (normal form, sentence ends, spans of patterns) are small helpers over Arrow batches, linear
+in the text; Spark has no normal form, and its regular expressions give no places. Everything about a sentence is a
+built-in expression.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -15,26 +17,44 @@ from pyspark.sql import types as T
 
 # Fixed values.
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
-ABBREVIATIONS = (
-    "mr. mrs. ms. dr. prof. sr. jr. rep. sen. gen. col. gov. pres. st. ave. blvd. dept. u.s. u.k. e.u. u.n. f.b.i. c.i.a. i.e. e.g. "
-    "inc. corp. ltd. co. vs. etc. approx. est."
-).split()
+# Words with a full stop that end no sentence.
+ABBREVIATIONS = [
+    "mr.", "mrs.", "ms.", "dr.", "prof.", "sr.", "jr.", "rep.", "sen.", "gen.", "col.", "gov.", "pres.", "st.", "ave.", "blvd.", "dept.", "u.s.",
+    "u.k.", "e.u.", "u.n.", "f.b.i.", "c.i.a.", "i.e.", "e.g.", "inc.", "corp.", "ltd.", "co.", "vs.", "etc.", "approx.", "est.",
+]
+# Words of opinions.
 OPINIONS = [
     "i think", "i believe", "in my opinion", "in our view", "we believe", "i feel", "it seems to me", "personally", "my view is", "my impression is",
     "best", "worst", "terrible", "wonderful", "gorgeous", "horrible", "ugly", "fantastic", "brilliant", "disgusting", "greatest", "sublime", "disgraceful",
     "strongly believe", "undoubtedly better", "clearly superior",
 ]
-QUESTION_STARTERS = "what why how who whom whose when where is are was were can could would will shall should do does did have has had".split()
+# First words of questions.
+QUESTION_STARTERS = [
+    "what", "why", "how", "who", "whom", "whose", "when", "where", "is", "are", "was", "were", "can", "could", "would", "will", "shall", "should",
+    "do", "does", "did", "have", "has", "had",
+]
+# How questions without a mark begin.
 QUESTION_PREFIXES = ["is it", "are there", "can you", "what if", "why would", "who is", "why did", "how can"]
-IMPERATIVES = "click subscribe look see watch remember don't do listen check follow share read join buy".split()
-VERBS = (
-    "announced increased decreased reported confirmed signed voted passed discovered caused won lost visited stated allocated approved banned declined "
-    "launched acquired employs cut raised built invested became elected established reached generated produced unveiled released sold purchased appointed "
-    "resigned struck agreed authorized found filed tested published"
-).split()
-AUXILIARIES = "is was are were has have had will spoke cut raised employs".split()
+# First words of calls to act.
+IMPERATIVES = [
+    "click", "subscribe", "look", "see", "watch", "remember", "don't", "do", "listen", "check", "follow", "share", "read", "join", "buy",
+]
+# Verbs of statements.
+VERBS = [
+    "announced", "increased", "decreased", "reported", "confirmed", "signed", "voted", "passed", "discovered", "caused", "won", "lost", "visited",
+    "stated", "allocated", "approved", "banned", "declined", "launched", "acquired", "employs", "cut", "raised", "built", "invested", "became",
+    "elected", "established", "reached", "generated", "produced", "unveiled", "released", "sold", "purchased", "appointed", "resigned", "struck",
+    "agreed", "authorized", "found", "filed", "tested", "published",
+]
+# Verbs that part a subject from its value as well.
+AUXILIARIES = [
+    "is", "was", "are", "were", "has", "have", "had", "will", "spoke", "cut", "raised", "employs",
+]
+# Labels of recognisers and what they are called here.
 LABELS = {"PERSON": "PERSON", "ORG": "ORG", "GPE": "LOCATION", "LOCATION": "LOCATION", "LOC": "LOCATION", "DATE": "DATE", "TIME": "DATE", "MONEY": "MONEY", "PERCENT": "QUANTITY", "QUANTITY": "QUANTITY", "EVENT": "EVENT", "GENERAL": "GENERAL"}
+# Names of months.
 MONTHS = "January|February|March|April|May|June|July|August|September|October|November|December|Jan|Feb|Mar|Apr|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
+# Fixed values.
 #: Patterns of entities with their labels, in the order that decides between equal spans.
 ENTITIES = [
     ("MONEY", r"(?i)(?:(?:\$|€|£|¥)\s*\d+(?:[.,]\d+)*(?:\s*(?:billion|million|trillion|thousand|k))?|\b\d+(?:[.,]\d+)*\s*(?:billion|million|trillion)?\s*(?:dollars?|euros?|pounds?|usd|eur|gbp)\b)"),
@@ -52,9 +72,6 @@ CONJUNCTION = r"and|while|as well as"
 MOST_SENTENCES, MOST_CHARS = 500, 100_000
 MARKS, ENDS = ".,!?;:\"'", ".,;: "
 
-_SHORT = "|".join(a.replace(".", r"\.") for a in ABBREVIATIONS)
-#: The space after a sentence: its last word isn't an abbreviation, an acronym or an initial, no small letter follows, and it isn't between "3." and a digit.
-BOUNDARY = rf"(?<=[.!?])(?<!(?:^| )[,;:]{{0,20}}(?i:{_SHORT}|[a-z](?:\.[a-z]){{1,60}}\.?|[a-z]\.)) (?!\p{{IsLowercase}})(?!(?<=\p{{Nd}}\. )\p{{Nd}})"
 SPLIT = rf"(?is)^(.*?)\s+\b(?:{CONJUNCTION})\s+((?=[a-z]+ed\b|[a-z]+s\b|employs\b|announced\b|plans\b|operates\b).*)$"
 
 
@@ -82,30 +99,68 @@ def claim_hash(claim: Column, subject: Column, action: Column, value: Column) ->
     return F.sha2(F.concat_ws("|", *(F.lower(normalized(x)) for x in (claim, subject, action, value))), 256)
 
 
+_MARKED, _SHORT = re.compile(r"[.!?](?= )"), re.compile(r"[a-z](?:\.[a-z])+\.?|[a-z]\.")
+_SENTENCE = T.StructType([T.StructField("sentence", T.StringType()), T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType())])
+_ENTITY = T.StructType([*(T.StructField(n, T.StringType()) for n in ("text", "label", "normalized_label")), *(T.StructField(n, T.IntegerType()) for n in ("start_char", "end_char"))])
+_ABBREVIATIONS = frozenset(ABBREVIATIONS)
+
+
+def sentence_bounds(text: str) -> list[tuple[int, int]]:
+    """Where the sentences of a normalised text begin and end: at a mark before a space, unless the word is an
+    abbreviation, an acronym or an initial, a small letter follows, or it stands between "3." and a digit."""
+    out, start = [], 0
+    for m in _MARKED.finditer(text):
+        end = m.end()
+        word, following = text[text.rfind(" ", 0, end) + 1 : end], text[end + 1 : end + 2]
+        token = word.lower().strip(",;:")
+        number = word[-1] == "." and word[-2:-1].isdigit() and following.isdigit()
+        if not (number or following.islower() or token in _ABBREVIATIONS or _SHORT.fullmatch(token)):
+            out.append((start, end))
+            start = end + 1
+    return [*out, (start, len(text))] if start < len(text) else out
+
+
+def entity_spans(text: str, families: list[tuple[str, re.Pattern]]) -> list[tuple[int, int, str]]:
+    """(start, end, label) of the matches of all families: of overlapping ones the earliest, then the longest, then the
+    first family."""
+    found = sorted((m.start(), -m.end(), k) for k, (_, pattern) in enumerate(families) for m in pattern.finditer(text))
+    out, until = [], -1
+    for start, end, k in found:
+        if start >= until:
+            until = -end
+            out.append((start, until, families[k][0]))
+    return out
+
+
+def plain_form(text: str | None) -> str:
+    """What `normalized` gives."""
+    return " ".join(unicodedata.normalize("NFKC", re.sub(CONTROL, "", text or "")).split())
+
+
+def normal_hash(claim: Column, subject: Column, action: Column, value: Column) -> Column:
+    """claim_hash of parts that are normalised already."""
+    return F.sha2(F.concat_ws("|", *(F.lower(collapsed(F.coalesce(x, F.lit("")))) for x in (claim, subject, action, value))), 256)
+
+
 def sentences(text: Column) -> Column:
     """[(sentence, start_char, end_char)] of a normalised text; none of an empty one."""
-    parts = F.filter(F.split(F.regexp_replace(text, BOUNDARY, "\n"), "\n"), lambda p: p != "")
-    none = F.expr("named_struct('found', CAST(array() AS array<struct<sentence: string, start_char: int, end_char: int>>), 'at', 0)")
 
-    def add(so_far: Column, p: Column) -> Column:
-        own = F.struct(p.alias("sentence"), so_far["at"].alias("start_char"), (so_far["at"] + F.length(p)).alias("end_char"))
-        return F.struct(F.array_append(so_far["found"], own).alias("found"), (so_far["at"] + F.length(p) + 1).alias("at"))
+    @F.pandas_udf(T.ArrayType(_SENTENCE))
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"sentence": t[a:b], "start_char": a, "end_char": b} for a, b in sentence_bounds(t)], na_action="ignore")
 
-    return F.aggregate(parts, none, add, lambda x: x["found"])
+    return cut(text)
 
 
 def spans(text: Column, pattern: str) -> Column:
-    """[(start_char, end_char, text)] of the matches of a pattern, from the lengths of what is between them."""
-    between, held = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    none = F.expr("named_struct('found', CAST(array() AS array<struct<start_char: int, end_char: int, text: string>>), 'at', 0)")
+    """[(start_char, end_char, text)] of the matches of a pattern of Python's."""
 
-    def add(so_far: Column, x: Column) -> Column:
-        start = so_far["at"] + F.length(x["between"])
-        end = start + F.length(x["held"])
-        return F.struct(F.array_append(so_far["found"], F.struct(start.alias("start_char"), end.alias("end_char"), x["held"].alias("text"))).alias("found"), end.alias("at"))
+    @F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start_char", T.IntegerType()), T.StructField("end_char", T.IntegerType()), T.StructField("text", T.StringType())])))
+    def find(texts: pd.Series) -> pd.Series:
+        own = re.compile(pattern)
+        return texts.map(lambda t: [{"start_char": m.start(), "end_char": m.end(), "text": m[0]} for m in own.finditer(t)], na_action="ignore")
 
-    pairs = F.filter(F.zip_with(between, held, lambda b, h: F.struct(b.alias("between"), h.alias("held"))), lambda x: x["held"].isNotNull())
-    return F.aggregate(pairs, none, add, lambda x: x["found"])
+    return find(text)
 
 
 def without_overlaps(ordered: Column) -> Column:
@@ -118,14 +173,44 @@ def without_overlaps(ordered: Column) -> Column:
     return F.aggregate(ordered, F.expr(f"named_struct('kept', CAST(array() AS {kind}), 'until', -1)"), choose, lambda x: x["kept"])
 
 
+def _entity(text: str, start: int, end: int, label: str) -> dict:
+    return {"text": text[start:end], "label": label, "normalized_label": LABELS.get(label.upper(), "GENERAL"), "start_char": start, "end_char": end}
+
+
 def entities(text: Column, families: list[tuple[str, str]] = ENTITIES) -> Column:
     """[(text, label, normalized_label, start_char, end_char)] of a normalised text: of overlapping matches the
     earliest, then the longest, then the first family."""
-    def labelled(family: int, label: str):
-        return lambda s: F.struct(s["start_char"].alias("start_char"), (s["start_char"] - s["end_char"]).alias("longest"), F.lit(family).alias("family"), s["end_char"].alias("end_char"), s["text"].alias("text"), F.lit(label).alias("label"))
 
-    found = [F.transform(spans(text, f"(?U){pattern}"), labelled(i, label)) for i, (label, pattern) in enumerate(families)]
-    return F.transform(without_overlaps(F.array_sort(F.concat(*found))), lambda x: F.struct(x["text"].alias("text"), x["label"].alias("label"), normal_label(x["label"]).alias("normalized_label"), x["start_char"].alias("start_char"), x["end_char"].alias("end_char")))
+    @F.pandas_udf(T.ArrayType(_ENTITY))
+    def find(texts: pd.Series) -> pd.Series:
+        own = [(label, re.compile(pattern)) for label, pattern in families]
+        return texts.map(lambda t: [_entity(t, *x) for x in entity_spans(t, own)], na_action="ignore")
+
+    return find(text)
+
+
+def read_text(text: Column, most: int | None = None, families: list[tuple[str, str]] = ENTITIES) -> Column:
+    """[(sentence, start_char, end_char, inside)] of a raw text in normal form, with the entities inside each sentence; the
+    first `most` sentences (all if None), and in `truncated` whether there were more. One pass over a text."""
+
+    @F.pandas_udf(T.StructType([T.StructField("truncated", T.BooleanType()), T.StructField("found", T.ArrayType(T.StructType([*_SENTENCE.fields, T.StructField("inside", T.ArrayType(_ENTITY))])))]))
+    def read(texts: pd.Series) -> pd.DataFrame:
+        own, rows = [(label, re.compile(pattern)) for label, pattern in families], []
+        for raw in texts:
+            t = plain_form(raw)
+            bounds, names = sentence_bounds(t), entity_spans(t, own)
+            found, k = [], 0
+            for a, b in bounds[:most]:
+                while k < len(names) and names[k][0] < a:
+                    k += 1
+                first = k
+                while k < len(names) and names[k][0] < b:
+                    k += 1
+                found.append({"sentence": t[a:b], "start_char": a, "end_char": b, "inside": [_entity(t, *x) for x in names[first:k] if x[1] <= b]})
+            rows.append((most is not None and len(bounds) > most, found))
+        return pd.DataFrame(rows, columns=["truncated", "found"])
+
+    return read(text)
 
 
 def normal_label(label: Column) -> Column:
@@ -153,8 +238,8 @@ def has_word(text: Column, words: list[str]) -> Column:
 
 def classified(sentence: Column, has_entities: Column, least: float = 0.5) -> Column:
     """(claim_type, confidence) of a normalised sentence."""
-    low, count = F.lower(sentence), F.size(F.filter(F.split(sentence, " "), lambda w: w != ""))
-    first = F.rtrim(F.element_at(F.split(low, " "), 1), F.lit(",.!?"))
+    low, count = F.lower(sentence), F.length(sentence) - F.length(F.replace(sentence, F.lit(" "), F.lit(""))) + F.when(sentence != "", 1).otherwise(0)
+    first = F.rtrim(F.substring_index(low, " ", 1), F.lit(",.!?"))
     asks = first.isin(*QUESTION_STARTERS) & (count > 2) & low.rlike("^(" + "|".join(QUESTION_PREFIXES) + ")")
     sure = 0.70 + F.when(has_entities, 0.12).otherwise(0.0) + F.when(sentence.rlike(r"(?U)\b\d+(?:[.,]\d+)?\b"), 0.08).otherwise(0.0) + F.when(has_word(low, VERBS), 0.10).otherwise(0.0)
     kinds = [
@@ -167,11 +252,17 @@ def classified(sentence: Column, has_entities: Column, least: float = 0.5) -> Co
     return out
 
 
-def triple(clause: Column) -> Column:
-    """(subject, action, value): what is before the first verb, the verb, what is after it; without a verb the first
-    word, the second and the rest."""
+def words_of(clause: Column) -> Column:
+    """(words, verb): the words of a clause and the place of the first verb among them, 0 if there is none."""
     words = F.filter(F.split(clause, " "), lambda w: w != "")
-    verb = F.array_position(F.transform(words, lambda w: F.btrim(F.lower(w), F.lit(MARKS)).isin(*VERBS, *AUXILIARIES)), True).cast("int")
+    verb = F.array_position(F.transform(F.split(F.lower(clause), " +"), lambda w: F.btrim(w, F.lit(MARKS)).isin(*VERBS, *AUXILIARIES)), True)
+    return F.struct(words.alias("words"), (verb - F.when(F.startswith(clause, F.lit(" ")), 1).otherwise(0)).cast("int").alias("verb"))
+
+
+def triple(parts: Column) -> Column:
+    """(subject, action, value) of words_of a clause: what is before the first verb, the verb, what is after it; without
+    a verb the first word, the second and the rest. `parts` should be a column that is there, not an expression."""
+    words, verb = parts["words"], parts["verb"]
     n, joined = F.size(words), lambda at, size: F.array_join(F.slice(words, at, F.greatest(size, F.lit(0))), " ")
     bare, last = lambda x: F.btrim(x, F.lit(MARKS)), lambda x: F.when(x != "", F.btrim(x, F.lit(ENDS)))
     split = verb > 1

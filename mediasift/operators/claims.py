@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 from mediasift.functions import text as X
 from mediasift.operators.registry import query
-from mediasift.sources.views import STATEMENTS_SQL, statements, table
+from mediasift.sources.views import SEGMENTS_SQL, STATEMENTS_SQL, segments, spread, statements, table
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
-    return statements(spark, d).select("media_id", X.normalized(F.concat_ws(" ", "a", "b", "c")).alias("text"))
+    return spread(statements(spark, d)).select("media_id", X.normalized(F.concat_ws(" ", "a", "b", "c")).alias("text"))
+
+
+def staged(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are computed once, however often what follows names them: the optimiser puts an expression in
+    place of its name wherever it is used, but not through explode."""
+    own = df.select("*", F.explode(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))).alias("__s"))
+    return own.select(*df.columns, *(F.col(f"__s.{n}").alias(n) for n in columns))
 
 
 def admitted(df: DataFrame, most_chars: int = X.MOST_CHARS) -> DataFrame:
@@ -31,28 +38,31 @@ def split_sentences(df: DataFrame, most: int | None = None) -> DataFrame:
     return rows.select(*df.columns, "truncated", "sentence_index", "__x.*")
 
 
-def claims(df: DataFrame) -> DataFrame:
+def claims(df: DataFrame, most_sentences: int | None = None) -> DataFrame:
     """df(media_id, text) as claims, one row each: a factual sentence that joins two predicates gives two.
 
     sentence_index, part (0 or 1), claim_text, claim_type, confidence, subject, action, value, entity_type, claim_hash,
-    start_char, end_char, entities. Texts are normalised; those without sentences give no rows.
+    start_char, end_char, entities, truncated. Texts are normalised; null ones and those without sentences give no rows.
+    With `most_sentences` only so many of a text are read (X.MOST_SENTENCES is the reference's bound), and `truncated`
+    says whether there were more. Rows that repeat a medium or a text give rows of their own.
     """
-    read = df.select("media_id", X.normalized(F.col("text")).alias("text"))
-    read = read.withColumn("all_entities", X.entities(F.col("text")))
-    each = split_sentences(read, X.MOST_SENTENCES).withColumn("inside", X.within(F.col("all_entities"), F.col("start_char"), F.col("end_char")))
-    each = each.withColumn("class", X.classified(F.col("sentence"), F.size("inside") > 0)).select("media_id", "sentence_index", "sentence", "start_char", "end_char", "inside", "class.*")
+    read = df.select("media_id", X.read_text(F.col("text"), most_sentences).alias("r"))
+    each = read.select("media_id", "r.truncated", F.posexplode("r.found").alias("sentence_index", "s")).select("media_id", "truncated", "sentence_index", "s.*")
+    each = staged(each, c=X.classified(F.col("sentence"), F.size("inside") > 0)).select("media_id", "truncated", "sentence_index", "sentence", "start_char", "end_char", "inside", "c.*")
     parts = clauses(each).withColumn("entities", F.when(F.col("claim_type") == "FACTUAL_CLAIM", X.named_in(F.col("inside"), F.col("claim_text"))).otherwise(F.col("inside")))
-    hashed = X.claim_hash(F.col("claim_text"), F.col("subject"), F.col("action"), F.col("value"))
-    return parts.select("media_id", "sentence_index", "part", "claim_text", "claim_type", "confidence", "subject", "action", "value", X.dominant(F.col("entities")).alias("entity_type"), hashed.alias("claim_hash"), "start_char", "end_char", "entities")
+    hashed = X.normal_hash(F.col("claim_text"), F.col("subject"), F.col("action"), F.col("value"))
+    return parts.select("media_id", "sentence_index", "part", "claim_text", "claim_type", "confidence", "subject", "action", "value", X.dominant(F.col("entities")).alias("entity_type"), hashed.alias("claim_hash"), "start_char", "end_char", "entities", "truncated")
 
 
 def clauses(df: DataFrame) -> DataFrame:
     """df(sentence, claim_type, ..) with a row for each clause: part, claim_text, subject, action, value. The second
     clause shares the subject of the first if its own is its first word."""
     rest = [c for c in df.columns if c != "sentence"]
-    two = (F.col("claim_type") == "FACTUAL_CLAIM") & F.col("sentence").rlike(X.SPLIT)
-    cut = df.withColumn("__two", two).withColumn("__1", F.when(two, F.trim(F.regexp_extract("sentence", X.SPLIT, 1))).otherwise(F.col("sentence"))).withColumn("__2", F.when(two, F.trim(F.regexp_extract("sentence", X.SPLIT, 2))))
-    cut = cut.withColumn("__t1", X.triple(F.col("__1"))).withColumn("__t2", X.triple(F.col("__2")))
+    cut = staged(df, __two=(F.col("claim_type") == "FACTUAL_CLAIM") & F.col("sentence").rlike(X.SPLIT))
+    two = F.col("__two")
+    cut = staged(cut, __1=F.when(two, F.trim(F.regexp_extract("sentence", X.SPLIT, 1))).otherwise(F.col("sentence")), __2=F.when(two, F.trim(F.regexp_extract("sentence", X.SPLIT, 2))))
+    cut = staged(cut, __w1=X.words_of(F.col("__1")), __w2=F.when(two, X.words_of(F.col("__2"))))
+    cut = staged(cut, __t1=X.triple(F.col("__w1")), __t2=X.triple(F.col("__w2")))
     word = F.substring_index("__2", " ", 1)
     shared = (F.coalesce("__t1.subject", F.lit("")) != "") & ((F.coalesce("__t2.subject", F.lit("")) == "") | (F.col("__t2.subject") == word))
     after = F.when(F.contains(F.col("__2"), F.lit(" ")), F.col("__2").substr(F.length(word) + 2, F.length("__2")))
@@ -62,6 +72,17 @@ def clauses(df: DataFrame) -> DataFrame:
     return cut.select(*rest, F.explode(F.when(F.col("__two"), F.array(first, second)).otherwise(F.array(first))).alias("__c")).select(*rest, "__c.*")
 
 
+def triples(df: DataFrame) -> DataFrame:
+    """(media_id, sentence_index, subject, action, value) of df(media_id, sentence_index, sentence)."""
+    cut = staged(df.select("media_id", "sentence_index", "sentence"), w=X.words_of(F.col("sentence")))
+    return staged(cut, x=X.triple(F.col("w"))).select("media_id", "sentence_index", "x.*")
+
+
+def classes(df: DataFrame) -> DataFrame:
+    """df(.., sentence) with claim_type and confidence; a dollar sign stands for entities, as on the SQL side."""
+    return staged(df, __x=X.classified(F.col("sentence"), F.contains(F.col("sentence"), F.lit("$")))).select(*df.columns, "__x.*")
+
+
 def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     """The first row of each key by `order`, by a partial aggregate."""
     rest = [c for c in df.columns if c not in keys]
@@ -158,13 +179,12 @@ def x6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x7_sentence_classes", f"WITH {CLASSES_SQL} SELECT media_id, sentence_index, claim_type, CAST(confidence AS DOUBLE) AS confidence FROM cl")
 def x7(spark: SparkSession, d: str) -> DataFrame:
-    each = split_sentences(texts(spark, d))
-    return each.select("media_id", "sentence_index", X.classified(F.col("sentence"), F.contains(F.col("sentence"), F.lit("$"))).alias("x")).select("media_id", "sentence_index", "x.*")
+    return classes(split_sentences(texts(spark, d))).select("media_id", "sentence_index", "claim_type", "confidence")
 
 
 @query("x8_triples", f"WITH {SENTENCES_SQL}, {_triple_sql('tr', 'se', 'sentence')} SELECT media_id, sentence_index, subject, action, value FROM tr")
 def x8(spark: SparkSession, d: str) -> DataFrame:
-    return split_sentences(texts(spark, d)).select("media_id", "sentence_index", X.triple(F.col("sentence")).alias("x")).select("media_id", "sentence_index", "x.*")
+    return triples(split_sentences(texts(spark, d)))
 
 
 _RE2_SPLIT = f"(?is)^(.*?)\\s+(?:{X.CONJUNCTION})\\s+((?:[a-z]+ed|[a-z]+s|employs|announced|plans|operates)(?:[^\\pL\\pN_].*)?)$"
@@ -178,8 +198,7 @@ CLAUSES_SQL = (
 
 
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
-    each = split_sentences(texts(spark, d)).withColumn("x", X.classified(F.col("sentence"), F.contains(F.col("sentence"), F.lit("$"))))
-    return clauses(each.select("media_id", "sentence_index", "sentence", "x.claim_type"))
+    return clauses(classes(split_sentences(texts(spark, d))).select("media_id", "sentence_index", "sentence", "claim_type"))
 
 
 @query("x9_clauses", f"WITH {CLAUSES_SQL} SELECT media_id, sentence_index, claim_type, part, claim_text, subject, action, value FROM ca")
@@ -190,7 +209,7 @@ def x9(spark: SparkSession, d: str) -> DataFrame:
 @query("x10_claims")
 def x10(spark: SparkSession, d: str) -> DataFrame:
     """Claims with their entities and hash; what the SQL of x5, x7, x8 and x9 doesn't show, a test holds against Python."""
-    return claims(statements(spark, d).select("media_id", F.concat_ws(" ", "a", "b", "c").alias("text")))
+    return claims(spread(statements(spark, d)).select("media_id", F.concat_ws(" ", "a", "b", "c").alias("text")))
 
 
 LABELS_SQL = "CASE upper(l) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LABELS.items()) + " ELSE 'GENERAL' END"
@@ -226,8 +245,7 @@ def t4(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f6_claims_by_type", f"WITH {CLASSES_SQL} SELECT media_id, sentence_index, sentence FROM cl WHERE claim_type = 'OPINION' ORDER BY media_id, sentence_index")
 def f6(spark: SparkSession, d: str) -> DataFrame:
-    each = split_sentences(texts(spark, d)).withColumn("x", X.classified(F.col("sentence"), F.contains(F.col("sentence"), F.lit("$"))))
-    return each.filter("x.claim_type = 'OPINION'").select("media_id", "sentence_index", "sentence").orderBy("media_id", "sentence_index")
+    return classes(split_sentences(texts(spark, d))).filter("claim_type = 'OPINION'").select("media_id", "sentence_index", "sentence").orderBy("media_id", "sentence_index")
 
 
 _MET = "JOIN {p} ON {p}.media_id = se.media_id AND (contains(lower({p}.text), lower(se.sentence)) OR contains(lower(se.sentence), lower({p}.text)))"

@@ -10,6 +10,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it comes in fewer parts than there are cores: for work on texts that outweighs moving them."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue rows: one for each document, in the order of ids."""
     kind = F.element_at(F.array(*map(F.lit, ("IMAGE", "VIDEO", "AUDIO", "TEXT"))), (F.col("doc_id") % 4 + 1).cast("int"))
