@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions import text as X
 from mediasift.operators.registry import query
-from mediasift.sources.views import SEGMENTS_SQL, STATEMENTS_SQL, segments, spread, statements, table
+from mediasift.sources.views import STATEMENTS_SQL, spread, statements, table
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -114,25 +114,31 @@ def _list(words: list[str]) -> str:
 
 _SHORT = "lower(ltrim(w, ',;:'))"
 #: Sentences by tokens: a token ends one unless it is short for something, part of a number or followed by a small letter.
-SENTENCES_SQL = (
-    f"{STATEMENTS_SQL}, tk AS (SELECT media_id, i, toks[i] AS w, toks[i + 1] AS v, len(toks) AS n FROM (SELECT media_id, string_split(text, ' ') AS toks FROM tx), unnest(range(1, len(toks) + 1)) u(i)), "
+_SENTENCES_SQL = (
+    "tk AS (SELECT media_id, i, toks[i] AS w, toks[i + 1] AS v, len(toks) AS n FROM (SELECT media_id, string_split(text, ' ') AS toks FROM tx), unnest(range(1, len(toks) + 1)) u(i)), "
     f"sb AS (SELECT *, regexp_matches(w, '[.!?]$') AND (i = n OR NOT (regexp_matches(w, '\\d\\.$') AND regexp_matches(v, '^\\d')) AND NOT regexp_matches(v, '^\\p{{Ll}}') AND NOT ({_SHORT} IN ({_list(X.ABBREVIATIONS)}) OR regexp_matches({_SHORT}, '^([a-z](\\.[a-z])+\\.?|[a-z]\\.)$'))) AS stop FROM tk), "
     "sg AS (SELECT *, coalesce(sum(stop::INT) OVER p, 0) AS s, coalesce(sum(length(w) + 1) OVER p, 0) AS place FROM sb WINDOW p AS (PARTITION BY media_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), "
     "se AS (SELECT media_id, CAST(s AS INT) AS sentence_index, string_agg(w, ' ' ORDER BY i) AS sentence, CAST(min(place) AS INT) AS start_char, CAST(max(place + length(w)) AS INT) AS end_char FROM sg GROUP BY media_id, s)"
 )
+#: The same over documents, whose words are put together by single spaces.
+DOCUMENTS_SQL = "tx AS (SELECT media_id, text FROM (SELECT doc_id AS media_id, trim(regexp_replace(regexp_replace(text, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]', '', 'g'), '\\s+', ' ', 'g')) AS text FROM documents) WHERE text <> '')"
+SENTENCES_SQL, DOCUMENT_SENTENCES_SQL = f"{STATEMENTS_SQL}, {_SENTENCES_SQL}", f"{DOCUMENTS_SQL}, {_SENTENCES_SQL}"
 _EDGE, _EDGE_END = "(^|[^\\pL\\pN_])", "([^\\pL\\pN_]|$)"
 _WORDS = "len(string_split(sentence, ' '))"
 _FIRST = "rtrim(string_split(lower(sentence), ' ')[1], ',.!?')"
 #: Stands for entities on the SQL side.
 MONEY = "contains(sentence, '$')"
-CLASSES_SQL = (
-    f"{SENTENCES_SQL}, cl AS (SELECT *, CASE WHEN sentence LIKE '%?' THEN 'QUESTION' WHEN {_FIRST} IN ({_list(X.QUESTION_STARTERS)}) AND {_WORDS} > 2 AND regexp_matches(lower(sentence), '^({'|'.join(X.QUESTION_PREFIXES)})') THEN 'QUESTION' WHEN {_WORDS} < 3 THEN 'NON_CLAIM' "
+_CLASSES_SQL = (
+    f"cl AS (SELECT *, CASE WHEN sentence LIKE '%?' THEN 'QUESTION' WHEN {_FIRST} IN ({_list(X.QUESTION_STARTERS)}) AND {_WORDS} > 2 AND regexp_matches(lower(sentence), '^({'|'.join(X.QUESTION_PREFIXES)})') THEN 'QUESTION' WHEN {_WORDS} < 3 THEN 'NON_CLAIM' "
     f"WHEN {_FIRST} IN ({_list(X.IMPERATIVES)}) AND {_WORDS} <= 7 THEN 'NON_CLAIM' WHEN regexp_matches(lower(sentence), '{_EDGE}({'|'.join(X.OPINIONS)}){_EDGE_END}') THEN 'OPINION' ELSE 'FACTUAL_CLAIM' END AS claim_type, "
     f"CASE WHEN sentence LIKE '%?' THEN 0.95 WHEN {_FIRST} IN ({_list(X.QUESTION_STARTERS)}) AND {_WORDS} > 2 AND regexp_matches(lower(sentence), '^({'|'.join(X.QUESTION_PREFIXES)})') THEN 0.92 WHEN {_WORDS} < 3 THEN 0.9 WHEN {_FIRST} IN ({_list(X.IMPERATIVES)}) AND {_WORDS} <= 7 THEN 0.88 "
     f"WHEN regexp_matches(lower(sentence), '{_EDGE}({'|'.join(X.OPINIONS)}){_EDGE_END}') THEN 0.88 ELSE least(0.99, round(0.7 + CASE WHEN {MONEY} THEN 0.12 ELSE 0 END + CASE WHEN regexp_matches(sentence, '{_EDGE}\\d+([.,]\\d+)?{_EDGE_END}') THEN 0.08 ELSE 0 END + CASE WHEN regexp_matches(lower(sentence), '{_EDGE}({'|'.join(X.VERBS)}){_EDGE_END}') THEN 0.1 ELSE 0 END, 2)) END AS confidence FROM se)"
 )
 
 
+CLASSES_SQL, DOCUMENT_CLASSES_SQL = f"{SENTENCES_SQL}, {_CLASSES_SQL}", f"{DOCUMENT_SENTENCES_SQL}, {_CLASSES_SQL}"
+
+
 def _triple_sql(name: str, source: str, text: str) -> str:
     """CTE `name`: source with words, verb place and the parts of `text` as subject, action and value."""
     marks, ends = "'.,!?;:\"'''", "'.,;: '"
@@ -188,8 +194,8 @@ def x8(spark: SparkSession, d: str) -> DataFrame:
 
 
 _RE2_SPLIT = f"(?is)^(.*?)\\s+(?:{X.CONJUNCTION})\\s+((?:[a-z]+ed|[a-z]+s|employs|announced|plans|operates)(?:[^\\pL\\pN_].*)?)$"
-CLAUSES_SQL = (
-    f"{CLASSES_SQL}, c0 AS (SELECT *, claim_type = 'FACTUAL_CLAIM' AND regexp_matches(sentence, '{_RE2_SPLIT}') AS two FROM cl), c1 AS (SELECT *, CASE WHEN two THEN trim(regexp_extract(sentence, '{_RE2_SPLIT}', 1)) ELSE sentence END AS one, CASE WHEN two THEN trim(regexp_extract(sentence, '{_RE2_SPLIT}', 2)) END AS other FROM c0), "
+_CLAUSES_SQL = (
+    f"c0 AS (SELECT *, claim_type = 'FACTUAL_CLAIM' AND regexp_matches(sentence, '{_RE2_SPLIT}') AS two FROM cl), c1 AS (SELECT *, CASE WHEN two THEN trim(regexp_extract(sentence, '{_RE2_SPLIT}', 1)) ELSE sentence END AS one, CASE WHEN two THEN trim(regexp_extract(sentence, '{_RE2_SPLIT}', 2)) END AS other FROM c0), "
     f"{_triple_sql('t1', 'c1', 'one')}, {_triple_sql('t2', '(SELECT * RENAME (subject AS s1, action AS a1, value AS v1) FROM t1)', 'other')}, "
     "c2 AS (SELECT *, coalesce(s1, '') <> '' AND (coalesce(subject, '') = '' OR subject = string_split(other, ' ')[1]) AS shared FROM t2), "
     "ca AS (SELECT media_id, sentence_index, claim_type, 0 AS part, one AS claim_text, s1 AS subject, a1 AS action, v1 AS value FROM c2 UNION ALL SELECT media_id, sentence_index, claim_type, 1, CASE WHEN shared THEN s1 || ' ' || other ELSE other END, CASE WHEN shared THEN s1 ELSE subject END, "
@@ -197,6 +203,9 @@ CLAUSES_SQL = (
 )
 
 
+CLAUSES_SQL, DOCUMENT_CLAUSES_SQL = f"{CLASSES_SQL}, {_CLAUSES_SQL}", f"{DOCUMENT_CLASSES_SQL}, {_CLAUSES_SQL}"
+
+
 def _clauses(spark: SparkSession, d: str) -> DataFrame:
     return clauses(classes(split_sentences(texts(spark, d))).select("media_id", "sentence_index", "sentence", "claim_type"))
 
@@ -212,6 +221,40 @@ def x10(spark: SparkSession, d: str) -> DataFrame:
     return claims(spread(statements(spark, d)).select("media_id", F.concat_ws(" ", "a", "b", "c").alias("text")))
 
 
+def document_texts(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("media_id"), X.normalized(F.col("text")).alias("text"))
+
+
+@query("x5_document_sentences", f"WITH {DOCUMENT_SENTENCES_SQL} SELECT media_id, sentence_index, md5(sentence) AS sentence, start_char, end_char FROM se")
+def x5_documents(spark: SparkSession, d: str) -> DataFrame:
+    return split_sentences(document_texts(spark, d)).select("media_id", "sentence_index", F.md5("sentence").alias("sentence"), "start_char", "end_char")
+
+
+@query("x7_document_classes", f"WITH {DOCUMENT_CLASSES_SQL} SELECT media_id, sentence_index, claim_type, CAST(confidence AS DOUBLE) AS confidence FROM cl")
+def x7_documents(spark: SparkSession, d: str) -> DataFrame:
+    return classes(split_sentences(document_texts(spark, d))).select("media_id", "sentence_index", "claim_type", "confidence")
+
+
+@query("x8_document_triples", f"WITH {DOCUMENT_SENTENCES_SQL}, {_triple_sql('tr', 'se', 'sentence')} SELECT media_id, sentence_index, subject, action, md5(value) AS value FROM tr")
+def x8_documents(spark: SparkSession, d: str) -> DataFrame:
+    return triples(split_sentences(document_texts(spark, d))).withColumn("value", F.md5("value"))
+
+
+@query("x9_document_clauses", f"WITH {DOCUMENT_CLAUSES_SQL} SELECT media_id, sentence_index, claim_type, part, md5(claim_text) AS claim_text, subject, action, md5(value) AS value FROM ca")
+def x9_documents(spark: SparkSession, d: str) -> DataFrame:
+    return clauses(classes(split_sentences(document_texts(spark, d))).select("media_id", "sentence_index", "sentence", "claim_type")).withColumns({c: F.md5(c) for c in ("claim_text", "value")})
+
+
+@query("x6_document_entities")
+def x6_documents(spark: SparkSession, d: str) -> DataFrame:
+    return document_texts(spark, d).select("media_id", F.explode(X.entities(F.col("text"))).alias("e")).select("media_id", "e.*")
+
+
+@query("x10_document_claims")
+def x10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return claims(spread(table(spark, d, "documents")).select(F.col("doc_id").alias("media_id"), "text"))
+
+
 LABELS_SQL = "CASE upper(l) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.LABELS.items()) + " ELSE 'GENERAL' END"
 _LABEL = "CASE event_id % 9 WHEN 0 THEN 'gpe' WHEN 1 THEN 'PERSON' WHEN 2 THEN 'TIME' WHEN 3 THEN 'PERCENT' WHEN 4 THEN 'LOC' WHEN 5 THEN 'NORP' WHEN 6 THEN 'Money' WHEN 7 THEN event_type END"
 

@@ -94,6 +94,25 @@ def test_compound_claims_share_their_subject(spark):
     assert claims(df.limit(0)).count() == 0 and clauses(spark.createDataFrame([("a b", "OPINION")], "sentence string, claim_type string")).count() == 1
 
 
+def test_the_bound_on_sentences_is_a_choice_and_shown(spark):
+    df = spark.createDataFrame([(1, "Acme won again. " * 700), (2, "One. Two."), (3, None), (4, " ")], "media_id long, text string")
+    for most, n, cut in ((None, 700, False), (X.MOST_SENTENCES, 500, True), (700, 700, False)):
+        rows = claims(df, most).collect()
+        assert [sum(r.media_id == m for r in rows) for m in (1, 2, 3, 4)] == [n, 2, 0, 0]
+        assert {r.truncated for r in rows if r.media_id == 1} == {cut} and not any(r.truncated for r in rows if r.media_id == 2)
+
+
+def test_one_pass_gives_what_the_steps_give(spark):
+    own = texts(80, 9)
+    df = spark.createDataFrame(list(enumerate(own)), "media_id long, text string")
+    read = {r.media_id: r.r for r in df.select("media_id", X.read_text(F.col("text")).alias("r")).collect()}
+    for i, t in enumerate(own):
+        t = X.plain_form(t)
+        assert [(s.sentence, s.start_char, s.end_char) for s in read[i].found] == split(t)
+        for s in read[i].found:
+            assert [(e.start_char, e.end_char) for e in s.inside] == [(a, b) for *_, a, b in spans(t) if a >= s.start_char and b <= s.end_char]
+
+
 def test_provenance_takes_the_first_piece(spark):
     said = spark.createDataFrame([(1, 0, "Prices ROSE."), (1, 1, "Nothing like it"), (2, 0, "Prices rose.")], "media_id long, sentence_index int, claim_text string")
     pieces = spark.createDataFrame([(1, 0, "other"), (1, 1, "so prices rose. then"), (1, 2, "rose"), (2, 5, "")], "media_id long, seg int, text string")
