@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.functions import text as X
+from mediasift.operators.containment import first_holders
 from mediasift.operators.registry import query
-from mediasift.sources.views import STATEMENTS_SQL, spread, statements, table
+from mediasift.sources.views import STATEMENTS_SQL, segments, spread, statements, table
 
 
 def texts(spark: SparkSession, d: str) -> DataFrame:
@@ -91,11 +92,13 @@ def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 def provenance(claimed: DataFrame, pieces: DataFrame, place: str) -> DataFrame:
     """(media_id, sentence_index, place): the first piece of the medium that holds the claim's text or is held by it,
-    whatever the case. Joined on the medium, with the containment as part of the join: pairs that don't match aren't
-    emitted, and a medium with very many pieces is split as a skewed key."""
-    c, p = claimed.select("media_id", "sentence_index", F.lower("claim_text").alias("c")), pieces.select(F.col("media_id").alias("m"), F.col(place).alias("place"), F.lower("text").alias("p"))
-    met = c.join(p, (F.col("media_id") == F.col("m")) & (F.contains("p", "c") | F.contains("c", "p")))
-    return met.groupBy("media_id", "sentence_index").agg(F.min("place").alias(place))
+    whatever the case. Equal texts of a medium are compared once, and large media through an index (containment).
+
+    Claims and pieces with a null medium or text meet nothing, an empty text meets every other of its medium.
+    """
+    c, p = claimed.select(F.col("media_id").alias("m"), "sentence_index", F.lower("claim_text").alias("t")), pieces.select(F.col("media_id").alias("m"), F.col(place).alias("place"), F.lower("text").alias("p"))
+    found = c.join(first_holders(c, p), ["m", "t"])
+    return found.groupBy(F.col("m").alias("media_id"), "sentence_index").agg(F.min("first").alias(place))
 
 
 def resolved_source(transcript: Column, shown: Column, requested: Column) -> Column:
@@ -322,6 +325,22 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("source_type", F.when(F.col("region").isNotNull(), "OCR").when(F.col("seg").isNotNull(), "TRANSCRIPT").otherwise("DIRECT_TEXT"))
 
 
+#: Sentences of what is said in a conversation, and its turns.
+TURNS_SQL = "tx AS (SELECT conv_id * 1000 + turn AS media_id, text FROM (SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM conversations) WHERE text <> '')"
+
+
+@query(
+    "j8_conversation_provenance",
+    f"WITH {TURNS_SQL}, {_SENTENCES_SQL}, sc AS (SELECT media_id // 1000 AS conv_id, media_id % 1000 AS turn, sentence_index, lower(sentence) AS s FROM se) SELECT sc.conv_id, sc.turn, sentence_index, min(c.turn) AS first_turn FROM sc JOIN conversations c ON c.conv_id = sc.conv_id AND (contains(lower(c.text), s) OR contains(s, lower(c.text))) GROUP BY sc.conv_id, sc.turn, sentence_index",
+)
+def j8_conversations(spark: SparkSession, d: str) -> DataFrame:
+    """The first turn of a conversation in which each of its sentences was said."""
+    said = segments(spark, d).select("media_id", "seg", "text")
+    each = split_sentences(said.withColumn("text", X.normalized(F.col("text"))))
+    found = provenance(each.select("media_id", F.struct("seg", "sentence_index").alias("sentence_index"), F.col("sentence").alias("claim_text")), said, "seg")
+    return found.select(F.col("media_id").alias("conv_id"), F.col("sentence_index.seg").alias("turn"), F.col("sentence_index.sentence_index").alias("sentence_index"), F.col("seg").alias("first_turn"))
+
+
 #: Tokens with a digit stand for entities, as their offsets are the same in both engines.
 TOKENS_SQL = "dg AS (SELECT media_id, CAST(place AS INT) AS start_char, CAST(place + length(w) AS INT) AS end_char, w FROM sg WHERE regexp_matches(w, '\\d'))"
 

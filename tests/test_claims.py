@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mediasift.functions import text as X
+from mediasift.operators import containment
 from mediasift.operators.claims import admitted, claims, clauses, keep_first, provenance, resolved_source, split_sentences
 
 WORDS = "the Dr. Prof. Jane Doe acquired U.S. e.g. 3.5% 10 2. 5 Ends! really? and employs while Acme Inc. Corp lower Upper $5 million euros in 1999 London a. b. plans Mr. ... x, ;St. Company The Paris Summit".split()
@@ -119,6 +120,38 @@ def test_provenance_takes_the_first_piece(spark):
     assert {tuple(r) for r in provenance(said, pieces, "seg").collect()} == {(1, 0, 1), (2, 0, 5)}
 
 
+@pytest.mark.parametrize("few", [64, 0])
+def test_provenance_is_that_of_all_pairs(spark, monkeypatch, few):
+    monkeypatch.setattr(containment, "FEW", few)  # 0: every medium through the index
+    r = random.Random(11)
+    words = "a an Rose prose rOses rising 3.5% é Éa the  of to market prices".split(" ")
+    text = lambda most: "".join(r.choice(words) + r.choice([" ", " ", " ", "", "  "]) for _ in range(r.randrange(most)))
+    pieces = [(m, k, text(14)) for m in range(4) for k in range(60)] + [(0, 90, ""), (1, 91, "a"), (1, 92, "ro"), (2, 93, " "), (3, 94, None), (None, 1, "rose")]
+    said = []
+    for m in range(5):
+        for k in range(60):
+            t = r.choice([x for x in pieces if x[2]])[2] if k % 2 else text(10)
+            at = r.randrange(len(t)) if t else 0
+            said.append((m, k, t[at : at + r.choice([1, 2, 3, 5, 20, 60])].upper() if k % 3 else t))
+    said += [(0, 100, ""), (2, 101, None), (3, 102, "A"), (3, 102, "market"), (None, 5, "rose")]
+    want = {}
+    for m, k, t in said:
+        found = [i for n, i, p in pieces if n == m and m is not None and None not in (t, p) and (t.lower() in p.lower() or p.lower() in t.lower())]
+        if found:
+            want[m, k] = min(found + [want.get((m, k), 10**9)])
+    got = provenance(spark.createDataFrame(said, "media_id long, sentence_index int, claim_text string"), spark.createDataFrame(pieces, "media_id long, seg int, text string"), "seg")
+    assert {(x.media_id, x.sentence_index): x.seg for x in got.collect()} == want
+
+
+def test_candidates_of_one_large_medium_are_few(spark):
+    r = random.Random(2)
+    words = [f"word{i}" for i in range(400)]
+    longer = spark.createDataFrame([(1, " ".join(r.choice(words) for _ in range(20))) for _ in range(3000)], "m long, l string").distinct().cache()
+    shorter = longer.limit(1500).select("m", F.expr("substr(l, 3, 60)").alias("s")).distinct()
+    made = containment._candidates(shorter, longer, containment._wanted("s"), containment._listed("l"))
+    assert made.count() < 10 * 1500 and containment.held_pairs(shorter, longer).select("s").distinct().count() == shorter.count()
+
+
 @pytest.mark.parametrize("t, o, asked, want", [("a", "b", "OCR", ("b", "OCR")), ("a", "b", None, ("a\n\nb", "COMBINED")), ("a", " ", "OCR", ("a", "TRANSCRIPT")), (None, "b", "TRANSCRIPT", ("b", "OCR")), (None, "", None, ("", "DIRECT_TEXT"))])
 def test_sources(spark, t, o, asked, want):
     df = spark.createDataFrame([(t, o, asked)], "t string, o string, a string")
