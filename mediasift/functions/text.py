@@ -163,16 +163,6 @@ def spans(text: Column, pattern: str) -> Column:
     return find(text)
 
 
-def without_overlaps(ordered: Column) -> Column:
-    """Of spans in order of preference at each start those that begin where nothing chosen before reaches."""
-    kind = "array<struct<start_char: int, longest: int, family: int, end_char: int, text: string, label: string>>"
-
-    def choose(so_far: Column, x: Column) -> Column:
-        return F.when(x["start_char"] >= so_far["until"], F.struct(F.array_append(so_far["kept"], x).alias("kept"), x["end_char"].alias("until"))).otherwise(so_far)
-
-    return F.aggregate(ordered, F.expr(f"named_struct('kept', CAST(array() AS {kind}), 'until', -1)"), choose, lambda x: x["kept"])
-
-
 def _entity(text: str, start: int, end: int, label: str) -> dict:
     return {"text": text[start:end], "label": label, "normalized_label": LABELS.get(label.upper(), "GENERAL"), "start_char": start, "end_char": end}
 

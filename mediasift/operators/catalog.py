@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediasift.operators.registry import query
-from mediasift.sources.blobs import clean_key
+from mediasift.sources.blobs import clean_key, exists, load, remove, scratch_folder, store
 from mediasift.sources.views import FRAMES_SQL, LINES_SQL, MEDIA_SQL, SEGMENTS_SQL, frames, lines, media, segments, table
 
 ELEVATED = ("ANALYST", "MODERATOR", "ADMIN")
@@ -88,6 +88,18 @@ def s2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", clean_key(F.expr(_KEY)).alias("key"))
 
 
+@query("s2_blob_files", "SELECT 'f' || CAST(doc_id % 10 AS VARCHAR) || '/' || CAST(doc_id AS VARCHAR) AS key, strlen(text) AS bytes, sha256(text) AS sha256, doc_id % 3 <> 0 AS there FROM documents WHERE text IS NOT NULL")
+def s2_files(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as files: written, read back, every third removed, all looked for."""
+    folder = scratch_folder(spark, "blobs")
+    files = table(spark, d, "documents").filter("text IS NOT NULL").select(F.expr("'./f' || doc_id % 10 || '/' || doc_id").alias("key"), F.encode("text", "UTF-8").alias("content"), "doc_id")
+    store(files.select("key", "content"), folder).write.parquet(f"{folder}-written")
+    load(spark, files.select("key"), folder).select("key", F.octet_length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256")).write.parquet(f"{folder}-read")
+    remove(files.filter("doc_id % 3 = 0").select("key"), folder).write.parquet(f"{folder}-removed")
+    there = exists(files.select("key"), folder).withColumnRenamed("done", "there")
+    return spark.read.parquet(f"{folder}-read").join(there, "key").select("key", "bytes", "sha256", "there")
+
+
 @query(
     "s3_storage_key",
     f"WITH {MEDIA_SQL}, m AS (SELECT *, {TYPES_SQL} AS mime FROM media) SELECT media_id, 'quarantine/' || lower(media_type) || '/2024-01-01/' || sha256[1:32] || '.' || {case_sql(ENDINGS, 'mime', repr('bin'))} AS storage_key FROM m",
@@ -238,6 +250,22 @@ def s10(spark: SparkSession, d: str) -> DataFrame:
     return made.select("doc_id", F.when(~F.contains("json", F.lit('"_metadata_status":"TRUNCATED"')), F.col("json")).alias("json"))
 
 
+#: A document's text in directories of 200 characters, of which those before the bound stay, their values cut at 150.
+_PARTS_SQL = (
+    "pt AS (SELECT doc_id, k, substr(text, 200 * k + 1, 200) AS t FROM documents, range(0, 40) u(k) WHERE length(text) > 200 * k), pe AS (SELECT doc_id, k, '\"D' || lpad(CAST(k AS VARCHAR), 2, '0') || '\":{\"text\":' AS h, CAST(to_json(t) AS VARCHAR) AS whole, CAST(to_json(CASE WHEN length(t) > 150 THEN substr(t, 1, 150) || '... [truncated]' ELSE t END) AS VARCHAR) AS cut FROM pt), "
+    "ps AS (SELECT *, 2 + coalesce(sum(strlen(h || cut) + 2) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size FROM pe), "
+    "pj AS (SELECT doc_id, '{' || string_agg(h || whole || '}', ',' ORDER BY k) || '}' AS j, string_agg(h || cut || '}', ',' ORDER BY k) FILTER (WHERE size - CASE WHEN k > 0 THEN 1 ELSE 0 END <= 1952) AS kept FROM ps GROUP BY doc_id)"
+)
+_NOTE = '{"_metadata_status":"TRUNCATED","_max_bytes":4000,"_warning":"Raw metadata exceeded maximum allowed payload size of 512 KB and was safely bounded.","directories":'
+
+
+@query("s10_bounded_directories", f"WITH {_PARTS_SQL} SELECT doc_id, CASE WHEN j IS NULL THEN '{{}}' WHEN strlen(j) <= 4000 THEN j ELSE '{_NOTE}{{' || kept || '}}}}' END AS json FROM documents LEFT JOIN pj USING (doc_id)")
+def s10_directories(spark: SparkSession, d: str) -> DataFrame:
+    """Forty directories at most, whole if they take 4,000 bytes or fewer, else the first of them, cut."""
+    parts = F.expr("map_from_entries(transform(filter(sequence(0, 39), k -> length(text) > 200 * k), k -> struct('D' || lpad(k, 2, '0') AS key, map('text', substr(text, 200 * k + 1, 200)) AS value)))")
+    return table(spark, d, "documents").select("doc_id", bounded_json(parts, 4000).alias("json"))
+
+
 def delete_then_insert(stored: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """stored without the keys that fresh holds, and fresh: a recomputation replaces all rows of its keys."""
     return stored.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)

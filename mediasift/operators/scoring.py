@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediasift.operators.registry import query
-from mediasift.sources.views import FRAMES_SQL, LINES_SQL, SCORED_SQL, SEGMENTS_SQL, frames, lines, scored_labels, segments, table
+from mediasift.sources.views import FRAMES_SQL, LINES_SQL, MEDIA_SQL, SCORED_SQL, SEGMENTS_SQL, frames, lines, media, scored_labels, segments, table
 
 #: Software that edits pictures, software that encodes anew, makers of cameras, software that a camera doesn't run.
 EDITORS = ("photoshop", "gimp", "canva", "capcut", "lightroom", "premiere", "after effects", "final cut", "snapseed", "picsart", "indesign", "affinity photo", "pixelmator")
@@ -231,22 +231,38 @@ def _any(column: str, words: tuple[str, ...]) -> str:
     return f"coalesce(regexp_matches(lower({column}), '{'|'.join(words)}'), false)"
 
 
-@query(
-    "r1_metadata_anomalies",
-    f"WITH {METADATA_SQL}, f AS (SELECT *, {_any('software', EDITORS)} AS edited, TIMESTAMP '1998-01-01 01:00:00' AS late, latitude < -90 OR latitude > 90 OR longitude < -180 OR longitude > 180 AS outside FROM meta), "
+_ANOMALIES_SQL = (
+    f"{METADATA_SQL}, f AS (SELECT *, {_any('software', EDITORS)} AS edited, TIMESTAMP '1998-01-01 01:00:00' AS late, latitude < -90 OR latitude > 90 OR longitude < -180 OR longitude > 180 AS outside FROM meta), "
     f"c AS (SELECT media_id, edited AS r1, NOT edited AND {_any('software', ENCODERS)} AS r2, captured_at > late AS r3, modified_at > late AS r4, modified_at < captured_at - INTERVAL 1 MINUTE AS r5, media_type = 'IMAGE' AND NOT exif_present AND make IS NULL AND model IS NULL AS r6, "
     f"{_any('make', MAKERS)} AND {_any('software', FOREIGN)} AS r7, latitude IS NOT NULL AND longitude IS NOT NULL AND outside AS r8, coalesce(NOT outside AND abs(latitude) < 0.0001 AND abs(longitude) < 0.0001, false) AS r9, media_type = 'VIDEO' AND container IS NOT NULL AND codec IS NULL AND duration IS NULL AS r10 FROM f), "
-    "s AS (SELECT *, least(1.0, (35 * (r1::INT + r3::INT + r4::INT + r7::INT + r8::INT) + 20 * (r2::INT + r5::INT + r9::INT + r10::INT) + 5 * r6::INT) / 100) AS score FROM c) "
-    "SELECT media_id, concat_ws(',', CASE WHEN r1 THEN 'ANOM_EDITING_SOFTWARE' END, CASE WHEN r2 THEN 'ANOM_RE_ENCODING_SOFTWARE' END, CASE WHEN r3 THEN 'ANOM_FUTURE_CAPTURE_TIMESTAMP' END, CASE WHEN r4 THEN 'ANOM_FUTURE_MODIFY_TIMESTAMP' END, CASE WHEN r5 THEN 'ANOM_TIMESTAMP_INCONSISTENCY' END, "
+    "s AS (SELECT *, least(1.0, (35 * (r1::INT + r3::INT + r4::INT + r7::INT + r8::INT) + 20 * (r2::INT + r5::INT + r9::INT + r10::INT) + 5 * r6::INT) / 100) AS score FROM c), "
+    "an AS (SELECT media_id, concat_ws(',', CASE WHEN r1 THEN 'ANOM_EDITING_SOFTWARE' END, CASE WHEN r2 THEN 'ANOM_RE_ENCODING_SOFTWARE' END, CASE WHEN r3 THEN 'ANOM_FUTURE_CAPTURE_TIMESTAMP' END, CASE WHEN r4 THEN 'ANOM_FUTURE_MODIFY_TIMESTAMP' END, CASE WHEN r5 THEN 'ANOM_TIMESTAMP_INCONSISTENCY' END, "
     "CASE WHEN r6 THEN 'ANOM_METADATA_STRIPPED' END, CASE WHEN r7 THEN 'ANOM_CAMERA_SOFTWARE_MISMATCH' END, CASE WHEN r8 THEN 'ANOM_GPS_OUT_OF_BOUNDS' END, CASE WHEN r9 THEN 'ANOM_GPS_NULL_ISLAND' END, CASE WHEN r10 THEN 'ANOM_VIDEO_STREAM_INCONSISTENCY' END) AS codes, score, "
-    "CASE WHEN score <= 0 THEN 'CLEAN' WHEN score < 0.5 THEN 'SUSPICIOUS' ELSE 'HIGH_RISK' END AS risk FROM s",
+    "CASE WHEN score <= 0 THEN 'CLEAN' WHEN score < 0.5 THEN 'SUSPICIOUS' ELSE 'HIGH_RISK' END AS risk FROM s)"
 )
+
+
+@query("r1_metadata_anomalies", f"WITH {_ANOMALIES_SQL} SELECT * FROM an")
 def r1(spark: SparkSession, d: str) -> DataFrame:
     """Findings as of the start of 1998, with the risk level of their sum."""
     out = metadata(spark, d).withColumn("found", anomalies(F.lit("1998-01-01 00:00:00").cast("timestamp"))).withColumn("score", anomaly_score(F.col("found")))
     return out.select("media_id", F.array_join("found.code", ",").alias("codes"), "score", risk_level(F.col("score")).alias("risk"))
 
 
+def anomalous(found: DataFrame, media_: DataFrame) -> DataFrame:
+    """media's rows of which found(media_id, found) has findings, with their codes and score, the highest score first, then
+    by media_id. Findings of a medium that isn't there, null or empty ones don't show."""
+    own = found.filter(F.size("found") > 0).select("media_id", F.array_join("found.code", ",").alias("codes"), anomaly_score(F.col("found")).alias("score"))
+    return media_.join(own, "media_id").orderBy(F.desc("score"), "media_id")
+
+
+@query("f4_anomalous_metadata", f"WITH {MEDIA_SQL}, {_ANOMALIES_SQL} SELECT media_id, uploader, media_type, codes, score FROM media JOIN an USING (media_id) WHERE codes <> '' ORDER BY score DESC, media_id")
+def f4(spark: SparkSession, d: str) -> DataFrame:
+    """Every medium with findings about its metadata."""
+    found = metadata(spark, d).select("media_id", anomalies(F.lit("1998-01-01 00:00:00").cast("timestamp")).alias("found"))
+    return anomalous(found, media(spark, d).select("media_id", "uploader", "media_type"))
+
+
 STATUS_SQL = "CASE WHEN status = 'FAILED' THEN 'ANALYSIS_FAILED' WHEN status IN ('PENDING', 'PROCESSING') THEN 'IN_PROGRESS'"
 
 

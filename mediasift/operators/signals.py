@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from mediasift.functions import signals as S
 from mediasift.functions.spectra import acceleration_of, cosine_weights, decibels, forensics_of, log_mel_of, mel_weights, pitch_of, print_of, weighted, yin_of
-from mediasift.functions.text import without_overlaps
 from mediasift.operators.registry import query
-from mediasift.operators.timeline import islands, merge_intervals
+from mediasift.operators.timeline import apart_spans, islands, merge_intervals
 from mediasift.sources.views import FRAMES_SQL, frames, table
 
 FPS = 5.0
@@ -69,6 +68,7 @@ def cross_correlation(df: DataFrame, fps: float, most_ms: float, app: bool = Fal
     Zeros for fewer than five frames or a signal that hardly varies. With `app` products are averaged over all frames,
     lags go up to the next whole frame, and the confidence is the peak's height in deviations.
     """
+    # Fixed: a bound below one frame leaves nothing to search.
     everything, frame_ms = W.partitionBy("media_id"), 1000 / fps
     most = -int(-most_ms / 1000 * fps // 1) if app else round(most_ms / frame_ms)
     zed = lambda c: F.try_divide(F.col(c) - F.avg(c).over(everything), F.stddev_pop(c).over(everything))
@@ -494,11 +494,9 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
     "f AS (SELECT media_id, k, event_id, true AS kept, end_char AS until FROM o WHERE k = 1 UNION ALL SELECT o.media_id, o.k, o.event_id, o.start_char >= f.until, CASE WHEN o.start_char >= f.until THEN o.end_char ELSE f.until END FROM f JOIN o ON o.media_id = f.media_id AND o.k = f.k + 1) SELECT media_id, event_id FROM f WHERE kept",
 )
 def t7(spark: SparkSession, d: str) -> DataFrame:
-    """Of overlapping spans the earliest, then the longest. A medium's spans are one array, as those of a text are."""
-    start, end = (F.col("event_id") % 997).cast("int"), (F.col("event_id") % 997 + 5 + F.col("event_id") % 37).cast("int")
-    span = F.struct(start.alias("start_char"), (start - end).alias("longest"), F.col("event_id").cast("int").alias("family"), end.alias("end_char"), F.lit("").alias("text"), F.lit("").alias("label"))
-    kept = table(spark, d, "events").groupBy(F.col("user_id").alias("media_id")).agg(F.array_sort(F.collect_list(span)).alias("s")).select("media_id", F.explode(without_overlaps(F.col("s"))).alias("x"))
-    return kept.select("media_id", F.col("x.family").cast("long").alias("event_id"))
+    """Of overlapping spans the earliest, then the longest."""
+    spans_ = table(spark, d, "events").select(F.col("user_id").alias("media_id"), (F.col("event_id") % 997).cast("int").alias("start_char"), (F.col("event_id") % 997 + 5 + F.col("event_id") % 37).cast("int").alias("end_char"), F.col("event_id").alias("id"))
+    return apart_spans(spans_, ["media_id"]).select("media_id", F.col("id").alias("event_id"))
 
 
 @query("t8_suppressed_boxes")
@@ -514,7 +512,11 @@ def track(frames_: DataFrame, near: float = 80.0) -> DataFrame:
 
     Each track of the frame before, oldest first, takes the nearest free box closer than `near` or overlapping by more
     than 0.3; boxes left over begin tracks. A frame without boxes is passed over. What is held is one medium's last frame.
+    A box without a medium, frame or id, or of unknown place or size is in no track and gives no row; of rows that repeat
+    an id in a frame the one least by place and size counts. An empty table gives no rows.
     """
+    keys = ["media_id", "frame", "box_id"]
+    frames_ = frames_.select(*keys, "x", "y", "width", "height").dropna().groupBy(*keys).agg(F.min(F.struct("x", "y", "width", "height")).alias("b")).select(*keys, "b.*")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state: dict = {}

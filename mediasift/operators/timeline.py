@@ -1,17 +1,21 @@
 """Timelines: gap clusters, interval merging, sliding windows, smoothing, interpolation.
 
 All take rows of many media at once and window within one of them, in order of time. The windows use frames
-that Spark streams and spills; a medium's rows are sorted, never gathered, except where a fold depends on
-their order (see `merge_intervals`).
+that Spark streams and spills; a medium's rows are sorted, never gathered. Where a fold depends on their order, a
+bounded number is gathered, and what has more is scanned in ranges (see `scan`).
 """
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from mediasift.operators.registry import query
+from mediasift.operators.scan import MANY, RANGE, by_size, carried
 from mediasift.sources.views import FRAMES_SQL, LINES_SQL, frames, lines, table
 
 
@@ -62,17 +66,43 @@ def sliding_windows(df: DataFrame, size: int, hop: int) -> DataFrame:
     return placed.groupBy("media_id", "window").agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean"), F.max("score").alias("top"))
 
 
-def merge_intervals(df: DataFrame, gap: float) -> DataFrame:
+def merge_intervals(df: DataFrame, gap: float, many: int = MANY, size: int = RANGE) -> DataFrame:
     """Intervals (media_id, kind, start, end, severity, offset_ms, seq) of a kind that overlap or are within `gap`, as one.
 
     HIGH severity stays; the description is that of the first. The offset is a running pairwise mean rounded to one digit,
-    which depends on order: an island's offsets are folded in an array, so one island has to fit in a task.
+    which depends on order: a kind of a medium with `many` rows or fewer folds it in an array, one with more is scanned
+    in ranges of `size` rows.
     """
-    w = W.partitionBy("media_id", "kind").orderBy("start", "seq").rowsBetween(W.unboundedPreceding, -1)
-    marked = df.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w) + gap, F.lit(True)))
-    grouped = islands(marked, ["media_id", "kind"], ["start", "seq"], F.col("new")).groupBy("media_id", "kind", "island")
-    out = grouped.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.max((F.col("severity") == "HIGH").cast("int")).alias("high"), F.min_by("severity", F.struct("start", "seq")).alias("first_severity"), F.array_sort(F.collect_list(F.struct("start", "seq", "offset_ms"))).alias("parts"))
-    return out.select("media_id", "kind", "start", "end", "n", F.when(F.col("high") == 1, "HIGH").otherwise(F.col("first_severity")).alias("severity"), running_mean(F.col("parts.offset_ms"), 1).alias("offset_ms"))
+    keys, few, large = ["media_id", "kind"], *by_size(df, ["media_id", "kind"], many)
+    w = W.partitionBy(*keys).orderBy("start", "seq").rowsBetween(W.unboundedPreceding, -1)
+    marked = few.withColumn("new", F.coalesce(F.col("start") > F.max("end").over(w) + gap, F.lit(True)))
+    grouped = islands(marked, keys, ["start", "seq"], F.col("new")).groupBy(*keys, "island")
+    merged = [F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.max((F.col("severity") == "HIGH").cast("int")).alias("high"), F.min_by("severity", F.struct("start", "seq")).alias("first_severity")]
+    out = grouped.agg(*merged, F.array_sort(F.collect_list(F.struct("start", "seq", "offset_ms"))).alias("parts")).withColumn("offset_ms", running_mean(F.col("parts.offset_ms"), 1)).drop("parts")
+    if large is not None:
+        columns = ["start", "end", "severity", "offset_ms", "seq"]
+
+        def step(state, own: pd.DataFrame):
+            until, island, mean = state or (None, None, None)
+            named = []
+            for start, end, seq, offset in zip(own["start"].tolist(), own["end"].tolist(), own["seq"].tolist(), own["offset_ms"].tolist()):
+                if until is None or start > until + gap:
+                    until, island, mean = end, f"{start!r}:{seq!r}", offset
+                else:
+                    until, mean = max(until, end), half_up((mean + offset) / 2, 1)
+                named.append((island, mean))
+            return (until, island, mean), own[columns].assign(island=[x[0] for x in named], mean=[x[1] for x in named])
+
+        kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+        placed = carried(large.select(*keys, *columns), keys, ["start", "seq"], step, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", island string, mean double", size)
+        found = placed.groupBy(*keys, "island").agg(*merged, F.max_by("mean", F.struct("start", "seq")).cast("double").alias("offset_ms"))
+        out = out.select(*keys, "start", "end", "n", "high", "first_severity", "offset_ms").unionByName(found.drop("island"))
+    return out.select("media_id", "kind", "start", "end", "n", F.when(F.col("high") == 1, "HIGH").otherwise(F.col("first_severity")).alias("severity"), "offset_ms")
+
+
+def half_up(x: float, digits: int) -> float:
+    """Rounding as Spark's: a half of the number as it is written goes away from zero."""
+    return float(Decimal(repr(x)).quantize(Decimal(1).scaleb(-digits), ROUND_HALF_UP))
 
 
 def running_mean(values: Column, digits: int) -> Column:
@@ -81,14 +111,64 @@ def running_mean(values: Column, digits: int) -> Column:
     return F.aggregate(rest, F.element_at(values, 1).cast("double"), lambda a, x: F.round((a + x) / 2, digits))
 
 
-def consolidate_text(df: DataFrame, interval: float) -> DataFrame:
-    """Regions (media_id, start, end, y, text, confidence) that show the same trimmed lower-case text in consecutive samples, as one."""
+def consolidate_text(df: DataFrame, interval: float, many: int = MANY, size: int = RANGE) -> DataFrame:
+    """Regions (media_id, start, end, y, text, confidence) that show the same trimmed lower-case text in consecutive samples, as one.
+
+    A text that a medium shows more than `many` times is scanned in ranges of `size` rows."""
     own = df.withColumn("key", F.lower(F.trim("text"))).filter("key <> ''")
-    before = F.lag("end").over(W.partitionBy("media_id", "key").orderBy("start", "y"))
-    marked = own.withColumn("new", F.coalesce(F.abs(F.col("start") - before) > 1.5 * interval, F.lit(True)))
-    grouped = islands(marked, ["media_id", "key"], ["start", "y"], F.col("new")).groupBy("media_id", "key", "island")
-    out = grouped.agg(F.min("start").alias("start"), F.max_by("end", F.struct("start", "y")).alias("end"), F.min("y").alias("y"), F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.struct("start", "y", "confidence"))).alias("parts"))
-    return out.select("media_id", F.col("key").alias("text"), "start", "end", "y", "n", running_mean(F.col("parts.confidence"), 4).alias("confidence"))
+    keys, few, large = ["media_id", "key"], *by_size(own, ["media_id", "key"], many)
+    before = F.lag("end").over(W.partitionBy(*keys).orderBy("start", "y"))
+    marked = few.withColumn("new", F.coalesce(F.abs(F.col("start") - before) > 1.5 * interval, F.lit(True)))
+    grouped = islands(marked, keys, ["start", "y"], F.col("new")).groupBy(*keys, "island")
+    merged = [F.min("start").alias("start"), F.max_by("end", F.struct("start", "y")).alias("end"), F.min("y").alias("y"), F.count(F.lit(1)).alias("n")]
+    out = grouped.agg(*merged, F.array_sort(F.collect_list(F.struct("start", "y", "confidence"))).alias("parts")).withColumn("confidence", running_mean(F.col("parts.confidence"), 4)).drop("parts")
+    if large is not None:
+
+        def step(state, rows: pd.DataFrame):
+            until, island, mean = state or (None, None, None)
+            named = []
+            for start, end, y, sure in zip(rows["start"].tolist(), rows["end"].tolist(), rows["y"].tolist(), rows["confidence"].tolist()):
+                if until is None or abs(start - until) > 1.5 * interval:
+                    island, mean = f"{start!r}:{y!r}", sure
+                else:
+                    mean = half_up((mean + sure) / 2, 4)
+                until = end
+                named.append((island, mean))
+            return (until, island, mean), rows[["start", "end", "y"]].assign(island=[x[0] for x in named], mean=[x[1] for x in named])
+
+        kinds = {f.name: f.dataType.simpleString() for f in own.schema}
+        columns = ["start", "end", "y"]
+        placed = carried(large.select(*keys, *columns, "confidence"), keys, ["start", "y"], step, ", ".join(f"`{c}` {kinds[c]}" for c in columns) + ", island string, mean double", size)
+        found = placed.groupBy(*keys, "island").agg(*merged, F.max_by("mean", F.struct("start", "y")).alias("confidence"))
+        out = out.select(*keys, "start", "end", "y", "n", "confidence").unionByName(found.drop("island"))
+    return out.select("media_id", F.col("key").alias("text"), "start", "end", "y", "n", "confidence")
+
+
+def apart_spans(df: DataFrame, keys: list[str], many: int = MANY, size: int = RANGE) -> DataFrame:
+    """Of spans df(*keys, start_char, end_char, id) those that begin where no chosen one reaches: the earliest first, then
+    the longest, then the least id. Keys with more than `many` spans are scanned in ranges of `size` rows."""
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+
+    def step(state, own: pd.DataFrame):
+        until, kept = state if state is not None else float("-inf"), []
+        for start, end in zip(own["start_char"].tolist(), own["end_char"].tolist()):
+            kept.append(start >= until)
+            until = end if kept[-1] else until
+        return until, own[["start_char", "end_char", "id"]][kept]
+
+    few, large = by_size(df, keys, many)
+    span = F.struct("start_char", (F.col("start_char") - F.col("end_char")).alias("longest"), "id", "end_char")
+    gathered = few.groupBy(*keys).agg(F.array_sort(F.collect_list(span)).alias("s"))
+    out = gathered.select(*keys, F.explode(_chosen(F.col("s"), kinds["end_char"])).alias("x")).select(*keys, "x.start_char", "x.end_char", "x.id")
+    if large is not None:
+        ranged = large.select(*keys, "start_char", (-F.col("end_char")).alias("back"), "id", "end_char")
+        out = out.unionByName(carried(ranged, keys, ["start_char", "back", "id"], step, ", ".join(f"`{c}` {kinds[c]}" for c in ("start_char", "end_char", "id")), size))
+    return out
+
+
+def _chosen(spans: Column, kind: str) -> Column:
+    kept = F.aggregate(spans, F.struct(F.slice(spans, 1, 0).alias("kept"), F.lit(None).cast(kind).alias("until")), lambda s, x: F.when(s["until"].isNull() | (x["start_char"] >= s["until"]), F.struct(F.array_append(s["kept"], x).alias("kept"), x["end_char"].alias("until"))).otherwise(s))
+    return kept["kept"]
 
 
 def relative_steps(df: DataFrame, value: str, gate: float = 0.12) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -23,6 +25,15 @@ def clean_key(key: Column) -> Column:
     return F.when((F.trim(key) != "") & done["inside"] & (F.size(done["kept"]) > 0), F.array_join(done["kept"], "/"))
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder, as a URI, that driver and executors share: under spark.checkpoint.dir, or for a local master, where that
+    may be unset, under the machine's temporary folder."""
+    given = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(given or 'file://' + tempfile.mkdtemp(prefix='spark-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def _each(folder: str, act):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow.fs import FileSystem
