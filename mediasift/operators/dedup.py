@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediasift.operators.nearest import acoustic_costs, hamming_costs, nearest_others
+from mediasift.operators.nearest import acoustic_costs, hamming_costs, near_hashes, nearest_others
 from mediasift.operators.registry import query
 from mediasift.sources.views import MEDIA_SQL, media, table
 
@@ -63,9 +63,11 @@ def perceptual_duplicates(hashes: DataFrame, threshold: int, candidates: int = C
 
 
 def perceptual_duplicates_all(hashes: DataFrame, threshold: int) -> DataFrame:
-    """(media_id, duplicate_of, distance): nearest of all others within the threshold, the earliest of equals."""
+    """(media_id, duplicate_of, distance): nearest of all others within the threshold, the earliest of equals. Up to 11 bits
+    by parts that are near, beyond by blocks."""
     number = hashes.select("media_id", F.conv("bits", 2, -10).cast("long").alias("print"))
-    return nearest_others(number, hamming_costs, threshold).select("media_id", "duplicate_of", F.col("cost").cast("long").alias("distance"))
+    near = near_hashes(number, threshold) if threshold < 12 else nearest_others(number, hamming_costs, threshold)
+    return near.select("media_id", "duplicate_of", F.col("cost").cast("long").alias("distance"))
 
 
 def acoustic_similarity(a: Column, b: Column) -> Column:
@@ -145,6 +147,25 @@ def j2_all(spark: SparkSession, d: str) -> DataFrame:
     return perceptual_duplicates_all(perceptual_hashes(spark, d), 16)
 
 
+#: Every vector's print, and for every third one that differs from it by up to twelve bits.
+COPIES_SQL = f"{PHASH_SQL}, pc AS (SELECT media_id, bits FROM ph UNION ALL SELECT 1000000000 + media_id, array_to_string(list_transform(range(1, 65), lambda i: CASE WHEN i % 5 = media_id % 5 AND i <= 5 * (media_id % 13) THEN CASE WHEN bits[i] = '1' THEN '0' ELSE '1' END ELSE bits[i] END), '') FROM ph WHERE media_id % 3 = 0)"
+
+
+def copied_hashes(spark: SparkSession, d: str) -> DataFrame:
+    own = perceptual_hashes(spark, d)
+    flipped = F.expr("array_join(transform(sequence(1, 64), i -> IF(i % 5 = media_id % 5 AND i <= 5 * (media_id % 13), IF(substr(bits, i, 1) = '1', '0', '1'), substr(bits, i, 1))), '')")
+    return own.unionByName(own.filter("media_id % 3 = 0").select((F.col("media_id") + 1_000_000_000).alias("media_id"), flipped.alias("bits")))
+
+
+@query(
+    "j2_perceptual_duplicate_10",
+    f"WITH {COPIES_SQL}, h AS (SELECT a.media_id, c.media_id AS other, CAST(hamming(a.bits, c.bits) AS BIGINT) AS distance FROM pc a JOIN pc c ON a.media_id <> c.media_id) SELECT media_id, arg_min(other, (distance, other)) AS duplicate_of, min(distance) AS distance FROM h WHERE distance <= 10 GROUP BY media_id",
+)
+def j2_ten(spark: SparkSession, d: str) -> DataFrame:
+    """Among all others, at the reference's own threshold."""
+    return perceptual_duplicates_all(copied_hashes(spark, d), 10)
+
+
 @query(
     "j4_duplicate_cascade",
     f"WITH {MEDIA_SQL}, {PHASH_SQL}, {ACOUSTIC_SQL}, e AS (SELECT a.media_id, min(b.media_id) AS other FROM media a JOIN media b ON a.sha256 = b.sha256 AND a.media_id <> b.media_id GROUP BY a.media_id), "

@@ -1,7 +1,9 @@
 import random
 
+from pyspark.sql import functions as F
+
 from mediasift.operators.dedup import acoustic_duplicates, cascade, perceptual_duplicates_all
-from mediasift.operators.nearest import acoustic_costs, hamming_costs, nearest_others
+from mediasift.operators.nearest import _parts, acoustic_costs, close_hashes, hamming_costs, near_hashes, nearest_others
 
 
 def brute(rows, cost, limit):
@@ -33,6 +35,31 @@ def test_nearest_hashes_equal_brute_force(spark):
     assert nearest_others(df.limit(0), hamming_costs, 3).count() == 0
 
 
+def test_near_hashes_equal_brute_force(spark):
+    """Up to 11 bits apart, with copies, media of several prints, repeated rows and nulls."""
+    r = random.Random(8)
+    centres = [r.getrandbits(64) for _ in range(20)]
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    flip = lambda x, n: x ^ sum(1 << b for b in r.sample(range(64), n))
+    rows = [(i, signed(flip(r.choice(centres), r.randrange(9)))) for i in range(250)] + [(300 + i, signed(r.getrandbits(64))) for i in range(50)]
+    rows += [(500 + i, signed(centres[0])) for i in range(30)] + [(600, None), (-3, signed(centres[5])), (-3, signed(centres[5]))]
+    rows += [(700, signed(c)) for c in (flip(centres[7], 3), centres[7], flip(centres[7], 1))] + [(800, signed(x)) for x in (1 << 20, (1 << 20) + 1)]  # their own nearest
+    cost = lambda x, y: ((x ^ y) & (1 << 64) - 1).bit_count()
+    df = spark.createDataFrame(rows, "media_id long, print long")
+    for limit in (0, 3, 7, 10, 11):
+        assert sorted(tuple(x) for x in near_hashes(df, limit).collect()) == brute(rows, cost, limit)
+    assert near_hashes(df.limit(0)).count() == 0
+
+
+def test_parts_select_few_pairs(spark):
+    r = random.Random(9)
+    df = spark.createDataFrame([(i, r.getrandbits(64) - (1 << 63)) for i in range(3000)], "first long, print long").selectExpr("print", "first", "CAST(NULL AS long) AS second")
+    keys = _parts("print")
+    asked = df.select(F.explode(keys).alias("part")).select(F.explode(F.array(*(F.col("part").bitwiseXOR(F.lit(m)) for m in range(1 << 16) if m.bit_count() <= 2))).alias("key"))
+    assert asked.join(df.select(F.explode(keys).alias("key")), "key").count() < 3000 * 3000 / 60
+    assert close_hashes(df.select("print"), df, 10).count() == 0
+
+
 def similar(x, y):
     best, most = 0.0, min(5, min(len(x), len(y)) // 2)
     for s in range(-most, most + 1) if x and y else ():
