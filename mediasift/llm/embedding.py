@@ -1,78 +1,167 @@
 """Embedding near-duplicates by a forest of random-projection trees (operator 5).
 
-Equal vectors are one class, compared once. In each tree a node with more than `leaf` vectors splits at
-the median of a random projection; vectors nearer to it than `spill` go to both sides. (Two vectors of 64 components
-at a cosine of just 0.95 lie 0.04 apart on a projection as a rule, and a cut parts them for good at 3 levels in 100, so
-at 20 levels one tree of two still shows them together and one pair in 300 is missed by all eight.) Vectors within a
-leaf are compared by cosine in double precision, and what all trees find together is linked; a pair that
-meets in several leaves counts in the first leaf (by number) that its two vectors share.
-
-Each vector is projected once, on the directions of all trees and levels. Splits are fitted level by level from
-these numbers, by a job per level for all trees and nodes together. A node that a split can't part (most of it would go to both sides) stays whole: its vectors are
-nearly the same in every direction, and it is compared in blocks, every pair of blocks being a task of
-bounded size. A leaf's rows therefore never have to fit in one task, and none is dropped.
+Equal vectors are one class, compared once. Each tree splits a node at the median of a random projection, one direction
+for each tree and level; vectors nearer to the cut than `spill` go to both sides. (Two vectors of 64 components at a
+cosine of just 0.95 lie 0.04 apart on a projection as a rule, and a cut parts them for good at 3 levels in 100, so at 20
+levels one tree of two still shows them together and one pair in 300 is missed by all eight.) Vectors within a leaf are
+compared by cosine in double precision, and what all trees find together is linked; a pair that meets in several leaves
+counts in the first leaf (by number) that its two vectors share.
+
+The cuts of all trees are fitted on a sample of at most about SAMPLE classes, drawn by hash, to the depth at which a
+leaf would hold `leaf` classes, or eight of the sample. They are broadcast (a number for eight of the sample, tree by tree), and every
+class walks down all trees in one pass over the table: no level is written and no vector moved. Leaves that are still
+larger than eight times `leaf`, as in tables of many millions, are fitted on samples of their own and walked through
+again in the same way, leaf by leaf in parallel, a bounded part of a leaf at a time. What no split can part (most of it
+would go to both sides) stays whole: its vectors are nearly the same in every direction, and it is compared in blocks,
+every pair of blocks being a task of bounded size. A leaf's rows therefore never have to fit in one task, and none is
+dropped.
 """
 
 from __future__ import annotations
 
-import math
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, sampled, table
 from .components import components
 
 COSINE, TREES, LEAF, SPILL, STUCK = 0.95, 8, 512, 0.015, 0.9
+#: Classes on which cuts are fitted, fewest of them in a leaf, levels in a walk, rows of a large leaf that walk at a time.
+SAMPLE, FEWEST, LEVELS, PART = 65_536, 8, 24, 65_536
 #: Vectors of a leaf that no split can part are compared in blocks of BLOCK, STRIPE rows at a time.
 BLOCK, STRIPE = 8192, 256
 
 
-def _direction(tree: int, level: int, d: int) -> np.ndarray:
-    r = np.random.default_rng((tree + 1) * 1009 + level).normal(size=d)
-    return r / np.linalg.norm(r)
+def _directions(walk: int, tree: int, d: int) -> np.ndarray:
+    """A unit vector for each level as columns."""
+    r = np.random.default_rng(((walk * 1009) + tree + 1) * 1009).normal(size=(d, LEVELS))
+    return r / np.linalg.norm(r, axis=0)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    v = v.astype(float)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _sides(p: np.ndarray, cut: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    return p <= cut + spill, p > cut - spill
 
 
-def _projector(trees: int, levels: int, d: int):
-    """Column function vector -> its projections, for each tree those of all levels."""
-    directions = np.stack([_direction(t, k, d) for t in range(trees) for k in range(levels)], axis=1)
+def _fit(x: np.ndarray, directions: np.ndarray, least: float, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, cuts) of a tree on vectors x, nodes sorted; node 1 is the root, 2 n and 2 n + 1 are the sides of n."""
+    shot = x @ directions
+    row, node, cuts = np.arange(len(x)), np.ones(len(x), dtype=np.int64), {}
+    for level in range(LEVELS):
+        order = np.argsort(node, kind="stable")
+        row, node = row[order], node[order]
+        begin = np.nonzero(np.append(True, node[1:] != node[:-1]))[0] if len(node) else []
+        rows, nodes = [], []
+        for i, j in zip(begin, [*begin[1:], len(node)]):
+            p = shot[row[i:j], level]
+            if j - i <= max(least, FEWEST):
+                continue
+            cut = float(np.median(p))
+            left, right = _sides(p, np.float64(cut), spill)
+            if max(left.sum(), right.sum()) < STUCK * (j - i):
+                cuts[int(node[i])] = cut
+                for side, own in enumerate((left, right)):
+                    rows.append(row[i:j][own])
+                    nodes.append(np.full(own.sum(), 2 * node[i] + side))
+        if not rows:
+            break
+        row, node = np.concatenate(rows), np.concatenate(nodes)
+    return np.array(sorted(cuts), dtype=np.int64), np.array([cuts[k] for k in sorted(cuts)])
 
-    @F.pandas_udf("array<double>")
-    def project(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        x = np.stack(vectors.to_numpy()).astype(float)
-        return pd.Series(list((x / np.linalg.norm(x, axis=1, keepdims=True)) @ directions), dtype=object)
 
-    return project
+def _walk(x: np.ndarray, directions: np.ndarray, nodes: np.ndarray, cuts: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, leaf): the leaves that each vector of x comes to."""
+    row, node, shot, done = np.arange(len(x)), np.ones(len(x), dtype=np.int64), x @ directions, []
+    for level in range(LEVELS + 1):
+        at = np.minimum(np.searchsorted(nodes, node), len(nodes) - 1)
+        inner = nodes[at] == node if len(nodes) else np.zeros(len(node), dtype=bool)
+        done.append((row[~inner], node[~inner]))
+        row, node, cut = row[inner], node[inner], cuts[at[inner]] if len(nodes) else cuts
+        if not len(row):
+            break
+        left, right = _sides(shot[row, level], cut, spill)
+        row, node = np.concatenate((row[left], row[right])), np.concatenate((2 * node[left], 2 * node[right] + 1))
+    return tuple(np.concatenate(x) for x in zip(*done))
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Rows of equal length; float numbers widen exactly."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _walk_all(forest, spill: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, rep = _unit(_vectors(batch.column("v"))), batch.column("rep").to_numpy()
+            for tree, (nodes, cuts) in enumerate(forest.value):
+                row, leaf = _walk(x, _directions(0, tree, x.shape[1]), nodes, cuts, spill)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree), pa.int32()), pa.array(leaf), pa.array(rep[row])], names=["tree", "node", "rep"])
+
+    return run
 
 
 def plant(classes: DataFrame, d: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
-    """(tree, node, rep) for every leaf that a vector is in; classes: (rep, v), vectors of length d that have a direction.
+    """(tree, leaf, rep) for every leaf that a class is in; classes: (rep, v), vectors of length d that have a direction."""
+    spark, n = classes.sparkSession, classes.count()
+    size = min(SAMPLE, (1 << 24) // d)  # 128 MB of numbers at most
+    share = size / max(1, n)
+    own = classes.filter(sampled("rep", share)) if share < 1 else classes
+    x = own.select("v").toArrow().column("v").combine_chunks()
+    x = _unit(_vectors(x)) if len(x) else np.zeros((0, d))
+    forest = spark.sparkContext.broadcast([_fit(x, _directions(0, t, d), leaf * len(x) / max(1, n), spill) for t in range(trees)])
+    at = classes.select("rep", "v").mapInArrow(_walk_all(forest, spill), "tree int, node long, rep long").select("tree", F.xxhash64(F.lit(d), "tree", "node").alias("leaf"), "rep")
+    walk = 1
+    while n * FEWEST / size > leaf:  # else no leaf can have been left large for want of a larger sample
+        at = materialize(at, "rp-leaves")
+        sizes = at.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 8 * leaf)
+        fitted = materialize(_fit_leaves(at, sizes, classes, walk, leaf, spill, size), "rp-cuts").filter("size(nodes) > 0")
+        if fitted.isEmpty():
+            return at
+        rest = at.join(fitted.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
+        at, walk, n = rest.unionByName(_walk_leaves(at, fitted, classes, walk, spill)), walk + 1, n * FEWEST / size
+    return at
 
-    A vector is projected once, on the directions of all levels; what the levels pass on are these numbers and never
-    the vector. A node that is still large after the last level is a leaf like any other.
-    """
-    n = classes.count()
-    levels = min(48, max(1, math.ceil(1.5 * math.log2(max(2.0, n / leaf))) + 4))
-    shot = materialize(classes.select("rep", _projector(trees, levels, d)("v").alias("ps")), "rp-projections")
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
-    at = shot.select("rep", "ps", tree.alias("tree")).select("tree", F.lit(1).cast("long").alias("node"), "rep", F.slice("ps", F.col("tree") * levels + 1, levels).alias("ps"))
-    done, level = [], 0
-    while n > leaf and level < levels:
-        shot = materialize(at, "rp-level").withColumn("p", F.col("ps")[level])
-        cuts = shot.groupBy("tree", "node").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("p", 0.5, 1000).alias("cut")).filter(F.col("n") > leaf)
-        sides = shot.join(cuts, ["tree", "node"]).groupBy("tree", "node", "n", "cut").agg(F.sum((F.col("p") <= F.col("cut") + spill).cast("long")).alias("left"), F.sum((F.col("p") > F.col("cut") - spill).cast("long")).alias("right"))
-        splits = materialize(sides.filter(F.greatest("left", "right") < STUCK * F.col("n")).select("tree", "node", "cut", "left", "right"), "rp-splits")
-        done.append(shot.join(splits, ["tree", "node"], "left_anti").select("tree", "node", "rep"))
-        side = F.when(F.col("p") > F.col("cut") + spill, F.array(F.lit(1))).when(F.col("p") <= F.col("cut") - spill, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))
-        at = shot.join(splits, ["tree", "node"]).select("tree", "node", "rep", "ps", F.explode(side).alias("side")).select("tree", (2 * F.col("node") + F.col("side")).alias("node"), "rep", "ps")
-        n = splits.agg(F.max(F.greatest("left", "right")).alias("n")).first()["n"] or 0
-        level += 1
-    return reduce(DataFrame.unionByName, [*done, at.select("tree", "node", "rep")])
+
+def _fit_leaves(at: DataFrame, sizes: DataFrame, classes: DataFrame, walk: int, leaf: int, spill: float, size: int) -> DataFrame:
+    """(tree, leaf, n, nodes, cuts) for each large leaf, each from a bounded sample of its own."""
+    own = at.join(sizes, ["tree", "leaf"]).filter(F.shiftrightunsigned(F.xxhash64(F.lit(walk), "rep"), 1) < F.lit(float(1 << 63)) * F.lit(float(size)) / F.col("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, n = _unit(np.stack(pdf["v"].to_numpy())), int(pdf["n"].iloc[0])
+        nodes, cuts = _fit(x, _directions(walk, int(pdf["tree"].iloc[0]), x.shape[1]), leaf * len(x) / n, spill)
+        return pd.DataFrame({"tree": pdf["tree"].iloc[:1], "leaf": pdf["leaf"].iloc[:1], "n": [n], "nodes": [nodes], "cuts": [cuts]})
+
+    return own.join(classes.select("rep", "v"), "rep").groupBy("tree", "leaf").applyInPandas(fit, "tree int, leaf long, n long, nodes array<long>, cuts array<double>")
+
+
+def _walk_leaves(at: DataFrame, fitted: DataFrame, classes: DataFrame, walk: int, spill: float) -> DataFrame:
+    """(tree, leaf, rep) of the classes in the leaves that were fitted, a part of a leaf of about PART rows at a time."""
+    parts = fitted.withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
+    rows = at.join(parts.select("tree", "leaf", "parts"), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
+    rows = rows.join(classes.select("rep", "v"), "rep").select("tree", "leaf", "part", "rep", "v")
+    cuts = parts.select("tree", "leaf", "nodes", "cuts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def go(key: tuple, own: pd.DataFrame, split: pd.DataFrame) -> pd.DataFrame:
+        if not len(own):
+            return pd.DataFrame(columns=["tree", "of", "node", "rep"])
+        x = _unit(np.stack(own["v"].to_numpy()))
+        row, node = _walk(x, _directions(walk, int(key[0]), x.shape[1]), np.asarray(split["nodes"].iloc[0]), np.asarray(split["cuts"].iloc[0]), spill)
+        return pd.DataFrame({"tree": key[0], "of": key[1], "node": node, "rep": own["rep"].to_numpy()[row]})
+
+    keys = ["tree", "leaf", "part"]
+    found = rows.groupBy(*keys).cogroup(cuts.groupBy(*keys)).applyInPandas(go, "tree int, of long, node long, rep long")
+    return found.select("tree", F.xxhash64("of", "node").alias("leaf"), "rep")
 
 
 class _Classes:
@@ -144,22 +233,24 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     vectors of their own, and link each by its own vector. Other columns aren't read. Vectors of different lengths link only among
     their own length. An empty table gives no rows.
     """
-    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<double>").alias("v"))
+    # numbers stay as wide as they come: a vector moves once for each leaf that it is in
+    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
+    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v"))
     good = F.expr("v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x != 0)")
     # scaled by a power of two, which changes no direction: squares of very large or small components stay finite
-    top = F.expr("pow(2D, floor(log2(array_max(transform(v, x -> abs(x))))))")
+    top = F.expr("pow(2D, floor(log2(array_max(transform(v, x -> abs(CAST(x AS DOUBLE))))))) AS m")
     own = own.withColumn("ok", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
-    usable = own.filter("ok").withColumn("m", top).select("vec_id", F.expr("transform(v, x -> x / m)").alias("v"))
+    usable = own.filter("ok").select("vec_id", "v", top).select("vec_id", F.expr(f"CAST(transform(v, x -> CAST(x AS DOUBLE) / m) AS {kind})").alias("v"))
     # a class is numbered when it is written; its number is unique even where vec_ids repeat
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "rp-classes")
-    planted = None
-    for (d,) in classes.select(F.size("v").alias("d")).distinct().collect():
-        same = plant(classes.filter(F.size("v") == d).select("rep", "v"), d, trees, leaf, spill).withColumn("leaf", F.expr(f"abs(xxhash64({d}, tree, node))"))
-        planted = same if planted is None else planted.unionByName(same)
-    rest = own.select("vec_id").withColumn("n_links", F.lit(0).cast("long"))
-    if planted is None:
-        return rest.select("vec_id", "n_links", F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    planted = materialize(planted.select("leaf", "rep").distinct(), "rp-leaves")
+    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf)
+    # a length of few vectors is a leaf; those of many get a forest each
+    many = [r["d"] for r in lengths.select("d").collect()]
+    few = classes.filter(~F.size("v").isin(many)) if many else classes
+    planted = few.select(F.xxhash64(F.size("v")).alias("leaf"), "rep")
+    for d in many:
+        planted = planted.unionByName(plant(classes.filter(F.size("v") == d).select("rep", "v"), d, trees, leaf, spill).select("leaf", "rep"))
+    planted = materialize(planted.select(F.shiftrightunsigned("leaf", 1).alias("leaf"), "rep").distinct(), "rp-leaves")
     sizes = planted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", F.expr(f"ceil(n / {float(max(2 * leaf, block))})").cast("int").alias("blocks"))
     of = planted.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     rows = planted.join(sizes, "leaf").join(of, "rep").join(classes.select("rep", "v", "weight"), "rep")

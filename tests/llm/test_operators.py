@@ -231,6 +231,42 @@ def test_embedding_blocks_repeats_and_none(spark):
     assert embedding.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_leaves_of_a_small_sample_are_fitted_again(spark, monkeypatch):
+    """A sample of about 60 of 1,200 vectors gives leaves of hundreds; they get samples of their own, in parts of 100 rows."""
+    monkeypatch.setattr(embedding, "SAMPLE", 60)
+    monkeypatch.setattr(embedding, "PART", 100)
+    r = np.random.default_rng(5)
+    base = r.normal(size=(900, 16))
+    v = np.concatenate([base, base[:300] + 0.04 * r.normal(size=(300, 16))])
+    classes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "rep long, v array<double>")
+    planted = embedding.plant(classes, 16, trees=8, leaf=16, spill=0.05).distinct().toPandas()
+    sizes = planted.groupby(["tree", "leaf"]).size()
+    assert planted.rep.nunique() == len(v) and sizes.max() < 600 and len(sizes) > 8 * 6
+    x = v / np.linalg.norm(v, axis=1, keepdims=True)
+    leaves = [frozenset(k) for k in planted.groupby("rep").leaf.apply(set)]
+    pairs = np.argwhere(np.triu(x @ x.T >= 0.95, 1))
+    assert np.mean([bool(leaves[a] & leaves[b]) for a, b in pairs]) > 0.97
+
+
+def test_embedding_lengths_and_kinds(spark):
+    """Vectors of one length link among themselves, few of a length as many; floats give what doubles give."""
+    r = np.random.default_rng(6)
+    rows = []
+    for k, d in enumerate((2, 3, 5, 8)):
+        base = r.normal(size=(40, d)).astype(np.float32)
+        rows += [(1000 * k + i, x.tolist()) for i, x in enumerate(np.concatenate([base, base * np.float32(3.0)]))]
+    want = None
+    for kind in ("float", "double"):
+        got = embedding.near_duplicates(spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>"), leaf=16).toPandas().set_index("vec_id").sort_index()
+        want = got if want is None else want
+        assert got.equals(want)
+    for k, d in enumerate((2, 3, 5, 8)):
+        x = np.array([v for i, v in rows if i // 1000 == k])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        assert (want.n_links[[i for i, _ in rows if i // 1000 == k]].to_numpy() <= (x @ x.T >= 0.95).sum(axis=1) - 1).all()
+        assert (want.component_id[[1000 * k + 40 + i for i in range(40)]].to_numpy() <= [1000 * k + i for i in range(40)]).all()
+
+
 def test_segments():
     s = np.array([1, -5, 2, -1, 3, -9, 1, -1, 1.0])
     assert toxicity.segments(s) == [(0, 1, 1.0), (2, 5, 4.0), (6, 7, 1.0), (8, 9, 1.0)]
