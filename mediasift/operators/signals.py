@@ -66,9 +66,14 @@ def cross_correlation(df: DataFrame, fps: float, most_ms: float, app: bool = Fal
     """(media_id, offset_ms, peak, confidence) of df(media_id, i, n, v, a): standardised signals multiplied at every lag.
 
     Zeros for fewer than five frames or a signal that hardly varies. With `app` products are averaged over all frames,
-    lags go up to the next whole frame, and the confidence is the peak's height in deviations.
+    lags go up to the next whole frame, and the confidence is the peak's height in deviations. Otherwise a bound below
+    half a frame leaves nothing to search: the signals' correlation with a confidence of a half. Frames of which either
+    signal is null don't count for a lag; a medium has one row, whatever its frames.
     """
-    # Fixed: a bound below one frame leaves nothing to search.
+    if not app and round(most_ms * fps / 1000) < 1:
+        flat = (F.max("n") < 5) | (F.stddev_pop("a") < 1e-4) | (F.stddev_pop("v") < 1e-4)
+        zeros = lambda x: F.when(F.coalesce(flat, F.lit(True)), 0.0).otherwise(x)
+        return df.groupBy("media_id").agg(F.lit(0.0).alias("offset_ms"), zeros(F.try_divide(F.covar_pop("a", "v"), F.stddev_pop("a") * F.stddev_pop("v"))).alias("peak"), zeros(F.lit(0.5)).alias("confidence"))
     everything, frame_ms = W.partitionBy("media_id"), 1000 / fps
     most = -int(-most_ms / 1000 * fps // 1) if app else round(most_ms / frame_ms)
     zed = lambda c: F.try_divide(F.col(c) - F.avg(c).over(everything), F.stddev_pop(c).over(everything))

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mediasift.functions import signals as S
@@ -140,3 +141,21 @@ def test_stores(spark):
     assert sorted(map(tuple, upsert(old.filter("v <> 'b'"), new, ["k"], [F.col("v")]).collect())) == [(1, "z"), (2, "c"), (3, "y")]
     heads = [(bytearray(b"\x89PNG\r\n\x1a\n"), True), (bytearray(b"BM123456"), True), (bytearray(b"RIFF0000WEBP"), True), (bytearray(b"RIFF0000WAVE"), False), (bytearray(b"BM"), False), (None, False)]
     assert [r[0] for r in spark.createDataFrame([(i, h) for i, (h, _) in enumerate(heads)], "i int, c binary").orderBy("i").select(is_picture(F.col("c"))).collect()] == [x for _, x in heads]
+
+
+def test_a_bound_below_a_frame_is_plain_correlation(spark):
+    r = random.Random(6)
+    rows = [(m, i, 12, r.random(), r.random()) for m in (1, 2) for i in range(12)] + [(3, i, 4, r.random(), r.random()) for i in range(4)] + [(4, i, 6, 0.5, r.random()) for i in range(6)]
+    df = spark.createDataFrame(rows, "media_id long, i long, n long, v double, a double")
+    got = {x.media_id: x for x in cross_correlation(df, 5.0, 60).collect()}
+    for m in (1, 2):
+        want = np.corrcoef([x[3] for x in rows if x[0] == m], [x[4] for x in rows if x[0] == m])[0, 1]
+        assert got[m].peak == pytest.approx(want) and (got[m].offset_ms, got[m].confidence) == (0.0, 0.5)
+    assert all(tuple(got[m])[1:] == (0.0, 0.0, 0.0) for m in (3, 4))
+
+
+def test_tracks_leave_out_unknown_boxes(spark):
+    rows = [(1, 0, 5, 0.0, 0.0, 10.0, 10.0), (1, 1, 6, 5.0, 0.0, 10.0, 10.0), (1, 1, 6, 2.0, 0.0, 10.0, 10.0), (None, 0, 7, 0.0, 0.0, 1.0, 1.0), (1, None, 8, 0.0, 0.0, 1.0, 1.0), (1, 2, None, 0.0, 0.0, 1.0, 1.0), (1, 3, 9, None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "media_id long, frame long, box_id long, x double, y double, width double, height double")
+    assert sorted(map(tuple, track(df).collect())) == [(1, 0, 5, 0), (1, 1, 6, 0)]
+    assert track(df.limit(0)).count() == 0
