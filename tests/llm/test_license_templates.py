@@ -91,3 +91,17 @@ def test_scanner_equals_brute_force():
         assert got == brute(text, templates, 0.6)
         seen += len(got)
     assert seen > 500
+
+
+def test_rows_that_are_empty_repeated_long_or_oddly_named(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
+    long_ = " ".join(["filler words that are no licence"] * 4000 + [mit] + ["and more filler that is none"] * 4000)
+    rows = [(1, None), (2, ""), (3, " \n"), (4, "Permission"), (5, mit), (5, mit), (None, mit), (6, long_), (7, mit.upper())]
+    df = spark.createDataFrame([(*r, "GPL", 9, "x") for r in rows], "doc_id long, text string, license string, matches int, best string")
+    found = licenses.scan_licenses(df).collect()
+    assert len(found) == len(rows)
+    of = lambda k: [r for r in found if r.doc_id == k]
+    assert all(r.license is None and r.score == 0.0 and r.n_matches == 0 for k in (1, 2, 3, 4) for r in of(k))
+    assert len(of(5)) == 2 and of(5)[0] == of(5)[1] and of(5)[0].license and of(None)[0].license == of(5)[0].license
+    assert of(6)[0].license == of(5)[0].license and of(6)[0].matches[0]["first"] > 20_000 and of(7)[0].score == of(5)[0].score
+    assert licenses.scan_licenses(df.limit(0)).count() == 0
