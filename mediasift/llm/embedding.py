@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,17 +94,38 @@ def _walk(x: np.ndarray, directions: np.ndarray, nodes: np.ndarray, cuts: np.nda
     return tuple(np.concatenate(x) for x in zip(*done))
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    """Rows of equal length; float numbers widen exactly."""
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _vectors(packed, kind: str) -> np.ndarray:
+    """Packed vectors of equal length as rows; float numbers widen exactly."""
+    return np.frombuffer(b"".join(packed), dtype=kind).reshape(len(packed), -1)
 
 
-def _walk_all(forest, spill: float):
+def _pack(kind: str):
+    """(vec_id, v) with each vector as the bytes of its components over a power of two near the largest, which changes
+    no direction and keeps the squares of very large and small ones finite; null where it has no direction, or no id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            v = batch.column("v")
+            size = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
+            x, first = v.flatten().to_numpy(zero_copy_only=False).astype(float), np.cumsum(size) - size  # nulls are NaN
+            top = np.zeros(len(v))
+            if len(x):
+                top[size > 0] = np.maximum.reduceat(np.abs(x), first[size > 0])
+            good = np.isfinite(top) & (top > 0) & batch.column("vec_id").is_valid().to_numpy(zero_copy_only=False)
+            scale = np.exp2(np.floor(np.log2(np.where(good, top, 1.0))))
+            packed = (x / np.repeat(scale, size) + 0.0).astype(kind)  # no negative zero
+            rows = [packed[a : a + n].tobytes() if ok else None for a, n, ok in zip(first.tolist(), size.tolist(), good.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(rows, pa.binary())], names=["vec_id", "v"])
+
+    return run
+
+
+def _walk_all(forest, spill: float, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, rep = _unit(_vectors(batch.column("v"))), batch.column("rep").to_numpy()
+            x, rep = _unit(_vectors(batch.column("v").to_pylist(), kind)), batch.column("rep").to_numpy()
             for tree, (nodes, cuts) in enumerate(forest.value):
                 row, leaf = _walk(x, _directions(0, tree, x.shape[1]), nodes, cuts, spill)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), tree), pa.int32()), pa.array(leaf), pa.array(rep[row])], names=["tree", "node", "rep"])
@@ -111,41 +133,41 @@ def _walk_all(forest, spill: float):
     return run
 
 
-def plant(classes: DataFrame, d: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
-    """(tree, leaf, rep) for every leaf that a class is in; classes: (rep, v), vectors of length d that have a direction."""
+def plant(classes: DataFrame, d: int, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, kind: str = "<f8") -> DataFrame:
+    """(tree, leaf, rep) for every leaf that a class is in; classes: (rep, v), packed vectors of length d that have a direction."""
     spark, n = classes.sparkSession, classes.count()
     size = min(SAMPLE, (1 << 24) // d)  # 128 MB of numbers at most
     share = size / max(1, n)
     own = classes.filter(sampled("rep", share)) if share < 1 else classes
-    x = own.select("v").toArrow().column("v").combine_chunks()
-    x = _unit(_vectors(x)) if len(x) else np.zeros((0, d))
+    x = own.select("v").toArrow().column("v").to_pylist()
+    x = _unit(_vectors(x, kind)) if x else np.zeros((0, d))
     forest = spark.sparkContext.broadcast([_fit(x, _directions(0, t, d), leaf * len(x) / max(1, n), spill) for t in range(trees)])
-    at = classes.select("rep", "v").mapInArrow(_walk_all(forest, spill), "tree int, node long, rep long").select("tree", F.xxhash64(F.lit(d), "tree", "node").alias("leaf"), "rep")
+    at = classes.select("rep", "v").mapInArrow(_walk_all(forest, spill, kind), "tree int, node long, rep long").select("tree", F.xxhash64(F.lit(d), "tree", "node").alias("leaf"), "rep")
     walk = 1
     while n * FEWEST / size > leaf:  # else no leaf can have been left large for want of a larger sample
         at = materialize(at, "rp-leaves")
         sizes = at.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 8 * leaf)
-        fitted = materialize(_fit_leaves(at, sizes, classes, walk, leaf, spill, size), "rp-cuts").filter("size(nodes) > 0")
+        fitted = materialize(_fit_leaves(at, sizes, classes, walk, leaf, spill, size, kind), "rp-cuts").filter("size(nodes) > 0")
         if fitted.isEmpty():
             return at
         rest = at.join(fitted.select("tree", "leaf"), ["tree", "leaf"], "left_anti")
-        at, walk, n = rest.unionByName(_walk_leaves(at, fitted, classes, walk, spill)), walk + 1, n * FEWEST / size
+        at, walk, n = rest.unionByName(_walk_leaves(at, fitted, classes, walk, spill, kind)), walk + 1, n * FEWEST / size
     return at
 
 
-def _fit_leaves(at: DataFrame, sizes: DataFrame, classes: DataFrame, walk: int, leaf: int, spill: float, size: int) -> DataFrame:
+def _fit_leaves(at: DataFrame, sizes: DataFrame, classes: DataFrame, walk: int, leaf: int, spill: float, size: int, kind: str) -> DataFrame:
     """(tree, leaf, n, nodes, cuts) for each large leaf, each from a bounded sample of its own."""
     own = at.join(sizes, ["tree", "leaf"]).filter(F.shiftrightunsigned(F.xxhash64(F.lit(walk), "rep"), 1) < F.lit(float(1 << 63)) * F.lit(float(size)) / F.col("n"))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, n = _unit(np.stack(pdf["v"].to_numpy())), int(pdf["n"].iloc[0])
+        x, n = _unit(_vectors(pdf["v"].tolist(), kind)), int(pdf["n"].iloc[0])
         nodes, cuts = _fit(x, _directions(walk, int(pdf["tree"].iloc[0]), x.shape[1]), leaf * len(x) / n, spill)
         return pd.DataFrame({"tree": pdf["tree"].iloc[:1], "leaf": pdf["leaf"].iloc[:1], "n": [n], "nodes": [nodes], "cuts": [cuts]})
 
     return own.join(classes.select("rep", "v"), "rep").groupBy("tree", "leaf").applyInPandas(fit, "tree int, leaf long, n long, nodes array<long>, cuts array<double>")
 
 
-def _walk_leaves(at: DataFrame, fitted: DataFrame, classes: DataFrame, walk: int, spill: float) -> DataFrame:
+def _walk_leaves(at: DataFrame, fitted: DataFrame, classes: DataFrame, walk: int, spill: float, kind: str) -> DataFrame:
     """(tree, leaf, rep) of the classes in the leaves that were fitted, a part of a leaf of about PART rows at a time."""
     parts = fitted.withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
     rows = at.join(parts.select("tree", "leaf", "parts"), ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("rep"), "parts").cast("int"))
@@ -155,7 +177,7 @@ def _walk_leaves(at: DataFrame, fitted: DataFrame, classes: DataFrame, walk: int
     def go(key: tuple, own: pd.DataFrame, split: pd.DataFrame) -> pd.DataFrame:
         if not len(own):
             return pd.DataFrame(columns=["tree", "of", "node", "rep"])
-        x = _unit(np.stack(own["v"].to_numpy()))
+        x = _unit(_vectors(own["v"].tolist(), kind))
         row, node = _walk(x, _directions(walk, int(key[0]), x.shape[1]), np.asarray(split["nodes"].iloc[0]), np.asarray(split["cuts"].iloc[0]), spill)
         return pd.DataFrame({"tree": key[0], "of": key[1], "node": node, "rep": own["rep"].to_numpy()[row]})
 
@@ -186,14 +208,13 @@ class _Classes:
             np.minimum.at(self.name, np.maximum(a, b), np.minimum(a, b))
 
 
-def _compare(cosine: float):
+def _compare(cosine: float, kind: str):
     """Links of a leaf, or of two of its blocks: how many each vector has that no earlier leaf shows, and an
     edge from each vector to the smallest one that it reaches here. Pairs are held for one stripe of rows at a time."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", ignore_index=True)  # so that the smallest place is the smallest vector
-        x = np.stack(pdf["v"].to_numpy()).astype(float)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        x = _unit(_vectors(pdf["v"].tolist(), kind))
         rep, weight, part, one = pdf["rep"].to_numpy(), pdf["weight"].to_numpy(), pdf["part"].to_numpy(), pdf["i"].iloc[0] == pdf["j"].iloc[0]
         leaf = int(pdf["leaf"].iloc[0])
         codes = [np.asarray(c) for c in pdf["leaves"]]
@@ -234,35 +255,33 @@ def near_duplicates(vectors: DataFrame, vec_id: str = "vec_id", embedding: str =
     their own length. An empty table gives no rows.
     """
     # numbers stay as wide as they come: a vector moves once for each leaf that it is in
-    kind = "array<float>" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "array<double>"
-    own = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v"))
-    good = F.expr("v IS NOT NULL AND size(v) > 0 AND forall(v, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('infinity')) AND exists(v, x -> x != 0)")
-    # scaled by a power of two, which changes no direction: squares of very large or small components stay finite
-    top = F.expr("pow(2D, floor(log2(array_max(transform(v, x -> abs(CAST(x AS DOUBLE))))))) AS m")
-    own = own.withColumn("ok", F.coalesce(good, F.lit(False)) & F.col("vec_id").isNotNull())
-    usable = own.filter("ok").select("vec_id", "v", top).select("vec_id", F.expr(f"CAST(transform(v, x -> CAST(x AS DOUBLE) / m) AS {kind})").alias("v"))
+    single = vectors.schema[embedding].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
+    read = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
+    own = materialize(read.mapInArrow(_pack(kind), "vec_id long, v binary"), "rp-vectors")
+    usable, length = own.filter("v IS NOT NULL"), (F.octet_length("v") / int(kind[-1])).cast("int")
     # a class is numbered when it is written; its number is unique even where vec_ids repeat
     classes = materialize(usable.groupBy("v").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("weight")).withColumn("rep", F.monotonically_increasing_id()), "rp-classes")
-    lengths = classes.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf)
+    lengths = classes.groupBy(length.alias("d")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > leaf)
     # a length of few vectors is a leaf; those of many get a forest each
     many = [r["d"] for r in lengths.select("d").collect()]
-    few = classes.filter(~F.size("v").isin(many)) if many else classes
-    planted = few.select(F.xxhash64(F.size("v")).alias("leaf"), "rep")
+    few = classes.filter(~length.isin(many)) if many else classes
+    planted = few.select(F.xxhash64(length).alias("leaf"), "rep")
     for d in many:
-        planted = planted.unionByName(plant(classes.filter(F.size("v") == d).select("rep", "v"), d, trees, leaf, spill).select("leaf", "rep"))
+        planted = planted.unionByName(plant(classes.filter(length == d).select("rep", "v"), d, trees, leaf, spill, kind).select("leaf", "rep"))
     planted = materialize(planted.select(F.shiftrightunsigned("leaf", 1).alias("leaf"), "rep").distinct(), "rp-leaves")
     sizes = planted.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("leaf", F.expr(f"ceil(n / {float(max(2 * leaf, block))})").cast("int").alias("blocks"))
     of = planted.groupBy("rep").agg(F.array_sort(F.collect_set("leaf")).alias("leaves"))
     rows = planted.join(sizes, "leaf").join(of, "rep").join(classes.select("rep", "v", "weight"), "rep")
     rows = rows.withColumn("part", F.expr("cast(pmod(xxhash64(rep), blocks) as int)")).select("leaf", "rep", "v", "weight", "leaves", "part", F.explode(F.expr("transform(sequence(0, blocks - 1), k -> struct(least(part, k) AS i, greatest(part, k) AS j))")).alias("x")).select("leaf", "rep", "v", "weight", "leaves", "part", "x.i", "x.j")
-    found = materialize(rows.groupBy("leaf", "i", "j").applyInPandas(_compare(cosine), "rep long, links long, low long"), "rp-found")
+    found = materialize(rows.groupBy("leaf", "i", "j").applyInPandas(_compare(cosine, kind), "rep long, links long, low long"), "rp-found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("rep").alias("a"), F.col("low").alias("b")))
     whole = classes.join(links, "rep", "left").join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     least = whole.groupBy("component").agg(F.min("first").alias("component_id"))
     named = whole.join(least, "component").select("v", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n"), "component_id")
     linked = usable.join(named, "v").select("vec_id", F.col("n").alias("n_links"), "component_id")
-    alone = own.filter("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = own.filter("v IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 

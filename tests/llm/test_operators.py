@@ -238,7 +238,7 @@ def test_embedding_leaves_of_a_small_sample_are_fitted_again(spark, monkeypatch)
     r = np.random.default_rng(5)
     base = r.normal(size=(900, 16))
     v = np.concatenate([base, base[:300] + 0.04 * r.normal(size=(300, 16))])
-    classes = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "rep long, v array<double>")
+    classes = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(v)], "rep long, v binary")
     planted = embedding.plant(classes, 16, trees=8, leaf=16, spill=0.05).distinct().toPandas()
     sizes = planted.groupby(["tree", "leaf"]).size()
     assert planted.rep.nunique() == len(v) and sizes.max() < 600 and len(sizes) > 8 * 6
