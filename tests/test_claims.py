@@ -163,3 +163,17 @@ def test_guard_and_first(spark):
     assert [r.status for r in admitted(df, 2).orderBy("i").collect()] == ["REJECTED", "COMPLETED", "REJECTED"]
     rows = spark.createDataFrame([(1, "h", 5), (1, "h", 2), (2, "h", 1)], "m int, h string, y int")
     assert {tuple(r) for r in keep_first(rows, ["m", "h"], F.col("y")).collect()} == {(1, "h", 2), (2, "h", 1)}
+
+
+def test_entities_are_those_of_plain_scans():
+    """Families are tried only at words with which they may begin; here against every place."""
+    families = [(label, re.compile(p)) for label, p in X.ENTITIES]
+    r = random.Random(12)
+    words = (
+        "The the Microsoft European Union UN Ministry of Health Dr. Prof. Jane Doe O'Neil Prime Minister President New York Delhi Paris Acme Inc. & Sons A&B Summit Cup Games Act May may 5th, 2020 in 1999 IN iN year $5 €3,5 million £ 7 ¥9k 10 dollars 25 percent 3.5% people "
+        "12abc x-Paris (London) U.S.Paris _Mars Mars_ 1987 Jan 3 sept jAN january 31 CEO Satya Bank England ٣ É Élan On 20 2020 , . - ' ! last Last Week yesterday monday İn ın ſunday mOnday TODAY"
+    ).split(" ")
+    for k in range(6000):
+        t = " ".join(r.choice(words[: None if k % 3 else -9]) for _ in range(r.randrange(14)))
+        t = t.replace(" ", r.choice([" ", " ", "", "-", "("]), 1)
+        assert [(a, b, label) for _, label, _, a, b in spans(t)] == X.entity_spans(t, families)
