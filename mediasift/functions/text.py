@@ -283,9 +283,9 @@ def has_word(text: Column, words: list[str]) -> Column:
     return text.rlike(rf"(?U)(?=[{letters}])\b(?:" + "|".join(words) + r")\b")
 
 
-def classified(sentence: Column, has_entities: Column, least: float = 0.5) -> Column:
-    """(claim_type, confidence) of a normalised sentence."""
-    low, count = F.lower(sentence), F.length(sentence) - F.length(F.replace(sentence, F.lit(" "), F.lit(""))) + F.when(sentence != "", 1).otherwise(0)
+def classified(sentence: Column, has_entities: Column, least: float = 0.5, low: Column | None = None) -> Column:
+    """(claim_type, confidence) of a normalised sentence; `low` is the sentence in small letters, if a column has it."""
+    low, count = F.lower(sentence) if low is None else low, F.length(sentence) - F.length(F.replace(sentence, F.lit(" "), F.lit(""))) + F.when(sentence != "", 1).otherwise(0)
     first = F.rtrim(F.substring_index(low, " ", 1), F.lit(",.!?"))
     asks = first.isin(*QUESTION_STARTERS) & (count > 2) & low.rlike("^(" + "|".join(QUESTION_PREFIXES) + ")")
     sure = 0.70 + F.when(has_entities, 0.12).otherwise(0.0) + F.when(sentence.rlike(r"(?U)\b\d+(?:[.,]\d+)?\b"), 0.08).otherwise(0.0) + F.when(has_word(low, VERBS), 0.10).otherwise(0.0)

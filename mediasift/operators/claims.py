@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mediasift.functions import text as X
 from mediasift.operators.containment import first_holders
 from mediasift.operators.registry import query
+from mediasift.sources.blobs import written
 from mediasift.sources.views import STATEMENTS_SQL, segments, spread, statements, table
 
 
@@ -49,7 +50,7 @@ def claims(df: DataFrame, most_sentences: int | None = None) -> DataFrame:
     """
     read = df.select("media_id", X.read_text(F.col("text"), most_sentences).alias("r"))
     each = read.select("media_id", "r.truncated", F.posexplode("r.found").alias("sentence_index", "s")).select("media_id", "truncated", "sentence_index", "s.*")
-    each = staged(each, c=X.classified(F.col("sentence"), F.size("inside") > 0)).select("media_id", "truncated", "sentence_index", "sentence", "start_char", "end_char", "inside", "c.*")
+    each = staged(staged(each, low=F.lower("sentence")), c=X.classified(F.col("sentence"), F.size("inside") > 0, low=F.col("low"))).select("media_id", "truncated", "sentence_index", "sentence", "start_char", "end_char", "inside", "c.*")
     parts = clauses(each).withColumn("entities", F.when(F.col("claim_type") == "FACTUAL_CLAIM", X.named_in(F.col("inside"), F.col("claim_text"))).otherwise(F.col("inside")))
     hashed = X.normal_hash(F.col("claim_text"), F.col("subject"), F.col("action"), F.col("value"))
     return parts.select("media_id", "sentence_index", "part", "claim_text", "claim_type", "confidence", "subject", "action", "value", X.dominant(F.col("entities")).alias("entity_type"), hashed.alias("claim_hash"), "start_char", "end_char", "entities", "truncated")
@@ -81,7 +82,8 @@ def triples(df: DataFrame) -> DataFrame:
 
 def classes(df: DataFrame) -> DataFrame:
     """df(.., sentence) with claim_type and confidence; a dollar sign stands for entities, as on the SQL side."""
-    return staged(df, __x=X.classified(F.col("sentence"), F.contains(F.col("sentence"), F.lit("$")))).select(*df.columns, "__x.*")
+    low = staged(df, __low=F.lower("sentence"))
+    return staged(low, __x=X.classified(F.col("sentence"), F.contains(F.col("sentence"), F.lit("$")), low=F.col("__low"))).select(*df.columns, "__x.*")
 
 
 def keep_first(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
@@ -96,7 +98,7 @@ def provenance(claimed: DataFrame, pieces: DataFrame, place: str) -> DataFrame:
 
     Claims and pieces with a null medium or text meet nothing, an empty text meets every other of its medium.
     """
-    c, p = claimed.select(F.col("media_id").alias("m"), "sentence_index", F.lower("claim_text").alias("t")), pieces.select(F.col("media_id").alias("m"), F.col(place).alias("place"), F.lower("text").alias("p"))
+    c, p = written(claimed.select(F.col("media_id").alias("m"), "sentence_index", F.lower("claim_text").alias("t")), "claimed"), pieces.select(F.col("media_id").alias("m"), F.col(place).alias("place"), F.lower("text").alias("p"))
     found = c.join(first_holders(c, p), ["m", "t"])
     return found.groupBy(F.col("m").alias("media_id"), "sentence_index").agg(F.min("first").alias(place))
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediasift.sources.blobs import written
+
 FEW = 64
 
 
@@ -58,8 +60,8 @@ def held_pairs(shorter: DataFrame, longer: DataFrame) -> DataFrame:
 def first_holders(asking: DataFrame, pieces: DataFrame) -> DataFrame:
     """(m, t, first): of each distinct text of asking(m, t) the least place of pieces(m, place, p) of its medium that it
     holds or is held by. Nulls meet nothing."""
-    a = asking.select("m", "t").dropna().distinct()
-    p = pieces.dropna().groupBy("m", "p").agg(F.min("place").alias("place"))
+    a = written(asking.select("m", "t").dropna().distinct(), "asking")
+    p = written(pieces.dropna().groupBy("m", "p").agg(F.min("place").alias("place")), "pieces")
     sizes = a.groupBy("m").agg(F.count(F.lit(1)).alias("x")).join(p.groupBy("m").agg(F.count(F.lit(1)).alias("y")), "m")
     many = sizes.filter(f"x * y > {FEW} * (x + y)").select("m", F.lit(True).alias("many"))
     direct = lambda a, p: a.join(p, "m").filter(F.contains("p", "t") | F.contains("t", "p")).select("m", "t", "place")
