@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from mediasift.sources.blobs import written
+
 BLOCK = 4096
 #: (prints, prints of the others) -> matrix of costs, the lower the nearer.
 Compare = Callable[[np.ndarray, np.ndarray], np.ndarray]
@@ -101,16 +103,18 @@ def close_hashes(probes: DataFrame, stored: DataFrame, limit: int) -> DataFrame:
     masks = F.array(*(F.lit(m).cast("long") for m in range(1 << WIDTH) if m.bit_count() <= radius))
     asked = probes.select("print", F.explode(_parts("print")).alias("part")).select("print", F.explode(F.transform(masks, lambda m: F.col("part").bitwiseXOR(m))).alias("key"))
     kept = stored.select(F.col("print").alias("other"), "first", "second", F.explode(_parts("print")).alias("key"))
-    met = asked.join(kept, "key").withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("other"))))
+    # neighbours are 137 times the rows that Spark takes them for: never to be broadcast
+    met = asked.hint("merge").join(kept.hint("merge"), "key").withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("other"))))
     return met.filter((F.col("distance") <= limit) & (F.col("print") != F.col("other"))).drop("key")
 
 
 def near_hashes(prints: DataFrame, limit: int = 10) -> DataFrame:
     """What nearest_others gives for hashes of 64 bits, for limits up to 11: (media_id, duplicate_of, cost)."""
-    rows, first, second = _by_print(prints)
-    copies = first.join(second, "print", "left")
+    rows, first, second = _by_print(written(prints.select("media_id", "print"), "prints"))
+    copies = written(first.join(second, "print", "left"), "copies")
+    first = copies.select("print", "first")
     met = close_hashes(first.select("print"), copies, limit)
-    best = met.groupBy("print").agg(F.min(F.struct("distance", "first")).alias("m"))
+    best = written(met.groupBy("print").agg(F.min(F.struct("distance", "first")).alias("m")), "nearest")
     # a medium of several prints may be its own nearest: those rows look again, for others
     whole = rows.join(copies, "print").join(best, "print", "left")
     own = whole.filter("first = media_id AND second IS NULL AND m.first = media_id").select("media_id", "print").distinct()
