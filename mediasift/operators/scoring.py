@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediasift.operators.registry import query
+from mediasift.operators.registry import half_up_sql, query
 from mediasift.sources.views import FRAMES_SQL, LINES_SQL, MEDIA_SQL, SCORED_SQL, SEGMENTS_SQL, frames, lines, media, scored_labels, segments, table
 
 #: Software that edits pictures, software that encodes anew, makers of cameras, software that a camera doesn't run.
@@ -309,7 +309,7 @@ def r7v(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "r8_fused_offset",
-    f"WITH {PROBE_SQL} SELECT event_id, CASE WHEN q >= 0.35 AND r >= 0.35 THEN round((offset_ms * q + net_ms * r) / (q + r), 1) WHEN q >= 0.35 THEN offset_ms WHEN r >= 0.35 THEN net_ms ELSE offset_ms END AS offset_ms FROM probe",
+    f"WITH {PROBE_SQL} SELECT event_id, CASE WHEN q >= 0.35 AND r >= 0.35 THEN {half_up_sql('(offset_ms * q + net_ms * r) / (q + r)', 1)} WHEN q >= 0.35 THEN offset_ms WHEN r >= 0.35 THEN net_ms ELSE offset_ms END AS offset_ms FROM probe",
 )
 def r8(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
