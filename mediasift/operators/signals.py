@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from mediasift.functions import signals as S
 from mediasift.functions.spectra import acceleration_of, cosine_weights, decibels, forensics_of, log_mel_of, mel_weights, pitch_of, print_of, weighted, yin_of
-from mediasift.operators.registry import query
+from mediasift.operators.registry import half_up_sql, query
 from mediasift.operators.timeline import apart_spans, islands, merge_intervals
 from mediasift.sources.views import FRAMES_SQL, frames, table
 
@@ -266,7 +266,7 @@ MISMATCHES_SQL = (
 @query(
     "w4_mismatches",
     f"WITH {MISMATCHES_SQL}, g AS (SELECT *, coalesce(start > max(\"end\") OVER (PARTITION BY media_id, kind ORDER BY start, \"window\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 0.25, true) AS fresh FROM mm), s AS (SELECT *, sum(fresh::INT) OVER (PARTITION BY media_id, kind ORDER BY start, \"window\" ROWS UNBOUNDED PRECEDING) AS island FROM g) "
-    "SELECT media_id, kind, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n, CASE WHEN bool_or(severity = 'HIGH') THEN 'HIGH' ELSE arg_min(severity, (start, \"window\")) END AS severity, list_reduce(list(CAST(offset_ms AS DOUBLE) ORDER BY start, \"window\"), lambda a, b: round((a + b) / 2, 1)) AS offset_ms FROM s GROUP BY media_id, kind, island",
+    f"SELECT media_id, kind, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n, CASE WHEN bool_or(severity = 'HIGH') THEN 'HIGH' ELSE arg_min(severity, (start, \"window\")) END AS severity, list_reduce(list(CAST(offset_ms AS DOUBLE) ORDER BY start, \"window\"), lambda a, b: {half_up_sql('(a + b) / 2', 1)}) AS offset_ms FROM s GROUP BY media_id, kind, island",
 )
 def w4(spark: SparkSession, d: str) -> DataFrame:
     """Mismatching windows of a second, those of one kind within a quarter of a second merged."""

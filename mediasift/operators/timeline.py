@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from mediasift.operators.registry import query
+from mediasift.operators.registry import half_up_sql, query
 from mediasift.operators.scan import MANY, RANGE, by_size, carried
 from mediasift.sources.views import FRAMES_SQL, LINES_SQL, frames, lines, table
 
@@ -230,7 +230,7 @@ def w3(spark: SparkSession, d: str) -> DataFrame:
     f"WITH {FRAMES_SQL}, s AS (SELECT media_id, event_type AS kind, t AS start, t + 100000 * score AS \"end\", CASE WHEN score > 0.6 THEN 'HIGH' ELSE 'MEDIUM' END AS severity, CAST(event_id % 201 AS DOUBLE) - 100 AS offset_ms, event_id AS seq FROM frames), "
     "g AS (SELECT *, coalesce(start > max(\"end\") OVER (PARTITION BY media_id, kind ORDER BY start, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3600, true) AS fresh FROM s), "
     "k AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY media_id, kind ORDER BY start, seq ROWS UNBOUNDED PRECEDING) AS island FROM g) "
-    "SELECT media_id, kind, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n, CASE WHEN bool_or(severity = 'HIGH') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, list_reduce(list(offset_ms ORDER BY start, seq), lambda a, b: round((a + b) / 2, 1)) AS offset_ms FROM k GROUP BY media_id, kind, island",
+    f"SELECT media_id, kind, min(start) AS start, max(\"end\") AS \"end\", count(*) AS n, CASE WHEN bool_or(severity = 'HIGH') THEN 'HIGH' ELSE 'MEDIUM' END AS severity, list_reduce(list(offset_ms ORDER BY start, seq), lambda a, b: {half_up_sql('(a + b) / 2', 1)}) AS offset_ms FROM k GROUP BY media_id, kind, island",
 )
 def w5(spark: SparkSession, d: str) -> DataFrame:
     f = frames(spark, d).select("media_id", F.col("event_type").alias("kind"), F.col("t").alias("start"), (F.col("t") + 100000 * F.col("score")).alias("end"), F.when(F.col("score") > 0.6, "HIGH").otherwise("MEDIUM").alias("severity"), ((F.col("event_id") % 201).cast("double") - 100).alias("offset_ms"), F.col("event_id").alias("seq"))
@@ -241,7 +241,7 @@ def w5(spark: SparkSession, d: str) -> DataFrame:
     "w6_text_consolidation",
     f"WITH {LINES_SQL}, r AS (SELECT *, lower(trim(text, ' ')) AS key, 0.5 + (y % 50) / 100 AS confidence FROM lines), g AS (SELECT *, coalesce(abs(start - lag(\"end\") OVER (PARTITION BY media_id, key ORDER BY start, y)) > 1.5, true) AS fresh FROM r WHERE key <> ''), "
     "k AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY media_id, key ORDER BY start, y ROWS UNBOUNDED PRECEDING) AS island FROM g) "
-    "SELECT media_id, key AS text, min(start) AS start, arg_max(\"end\", (start, y)) AS \"end\", min(y) AS y, count(*) AS n, list_reduce(list(CAST(confidence AS DOUBLE) ORDER BY start, y), lambda a, b: round((a + b) / 2, 4)) AS confidence FROM k GROUP BY media_id, key, island",
+    f"SELECT media_id, key AS text, min(start) AS start, arg_max(\"end\", (start, y)) AS \"end\", min(y) AS y, count(*) AS n, list_reduce(list(CAST(confidence AS DOUBLE) ORDER BY start, y), lambda a, b: {half_up_sql('(a + b) / 2', 4)}) AS confidence FROM k GROUP BY media_id, key, island",
 )
 def w6(spark: SparkSession, d: str) -> DataFrame:
     return consolidate_text(lines(spark, d).withColumn("confidence", 0.5 + (F.col("y") % 50) / 100), 1.0)
