@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediasift.operators.registry import query
-from mediasift.sources.views import table
+from mediasift.sources.views import spread, table
 
 # Where each field is looked up, in this order: (field, kind, directory, tag).
 RULES = [
@@ -97,6 +97,20 @@ def resolved(tree: Column) -> Column:
     return F.struct(*(own[f.split(" ")[0]].cast(f.split(" ")[1]).alias(f.split(" ")[0]) for f in FIELDS.split(", ")))
 
 
+def compiled_apart(df: DataFrame, bytes_: int = 8000) -> DataFrame:
+    """df, with its session set to leave stages whose method is longer than the JVM compiles to the plans' own operators,
+    whose expressions are cut into methods of their own; interpreted, a lookup costs ten times as much."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    if int(df.sparkSession.conf.get(name)) > bytes_:
+        df.sparkSession.conf.set(name, str(bytes_))
+    return df
+
+
+def with_fields(df: DataFrame, tree: str = "tree") -> DataFrame:
+    """df with the fields of FIELDS from a tree; the tree is a column that is there or is computed once."""
+    return compiled_apart(df).withColumn("__x", resolved(F.col(tree))).select(*df.columns, "__x.*")
+
+
 def printed(exiftool: Column, mediainfo: Column) -> Column:
     """The fields of FIELDS from the JSON that two tools print, that of the first before that of the second. Broken JSON
     gives nothing; a number that isn't one is 0 for the first tool and missing for the second."""
@@ -126,7 +140,7 @@ def usable(found: Column) -> Column:
 
 def with_metadata(df: DataFrame, tree: str = "tree", exiftool: str = "exiftool", mediainfo: str = "mediainfo") -> DataFrame:
     """df with the fields of FIELDS and `engine`, CLI or JAVA: what the tools printed if it is usable, else the tree's."""
-    both = df.withColumn("__cli", printed(F.col(exiftool), F.col(mediainfo))).withColumn("__tree", resolved(F.col(tree)))
+    both = compiled_apart(df).withColumn("__cli", printed(F.col(exiftool), F.col(mediainfo))).withColumn("__tree", resolved(F.col(tree)))
     # explode keeps the optimiser from computing each field's source anew
     chosen = both.withColumn("__m", F.explode(F.array(F.when(usable(F.col("__cli")), F.struct(F.lit("CLI").alias("engine"), F.col("__cli").alias("x"))).otherwise(F.struct(F.lit("JAVA").alias("engine"), F.col("__tree").alias("x"))))))
     return chosen.select(*df.columns, "__m.x.*", F.col("__m.engine").alias("engine"))
@@ -165,7 +179,8 @@ def headers(spark: SparkSession, d: str) -> DataFrame:
         entries = [f"struct('{n}' AS key, {e} AS value)" for (of, n), e in _TAGS.items() if of == directory]
         own[directory] = f"struct('{directory}' AS key, CASE WHEN {when} THEN map_from_entries(filter(array({', '.join(entries)}), x -> x.value IS NOT NULL)) END AS value)"
     tree = f"map_from_entries(filter(array({', '.join(own.values())}), x -> x.value IS NOT NULL))"
-    return table(spark, d, "events").selectExpr("event_id", f"{tree} AS tree", f"{_EXIFTOOL} AS exiftool", f"{_MEDIAINFO} AS mediainfo")
+    given = spread(table(spark, d, "events").select("event_id", "user_id", "event_type"), 200_000)
+    return given.selectExpr("event_id", f"{tree} AS tree", f"{_EXIFTOOL} AS exiftool", f"{_MEDIAINFO} AS mediainfo")
 
 
 _NAME = {k: f"t{i}" for i, k in enumerate(_TAGS)}
@@ -204,7 +219,7 @@ def _shown(df: DataFrame) -> DataFrame:
 
 @query("s9_header_fields", f"WITH {HEADERS_SQL} SELECT * FROM h2")
 def s9(spark: SparkSession, d: str) -> DataFrame:
-    return _shown(headers(spark, d).select("event_id", F.explode(F.array(resolved(F.col("tree")))).alias("x")).select("event_id", "x.*"))
+    return _shown(with_fields(headers(spark, d)).drop("tree", "exiftool", "mediainfo"))
 
 
 _BY_INFO = {0: {"width": "854", "height": "480", "container": "'Matroska'", "duration": "12.5", "bitrate": "9000", "video_codec": "'VP9'", "frame_rate": "25.0"}, 1: {"audio_codec": "'Opus'", "audio_sample_rate": "16000", "audio_channels": "1"}, 2: {"audio_codec": "'Opus'"}}

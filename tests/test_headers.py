@@ -71,3 +71,11 @@ def test_tools_come_first_if_usable(spark):
     assert film == {"engine": "CLI", "width": 3, "height": 5, "duration": 1.5, "bitrate": 7, "exif_present": False}
     assert null == {"engine": "CLI", "camera_make": "null", "exif_present": True}
     assert headers.with_metadata(spark.createDataFrame([], TREE)).count() == 0
+
+
+def test_work_on_one_file_is_dealt(spark, tmp_path):
+    """One small file is a part for every core, and methods too long for the compiler aren't made."""
+    spark.range(100).selectExpr("id AS event_id", "id AS user_id", "'x' AS event_type").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    fields = headers.s9(spark, str(tmp_path))
+    assert fields.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+    assert fields.count() == 100 and fields.filter("width IS NOT NULL").count() > 0
