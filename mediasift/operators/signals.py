@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -520,37 +521,41 @@ def track(frames_: DataFrame, near: float = 80.0) -> DataFrame:
     A box without a medium, frame or id, or of unknown place or size is in no track and gives no row; of rows that repeat
     an id in a frame the one least by place and size counts. An empty table gives no rows.
     """
-    keys = ["media_id", "frame", "box_id"]
-    frames_ = frames_.select(*keys, "x", "y", "width", "height").dropna().groupBy(*keys).agg(F.min(F.struct("x", "y", "width", "height")).alias("b")).select(*keys, "b.*")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state: dict = {}
-        for pdf in batches:
-            out = []
-            for (media, frame), own in pdf.groupby(["media_id", "frame"], sort=False):
-                if state.get("media") != media:
-                    state = {"media": media, "tracks": {}, "next": 0}
-                free = {r.box_id: (r.x, r.y, r.width, r.height) for r in own.itertuples()}
-                now = {}
-                for name, last in state["tracks"].items():
+    keys, sides = ["media_id", "frame", "box_id"], ["x", "y", "width", "height"]
+    boxes = frames_.select(*keys, *sides).dropna().groupBy(*keys).agg(F.min(F.struct(*sides)).alias("b"))
+    each = boxes.groupBy("media_id", "frame").agg(F.array_sort(F.collect_list(F.struct("box_id", "b.*"))).alias("b")).repartition("media_id").sortWithinPartitions("media_id", "frame")
+    kinds = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    # columns of lists: a frame's boxes are never rows of their own in Python, nor groups of pandas
+    rows = each.select("media_id", "frame", *(F.col(f"b.{n}").alias(n) for n in ("box_id", *sides)))
+    found = rows.mapInArrow(_followed(near), f"media_id {kinds['media_id']}, frame {kinds['frame']}, box_id array<{kinds['box_id']}>, track array<bigint>")
+    return found.select("media_id", "frame", F.explode(F.arrays_zip("box_id", "track")).alias("t")).select("media_id", "frame", "t.box_id", "t.track")
+
+
+def _followed(near: float):
+    """Frames (media_id, frame, box_id, x, y, width, height), the last five as lists, by medium and frame in order: box_id
+    and track as lists. What is held between batches is one medium's last frame."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        medium, tracks, fresh = None, {}, 0
+        for batch in batches:
+            ids, names = [], []
+            for media, _, boxes, *sides in zip(*(c.to_pylist() for c in batch.columns)):
+                if media != medium:
+                    medium, tracks, fresh = media, {}, 0
+                free, now, own = dict(zip(boxes, zip(*sides))), {}, {}
+                for name, last in tracks.items():
                     best = min(((d, b) for b, box in free.items() for d, o in [_closeness(last, box)] if d < near or o > 0.3), default=None, key=lambda x: x[0])
                     if best:
-                        now[name] = free.pop(best[1])
-                        out.append((media, frame, best[1], name))
+                        now[name], own[best[1]] = free.pop(best[1]), name
                 for b, box in free.items():
-                    now[state["next"]] = box
-                    out.append((media, frame, b, state["next"]))
-                    state["next"] += 1
-                state["tracks"] = now
-            yield pd.DataFrame(out, columns=["media_id", "frame", "box_id", "track"])
+                    now[fresh], own[b] = box, fresh
+                    fresh += 1
+                tracks = now
+                ids.append(boxes)
+                names.append([own[b] for b in boxes])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, batch.column(2).type), pa.array(names, pa.list_(pa.int64()))], names=["media_id", "frame", "box_id", "track"])
 
-    rows = frames_.groupBy("media_id", "frame").agg(F.array_sort(F.collect_list(F.struct("box_id", "x", "y", "width", "height"))).alias("b")).repartition("media_id").sortWithinPartitions("media_id", "frame")
-
-    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from run(pd.DataFrame([(r.media_id, r.frame, *(x[k] for k in ("box_id", "x", "y", "width", "height"))) for r in pdf.itertuples() for x in r.b], columns=["media_id", "frame", "box_id", "x", "y", "width", "height"]) for pdf in batches)
-
-    kinds = {f.name: f.dataType.simpleString() for f in frames_.schema}
-    return rows.mapInPandas(unpacked, f"media_id {kinds['media_id']}, frame {kinds['frame']}, box_id {kinds['box_id']}, track long")
+    return run
 
 
 def _closeness(a: tuple, b: tuple) -> tuple[float, float]:

@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mediasift.functions import signals as S
 from mediasift.operators.catalog import bounded_json, delete_then_insert, is_picture, upsert
-from mediasift.operators.signals import _closeness, best_lag, clip_frames, cross_correlation, numbered, onset_peaks, peaks, track
+from mediasift.operators.signals import _closeness, _followed, best_lag, clip_frames, cross_correlation, numbered, onset_peaks, peaks, track
 
 
 def series(n, seed, levels=None):
@@ -159,3 +160,19 @@ def test_tracks_leave_out_unknown_boxes(spark):
     df = spark.createDataFrame(rows, "media_id long, frame long, box_id long, x double, y double, width double, height double")
     assert sorted(map(tuple, track(df).collect())) == [(1, 0, 5, 0), (1, 1, 6, 0)]
     assert track(df.limit(0)).count() == 0
+
+
+def test_peaks_call_python_for_many_runs_at_once(spark):
+    df = spark.createDataFrame([(1, i, float(i % 2)) for i in range(20)], "media_id long, i long, score double")
+    plan = peaks(df, 0.4, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroups" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+@pytest.mark.parametrize("size", [1, 2, 100])
+def test_tracks_go_on_from_batch_to_batch(size):
+    """Frames come as lists of boxes; where a batch ends makes no difference."""
+    frames = [(m, f, [1, 2], [0.0 + f, 300.0 - f], [0.0, 0.0], [9.0, 9.0], [9.0, 9.0]) for m in (1, 2) for f in range(5)]
+    names = ["media_id", "frame", "box_id", "x", "y", "width", "height"]
+    batches = [pa.RecordBatch.from_pydict({n: [r[k] for r in frames[at : at + size]] for k, n in enumerate(names)}) for at in range(0, len(frames), size)]
+    got = [r for b in _followed(80.0)(iter(batches)) for r in b.to_pylist()]
+    assert [(r["media_id"], r["frame"], r["track"]) for r in got] == [(m, f, [0, 1]) for m in (1, 2) for f in range(5)]
