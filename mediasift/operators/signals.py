@@ -161,15 +161,27 @@ def mismatches_app(df: DataFrame, fps: float, offset_ms: Column, window: float =
 
 
 def _tallest(distance: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Peaks that no taller one within `distance` suppresses; of equal ones the later."""
-        kept: list[int] = []
-        for place, _ in sorted(zip(pdf["i"], pdf["score"]), key=lambda x: (-x[1], -x[0])):
-            if all(abs(place - k) >= distance for k in kept):
-                kept.append(place)
-        return pdf[pdf["i"].isin(kept)][["media_id", "i", "score"]]
-
-    return run
+    """Of a run's peaks (i in order, score) the places of those that stay: none nearer than `distance` to a taller one, of
+    equals the later."""
+
+    @F.arrow_udf("array<int>")
+    def kept(places: pa.Array, scores: pa.Array) -> pa.Array:
+        out = []
+        for i, score in zip(places.to_pylist(), scores.to_pylist()):
+            gone, own = [False] * len(i), []
+            for at in sorted(range(len(i)), key=lambda k: (-score[k], -i[k])):
+                if gone[at]:
+                    continue
+                own.append(at)
+                for step in (-1, 1):
+                    k = at + step
+                    while 0 <= k < len(i) and abs(i[k] - i[at]) < distance:
+                        gone[k] = True
+                        k += step
+            out.append(own)
+        return pa.array(out, pa.list_(pa.int32()))
+
+    return kept
 
 
 def peaks(df: DataFrame, height: float, distance: int) -> DataFrame:
@@ -185,8 +197,10 @@ def peaks(df: DataFrame, height: float, distance: int) -> DataFrame:
     high = tops.withColumn("up", F.lag("score").over(x) < F.col("score")).withColumn("down", F.lead("score").over(x) < F.col("score")).filter((F.col("score") >= height) & F.col("up") & F.col("down"))
     found = high.select("media_id", F.floor((F.col("first") + F.col("last")) / 2).alias("i"), "score")
     runs = islands(found.withColumn("new", F.coalesce(F.col("i") - F.lag("i").over(w) >= distance, F.lit(True))), ["media_id"], ["i"], F.col("new"))
-    kind = df.schema["media_id"].dataType.simpleString()
-    return runs.groupBy("media_id", "island").applyInPandas(_tallest(distance), f"media_id {kind}, i long, score double")
+    each = runs.groupBy("media_id", "island").agg(F.array_sort(F.collect_list(F.struct("i", "score"))).alias("p")).select("media_id", "p")
+    # many runs in a batch: a call of Python for each costs more than its peaks
+    kept = each.select("media_id", "p", F.explode(_tallest(distance)(F.col("p.i"), F.col("p.score"))).alias("at"))
+    return kept.select("media_id", F.expr("p[at]").alias("x")).select("media_id", "x.i", "x.score")
 
 
 def onset_peaks(df: DataFrame, wait: int = 10, quantile: float = 0.96) -> DataFrame:
