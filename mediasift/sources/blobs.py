@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mediasift.sources.views import small_batches
+
 
 def clean_key(key: Column) -> Column:
     """A key without leading slashes and with `.` and `..` resolved; null for null, blank and empty ones and for those that leave the folder."""
@@ -53,9 +55,13 @@ def _each(folder: str, act):
 
 
 def _write(fs, path: str, row: dict) -> bool:
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
     part = f"{path}.{uuid.uuid4().hex}.tmp"
-    with fs.open_output_stream(part) as out:
+    try:
+        out = fs.open_output_stream(part)
+    except OSError:  # the first file of its folder
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        out = fs.open_output_stream(part)
+    with out:
         out.write(row["content"])
     fs.move(part, path)
     return True
@@ -70,7 +76,7 @@ def _remove(fs, path: str, row: dict) -> bool:
 
 def store(blobs: DataFrame, folder: str) -> DataFrame:
     """Write blobs (key, content); (key, done) of each with a valid key. A file appears whole, by a rename, so a task may run again."""
-    rows = blobs.select(clean_key(F.col("key")).alias("key"), "content").filter("key IS NOT NULL AND content IS NOT NULL")
+    rows = small_batches(blobs).select(clean_key(F.col("key")).alias("key"), "content").filter("key IS NOT NULL AND content IS NOT NULL")
     return rows.mapInPandas(_each(folder, _write), "key string, done boolean")
 
 
@@ -80,11 +86,30 @@ def remove(keys: DataFrame, folder: str) -> DataFrame:
 
 
 def exists(keys: DataFrame, folder: str) -> DataFrame:
+    """(key, done) of distinct valid keys: whether there is a file."""
     return keys.select(clean_key(F.col("key")).alias("key")).filter("key IS NOT NULL").distinct().mapInPandas(_each(folder, lambda fs, path, row: fs.get_file_info(path).is_file), "key string, done boolean")
 
 
-def load(spark: SparkSession, keys: DataFrame, folder: str) -> DataFrame:
-    """(key, content) of the files of keys, by Spark's reader of binary files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.substring_index("path", folder.removeprefix("file://").rstrip("/") + "/", -1)
-    return files.select(name.alias("key"), "content").join(keys.select(clean_key(F.col("key")).alias("key")).distinct(), "key", "left_semi")
+def load(spark: SparkSession, keys: DataFrame, folder: str, most_bytes: int = 8 << 20) -> DataFrame:
+    """(key, content) of the files of keys, opened by executors by their names: a list of all files would be the driver's, and
+    Spark's reader of files counts each as megabytes. Keys without a file give no row; a batch holds few files."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem, FileType
+
+        fs, base = FileSystem.from_uri(folder)
+        for pdf in batches:
+            names, held, size = [], [], 0
+            for key, info in zip(pdf["key"], fs.get_file_info([f"{base}/{k}" for k in pdf["key"]])):
+                if info.type != FileType.File:
+                    continue
+                with fs.open_input_stream(info.path) as file:
+                    names.append(key)
+                    held.append(file.read())
+                size += len(held[-1])
+                if size >= most_bytes:
+                    yield pd.DataFrame({"key": names, "content": held})
+                    names, held, size = [], [], 0
+            yield pd.DataFrame({"key": names, "content": held}, dtype=object)
+
+    return small_batches(keys).select(clean_key(F.col("key")).alias("key")).filter("key IS NOT NULL").distinct().mapInPandas(run, "key string, content binary")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from mediasift.operators import registry
 from mediasift.operators.catalog import latest, orphans, repeated_keys, safe_name, search, violations
 from mediasift.operators.dedup import acoustic_similarity, bits_of_hex, exact_duplicates, hamming_hex, perceptual_duplicates
+from mediasift.sources.blobs import load, store
 
 
 def test_every_sql_has_a_query():
@@ -44,3 +45,14 @@ def test_names_and_search(spark):
     names = [r[0] for r in df.select(safe_name(F.col("n"))).collect()]
     assert names[0] == "a_b_.png" and len(names[1]) == 255 and names[1].endswith(".jpg")
     assert search(df, "the", ["t"]).count() == 1
+
+
+def test_files_are_read_by_their_keys(spark, tmp_path):
+    """No list of all files: whatever a name begins with, only what is asked for is opened, and missing ones give no row."""
+    folder = f"file://{tmp_path}/blobs"
+    blobs = spark.createDataFrame([("a/_x", b"1"), ("b/.y", b""), ("c", b"333"), ("a/z", b"4")], "key string, content binary")
+    assert store(blobs, folder).count() == 4
+    keys = spark.createDataFrame([("a/_x",), ("./a/_x",), ("b/.y",), ("c",), ("a",), ("none/d",), ("../c",), (None,)], "key string")
+    got = load(spark, keys, folder, 1)
+    assert "BinaryFile" not in got._jdf.queryExecution().executedPlan().toString() and "binaryFile" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.key, bytes(r.content)) for r in got.collect()) == [("a/_x", b"1"), ("b/.y", b""), ("c", b"333")]
