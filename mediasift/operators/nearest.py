@@ -29,8 +29,8 @@ Compare = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def hamming_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of 64-bit numbers."""
-    return np.bitwise_count(np.asarray(a, dtype=np.int64).view(np.uint64)[:, None] ^ np.asarray(b, dtype=np.int64).view(np.uint64)[None, :]).astype(np.float64)
+    """Differing bits of 64-bit numbers, as bytes: of wider ones the search for the least takes several times as long."""
+    return np.bitwise_count(np.asarray(a, dtype=np.int64).view(np.uint64)[:, None] ^ np.asarray(b, dtype=np.int64).view(np.uint64)[None, :])
 
 
 def acoustic_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -40,21 +40,25 @@ def acoustic_costs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     for row, own in zip(frames, b):
         row[: len(own)] = np.asarray(own, dtype=np.int64) & 65535
     even, longest = bool((size == size[0]).all()) if len(size) else True, frames.shape[1]
+    by_place = np.ascontiguousarray(frames.T)  # the same frame of all others side by side
     out = np.zeros((len(a), len(b)))
     for best, own in zip(out, a):
         own, most = (np.asarray(own, dtype=np.int64) & 65535).astype(np.uint16), np.minimum(5, np.minimum(len(own), size) // 2)
         for s in range(-int(most.max(initial=0)), int(most.max(initial=0)) + 1) if len(own) else ():
             first, second = max(0, s), max(0, -s)
-            n = np.minimum(len(own) - first, size - second)
             width = min(len(own) - first, longest - second)
             if width < 1:
                 continue
-            wrong = np.bitwise_count(frames[:, second : second + width] ^ own[first : first + width])
-            if not even:
-                wrong = wrong * (np.arange(width) < n[:, None])
+            wrong = np.zeros(len(b), dtype=np.uint16 if width < 4096 else np.int64)
+            for k in range(width):
+                bits = np.bitwise_count(by_place[second + k] ^ own[first + k])
+                wrong += bits if even else bits * (size > second + k)
+            if even:  # one width for all, and each shift is allowed
+                np.minimum(best, wrong / (16.0 * width) - 1, out=best)
+                continue
+            n = np.minimum(len(own) - first, size - second)
             valid = (n > 0) & (abs(s) <= most)
-            similarity = np.where(valid, 1 - wrong.sum(axis=1, dtype=np.int64) / (16.0 * np.maximum(n, 1)), 0.0)
-            np.minimum(best, -similarity, out=best)
+            np.minimum(best, np.where(valid, wrong / (16.0 * np.maximum(n, 1)) - 1, 0.0), out=best)
     return out
 
 
@@ -67,14 +71,19 @@ def _block_pairs(compare: Compare, limit: float, rows: int):
                 ids = np.asarray(ids, dtype=np.int64)  # in order, so the first of equal costs is the earliest
                 for at in range(0, len(probes), rows):
                     costs = compare(probes[at : at + rows], others)
-                    for again in (False, True):
-                        if again:
-                            costs[ids[None, :] == ids[best][:, None]] = np.inf
-                        best = costs.argmin(axis=1)
-                        least = costs[np.arange(len(best)), best]
-                        near = np.nonzero(least <= limit)[0]
-                        if len(near):
-                            yield pd.DataFrame({"i": i, "place": near + at, "cost": least[near], "other": ids[best[near]]})
+                    best = costs.argmin(axis=1)
+                    least = costs[np.arange(len(best)), best]
+                    near = np.nonzero(least <= limit)[0]
+                    if not len(near):
+                        continue
+                    yield pd.DataFrame({"i": i, "place": near + at, "cost": least[near].astype(np.float64), "other": ids[best[near]]})
+                    # only what is near is searched again, without the rows of what was found
+                    costs = np.where(ids[None, :] == ids[best[near]][:, None], np.inf, costs[near])
+                    best = costs.argmin(axis=1)
+                    least = costs[np.arange(len(best)), best]
+                    more = np.nonzero(least <= limit)[0]
+                    if len(more):
+                        yield pd.DataFrame({"i": i, "place": near[more] + at, "cost": least[more], "other": ids[best[more]]})
 
     return run
 

@@ -92,3 +92,18 @@ def test_a_sound_is_an_acoustic_duplicate_only_after_the_others(spark):
     heard = spark.createDataFrame([(1, 7, 0.9), (2, 7, 0.9), (3, 7, 0.875)], "media_id long, a long, s double")
     got = sorted(tuple(x) for x in cascade(m, exact, near, heard).collect())
     assert got == [(1, 9, "EXACT", 1.0), (2, 8, "PERCEPTUAL", 0.75), (3, 7, "ACOUSTIC", 0.875), (4, None, "NONE", 0.0)]
+
+
+def test_costs_of_hashes_are_bytes_and_second_best_is_sought_near_only():
+    """Blocks are searched as bytes; a print without another near it is searched once."""
+    import numpy as np
+    import pandas as pd
+
+    from mediasift.operators.nearest import _block_pairs
+
+    r = np.random.default_rng(5)
+    probes = r.integers(-(2**63), 2**63 - 1, 300)
+    assert hamming_costs(probes, probes).dtype == np.uint8
+    block = pd.DataFrame({"i": [0], "probes": [probes], "ids": [np.array([7, 7, *range(10, 308)])], "others": [np.array([probes[0], probes[0], *probes[:298] ^ 1])]})
+    got = pd.concat(_block_pairs(hamming_costs, 3, 256)(iter([block])))
+    assert sorted(map(tuple, got.itertuples(index=False)))[:3] == [(0, 0, 0.0, 7), (0, 0, 1.0, 10), (0, 1, 1.0, 11)] and len(got) == 299
