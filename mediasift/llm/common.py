@@ -6,6 +6,8 @@ import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +54,40 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """A frame as Parquet in the shared folder, written in parts and read back, until it is dropped."""
+
+    def __init__(self, name: str, *parts: DataFrame, options: dict[str, str] | None = None):
+        self.name, self.path, self.options = name, None, options or {}
+        for df in parts:
+            self.add(df)
+
+    def add(self, df: DataFrame) -> None:
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path = self.path or scratch_path(self.spark, self.name)
+        df.write.mode("append").options(**self.options).parquet(self.path)
+
+    @property
+    def frame(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def drop(self) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it the files of a query's shuffles go when the query ends, not when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """checkpoint() in the shared folder; for small frames in loops."""
     shared_dir(df.sparkSession)
