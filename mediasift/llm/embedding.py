@@ -45,6 +45,8 @@ SAMPLE, FEWEST, LEVELS, PART = 65_536, 8, 24, 65_536
 BLOCK, STRIPE = 8192, 256
 #: Bytes that a round moves at least; rows of sorted leaves that are compared at a time; rows of a table that is broadcast at most.
 ROUND, GATHER, BROADCAST = 1 << 27, 16_384, 1 << 20
+#: Links of a stripe from which the leaves of a leaf's vectors are compared as bits.
+CROWDED = 2048
 #: A leaf's number is its tree, and below that as many bits of its node.
 BITS = 48
 #: Leaves are written as places in a dictionary, of up to a million of them.
@@ -340,6 +342,16 @@ def _begins(rows: pa.RecordBatch, key: list[str]) -> np.ndarray:
     return np.nonzero(new)[0]
 
 
+def _bits(codes: np.ndarray) -> np.ndarray:
+    """A row of bits for each row of codes (-1: none), one for each code that more than one row has."""
+    row, at = np.nonzero(codes >= 0)
+    _, code, n = np.unique(codes[row, at], return_inverse=True, return_counts=True)
+    row, code = row[n[code] > 1], (np.cumsum(n > 1) - 1)[code[n[code] > 1]]
+    bits = np.zeros((len(codes), int((n > 1).sum()) // 64 + 1), np.uint64)
+    np.bitwise_or.at(bits, (row, code >> 6), np.uint64(1) << (code & 63).astype(np.uint64))
+    return bits
+
+
 def _compare(cosine: float, kind: str):
     """Links of leaves, or of two blocks of one, that come together: how many each vector has that no earlier leaf shows, and an
     edge from each vector to the smallest one that those reach here. Pairs are held for one stripe of rows at a time."""
@@ -357,7 +369,7 @@ def _compare(cosine: float, kind: str):
         rep, weight, part = (rows.column(c).to_numpy() for c in ("rep", "weight", "part"))
         one = rows.column("i").to_numpy() == rows.column("j").to_numpy()
         x = _unit(_column(rows.column("v"), kind))
-        narrow, least = x.astype(np.float32), cosine - (x.shape[1] + 8) / 2**22  # no product of floats is off by as much
+        narrow, off = x.astype(np.float32), (x.shape[1] + 8) / 2**22  # no product of floats is off by as much
         early = rows.column("early")
         size = pc.list_value_length(early).to_numpy(zero_copy_only=False)
         shared = np.full((len(x), max(1, size.max())), -1, dtype=np.int64)
@@ -368,29 +380,39 @@ def _compare(cosine: float, kind: str):
             i, j = (np.concatenate(c) for c in zip(*held))
             for start in range(0, len(i), 200_000):
                 a, b = i[start : start + 200_000], j[start : start + 200_000]
-                exact = np.einsum("ij,ij->i", x[a], x[b]) >= cosine
-                a, b = a[exact], b[exact]
                 new = np.ones(len(a), dtype=bool)
                 for k in range(shared.shape[1]):
                     c = shared[a, k]
                     seen = np.nonzero((c >= 0) & new)[0]
                     if len(seen):
                         new[seen] = ~(shared[b[seen]] == c[seen, None]).any(axis=1)
-                a, b = a[new], b[new]
-                classes.join(a, b)
-                np.add.at(count, a, weight[b])
-                np.add.at(count, b, weight[a])
+                link(a[new], b[new])
+
+        def link(a: np.ndarray, b: np.ndarray) -> None:
+            classes.join(a, b)
+            np.add.at(count, a, weight[b])
+            np.add.at(count, b, weight[a])
 
         begins = _begins(rows, key).tolist()
         for begin, end in zip(begins, [*begins[1:], len(x)]):
+            bits = None
             for at in range(begin, end, STRIPE):
                 near = narrow[at : min(at + STRIPE, end)] @ narrow[at:end].T
-                i, j = np.divmod(np.flatnonzero(near >= least), end - at)
-                keep = i < j
-                i, j = i[keep] + at, j[keep] + at
-                keep = (rep[i] != rep[j]) & (one[begin] | (part[i] != part[j]))
-                if keep.any():
-                    held, n = [*held, (i[keep], j[keep])], n + int(keep.sum())
+                i, j = np.divmod(np.flatnonzero(near >= cosine - off), end - at)
+                keep, doubt = i < j, near[i, j] < cosine + off
+                i, j = i + at, j + at
+                keep &= (rep[i] != rep[j]) & (one[begin] | (part[i] != part[j]))
+                asked = np.nonzero(keep & doubt)[0]
+                keep[asked] = np.einsum("ij,ij->i", x[i[asked]], x[j[asked]]) >= cosine
+                i, j = i[keep], j[keep]
+                if len(i) > CROWDED:
+                    bits = _bits(shared[begin:end]) if bits is None else bits
+                    for start in range(0, len(i), GATHER):
+                        a, b = i[start : start + GATHER], j[start : start + GATHER]
+                        new = ~(bits[a - begin] & bits[b - begin]).any(axis=1)
+                        link(a[new], b[new])
+                elif len(i):
+                    held, n = [*held, (i, j)], n + len(i)
                 if n >= 200_000:
                     count_new()
                     held, n = [], 0

@@ -67,3 +67,10 @@ def test_embedding_disk_holds_a_few_times_the_vectors(spark, monkeypatch):
         over.set()
         thread.join()
     assert max([*seen, held() - before]) < 6 * v.nbytes, (max(seen), held() - before, v.nbytes)
+
+
+def test_embedding_bits_tell_shared_leaves():
+    r = np.random.default_rng(9)
+    codes = np.array([np.pad(np.sort(r.choice(900, n, replace=False)), (0, 12 - n), constant_values=-1) for n in r.integers(0, 13, 200)])
+    bits, sets = embedding._bits(codes), [set(c[c >= 0].tolist()) for c in codes]
+    assert bits.shape[1] > 1 and all(bool((bits[a] & bits[b]).any()) == bool(sets[a] & sets[b]) for a in range(200) for b in range(a))
